@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000, colum
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
             if size and size + (n or 0) > most_bytes:

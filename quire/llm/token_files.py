@@ -85,7 +85,7 @@ def write(df: DataFrame, key: str, text: str, path: str, vocabulary: str, end_id
             files.move(f"{attempt}.{name}", f"{part}.{name}")
         yield pa.RecordBatch.from_pydict({"part": [k], "documents": [len(ids)], "tokens": [total], "width": [int(kind[2:])]})
 
-    found = ordered.mapInArrow(encode, "part int, documents long, tokens long, width int").collect()  # one row a part
+    found = ordered.mapInArrow(encode, "part long, documents long, tokens long, width long").collect()  # one row a part
     base, manifest = 0, {"width": max((r["width"] for r in found), default=2), "parts": []}
     for r in sorted(found):
         manifest["parts"].append({"part": r["part"], "documents": r["documents"], "tokens": r["tokens"], "base": base})
