@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.packing import op7_vector_best_fit
 from quire.llm.sharding import op1_rendezvous_shards
+from quire.llm.simhash import op10_golay_simhash
 from quire.llm.token_files import op9_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_rendezvous_shards,
         op7_vector_best_fit,
         op9_token_files,
+        op10_golay_simhash,
     )
 }
 ORACLES: dict[str, str] = {}
