@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.fingerprint import op5_order_minhash
+from quire.llm.langid import op6_bitmask_langid
 from quire.llm.packing import op7_vector_best_fit
 from quire.llm.sharding import op1_rendezvous_shards
 from quire.llm.simhash import op10_golay_simhash
@@ -15,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rendezvous_shards,
+        op5_order_minhash,
+        op6_bitmask_langid,
         op7_vector_best_fit,
         op9_token_files,
         op10_golay_simhash,
