@@ -12,11 +12,13 @@ from quire.llm.packing import op7_vector_best_fit
 from quire.llm.sharding import op1_rendezvous_shards
 from quire.llm.simhash import op10_golay_simhash
 from quire.llm.token_files import op9_token_files
+from quire.llm.toxicity import op3_noisy_channel_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rendezvous_shards,
+        op3_noisy_channel_toxicity,
         op5_order_minhash,
         op6_bitmask_langid,
         op7_vector_best_fit,
