@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.fingerprint import op5_order_minhash
 from quire.llm.langid import op6_bitmask_langid
 from quire.llm.packing import op7_vector_best_fit
+from quire.llm.secrets import op2_network_secret_scan
 from quire.llm.sharding import op1_rendezvous_shards
 from quire.llm.simhash import op10_golay_simhash
 from quire.llm.token_files import op9_token_files
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rendezvous_shards,
+        op2_network_secret_scan,
         op3_noisy_channel_toxicity,
         op5_order_minhash,
         op6_bitmask_langid,
