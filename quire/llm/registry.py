@@ -12,6 +12,7 @@ from quire.llm.packing import op7_vector_best_fit
 from quire.llm.secrets import op2_network_secret_scan
 from quire.llm.sharding import op1_rendezvous_shards
 from quire.llm.simhash import op10_golay_simhash
+from quire.llm.suffix_model import op8_suffix_tree_scores
 from quire.llm.token_files import op9_token_files
 from quire.llm.toxicity import op3_noisy_channel_toxicity
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_order_minhash,
         op6_bitmask_langid,
         op7_vector_best_fit,
+        op8_suffix_tree_scores,
         op9_token_files,
         op10_golay_simhash,
     )
