@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.decontamination import op4_latent_decontamination
 from quire.llm.fingerprint import op5_order_minhash
 from quire.llm.langid import op6_bitmask_langid
 from quire.llm.packing import op7_vector_best_fit
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_rendezvous_shards,
         op2_network_secret_scan,
         op3_noisy_channel_toxicity,
+        op4_latent_decontamination,
         op5_order_minhash,
         op6_bitmask_langid,
         op7_vector_best_fit,
