@@ -1,0 +1,6 @@
+"""All queries over the reference tables, with their SQL."""
+
+from quire.plans import corpus_queries, relational_queries
+from quire.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "corpus_queries", "relational_queries"]
