@@ -144,14 +144,12 @@ def _increasing_length(values: pd.Series) -> pd.Series:
 
 def sign_test(n: Column, wins: Column) -> Column:
     """Two-sided binomial p of ``wins`` among n untied pairs: twice the smaller tail, 1 at most; 1 without pairs."""
-    k = F.least(wins, n - wins)
-    # log C(n, i) as a running sum keeps every term finite; the tail is summed in the JVM.
-    terms = F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(0)).cast("int")), lambda i: F.exp(_log_choose(n, i) - n * math.log(2)))
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))).otherwise(1.0)
-
-
-def _log_choose(n: Column, k: Column) -> Column:
-    return F.aggregate(F.when(k > 0, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, j: a + F.log((n - k + j).cast("double")) - F.log(j.cast("double")))
+    k = F.greatest(F.least(wins, n - wins), F.lit(0)).cast("int")
+    # One pass: the tail's sum so far, and the log of the next term, C(n, i) / 2**n.
+    start = F.struct(F.lit(0.0).alias("sum"), (-n * math.log(2)).cast("double").alias("term"))
+    step = lambda s, i: F.struct((s["sum"] + F.exp(s["term"])).alias("sum"), (s["term"] + F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).alias("term"))
+    tail = F.aggregate(F.sequence(F.lit(0), k), start, step, lambda s: s["sum"])
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(1.0)
 
 
 def output_tokens(candidates: Column, thoughts: Column, total: Column, prompt: Column) -> Column:

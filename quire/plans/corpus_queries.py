@@ -113,28 +113,27 @@ def semantic_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1),
 a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings, q QUALIFY rank <= 30),
-b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE doc_id < 500 QUALIFY rank <= 30),
+b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 30),
 u AS (SELECT id, rank, 0 AS list FROM b UNION ALL SELECT id, rank, 1 FROM a)
 SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY id ORDER BY sum(1.0 / (60 + rank)) DESC, min((list, rank)) LIMIT 25""")
 def search_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = table(spark, sf_dir, "embeddings")
     q = store.orderBy("vec_id").limit(1).first()["embedding"]
     sem = store.withColumn("score", S.dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q]))).orderBy(F.desc("score"), "vec_id").limit(30).select(F.col("vec_id").alias("id"), "score")
-    longest = table(spark, sf_dir, "documents").where("doc_id < 500").orderBy(F.desc("n_chars"), "doc_id").limit(30).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    longest = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(30).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
     return S.fuse([longest, sem], "id", [F.desc("score"), F.desc("score")], 25).withColumn("score", F.round("score", 9))
 
 
 _WANTED = ["the", "thing", "that", "with"]
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos, len(words) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS words FROM documents WHERE doc_id % 10 = 0)),
+@query(f"""WITH w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos, len(words) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS words FROM documents)),
 h AS (SELECT doc_id, pos, n, word, sum(CASE WHEN {fold_sql("word")} IN ('the', 'thing', 'that', 'with') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS hits FROM w),
 best AS (SELECT doc_id, arg_max(pos, (hits, -pos)) AS best_at FROM h WHERE pos <= greatest(n - 30, 0) GROUP BY doc_id)
 SELECT doc_id, left(string_agg(word, ' ' ORDER BY pos), 520) AS snippet FROM w JOIN best USING (doc_id) WHERE pos BETWEEN best_at AND best_at + 39 GROUP BY doc_id""")
 def snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets of the pages a search might return: every tenth."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
-    return d.select("doc_id", S.snippet(F.col("text"), _WANTED).alias("snippet"))
+    """Every page's best window for a query."""
+    return S.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", S.snippet(F.col("text"), _WANTED).alias("snippet"))
 
 
 @query("SELECT source AS book, count(*) AS pages, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source ORDER BY book")
@@ -202,11 +201,11 @@ def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", M.line_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-_PAIRS = r"""SELECT a.item_id AS a, b.item_id AS b, regexp_replace(left(a.text, 60), '[^a-zA-Z ]', '', 'g') AS x, regexp_replace(left(b.text, 60), '[^a-zA-Z ]', '', 'g') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"""
+_PAIRS = r"""SELECT a.item_id AS a, b.item_id AS b, regexp_replace(a.text, '[^a-zA-Z ]', '', 'g') AS x, regexp_replace(b.text, '[^a-zA-Z ]', '', 'g') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.left("text", F.lit(60)), "[^a-zA-Z ]", "").alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^a-zA-Z ]", "").alias("t"))
     return b.select(F.col("item_id").alias("a"), F.col("t").alias("x"), (F.col("item_id") + 1).alias("b")).join(b.select(F.col("item_id").alias("b"), F.col("t").alias("y")), "b")
 
 

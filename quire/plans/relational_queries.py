@@ -40,16 +40,21 @@ def chunk_assign(spark, sf_dir):
     return global_rank(d, "doc_id").select("doc_id", F.floor((F.col("rank") - 1) / 200).alias("chunk"))
 
 
-def global_rank(df: DataFrame, key: str) -> DataFrame:
-    """Add rank, 1 to n in key order: within range parts by a window, across them by prefix sums."""
+def running(df: DataFrame, key: str, value) -> DataFrame:
+    """Add running, the sum of value up to each row in key order: within range parts by a window, across them by prefix sums."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000).alias("p")).first()["p"] or []
     part = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < F.col(key))) if edges else F.lit(0)
-    parted = df.withColumn("__part", part)
-    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(key))
-    return parted.withColumn("__in", inside).join(F.broadcast(before), "__part").withColumn("rank", F.col("__in") + F.col("__base")).drop("__part", "__in", "__base")
+    parted = df.withColumns({"__part": part, "__v": value})
+    sums = parted.groupBy("__part").agg(F.sum("__v").alias("__s"))
+    before = sums.withColumn("__base", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    inside = F.sum("__v").over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return parted.withColumn("__in", inside).join(F.broadcast(before), "__part").withColumn("running", F.col("__in") + F.col("__base")).drop("__part", "__in", "__base", "__v")
+
+
+def global_rank(df: DataFrame, key: str) -> DataFrame:
+    """Add rank, 1 to n in key order."""
+    return running(df, key, F.lit(1)).withColumnRenamed("running", "rank")
 
 
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
@@ -93,11 +98,11 @@ def common_scored(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.countDistinct("l_returnflag").alias("n")).where("n = 3").select("page")
 
 
-@query(f"""WITH p AS (SELECT a.yield - b.yield AS d FROM ({_ARMS}) a JOIN ({_ARMS}) b ON a.page = b.page AND a.arm = 'A' AND b.arm = 'R' WHERE a.page <= 2000),
+@query(f"""WITH p AS (SELECT a.yield - b.yield AS d FROM ({_ARMS}) a JOIN ({_ARMS}) b ON a.page = b.page AND a.arm = 'A' AND b.arm = 'R'),
 c AS (SELECT count(*) FILTER (d > 0) AS wins, count(*) FILTER (d <> 0) AS n FROM p)
 SELECT wins, n, round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, 5000) r(i) WHERE i <= least(wins, n - wins))), 6) AS p, CASE WHEN 2 * wins > n THEN 'better' WHEN 2 * wins < n THEN 'worse' ELSE 'tie' END AS direction FROM c""")
 def sign_test(spark, sf_dir):
-    d = paired_delta(spark, sf_dir).where("page <= 2000").agg(F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") != 0).alias("n"))
+    d = paired_delta(spark, sf_dir).agg(F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") != 0).alias("n"))
     w, n = F.col("wins"), F.col("n")
     return d.select("wins", "n", F.round(M.sign_test(n, w), 6).alias("p"), F.when(2 * w > n, "better").when(2 * w < n, "worse").otherwise("tie").alias("direction"))
 
@@ -109,10 +114,10 @@ def arm_summary(spark, sf_dir):
     return li.groupBy("arm").agg(F.count(F.lit(1)).alias("calls"), F.count("cer").alias("scored"), (F.count(F.lit(1)) - F.count("cer")).alias("errors"), F.round(F.avg("cer"), 6).alias("mean_cer"), F.round(F.median("cer"), 6).alias("median_cer"), F.round(F.sum("usd"), 4).alias("usd"))
 
 
-@query("""SELECT l_returnflag AS arm, n, c[n // 4 + 1] AS q1, c[n // 2 + 1] AS q2, c[3 * n // 4 + 1] AS q3 FROM (SELECT l_returnflag, count(*) AS n, list_sort(list(l_extendedprice)) AS c FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 4000 GROUP BY 1)""")
+@query("""SELECT l_returnflag AS arm, n, c[n // 4 + 1] AS q1, c[n // 2 + 1] AS q2, c[3 * n // 4 + 1] AS q3 FROM (SELECT l_returnflag, count(*) AS n, list_sort(list(l_extendedprice)) AS c FROM lineitem GROUP BY 1)""")
 def quartile_summary(spark, sf_dir):
     """Elements at n/4, n/2 and 3n/4 of the sorted values, not interpolated: found by rank, never as one list."""
-    li = _t(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_orderkey < 4000").select(F.col("l_returnflag").alias("arm"), F.col("l_extendedprice").alias("x"))
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("arm"), F.col("l_extendedprice").alias("x"))
     n = li.groupBy("arm").agg(F.count(F.lit(1)).alias("n"))
     r = li.withColumn("i", F.row_number().over(Window.partitionBy("arm").orderBy("x")) - 1).join(F.broadcast(n), "arm")
     at = lambda num: F.max(F.when(F.col("i") == F.floor(F.col("n") * num / 4), F.col("x")))
@@ -124,10 +129,10 @@ def tally(spark, sf_dir):
     return _t(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_orderkey, round(sum(c) OVER (ORDER BY l_orderkey), 4) AS running FROM (SELECT l_orderkey, sum(l_quantity * 1.0 + l_tax * 6.0) / 1e6 AS c FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1)")
+@query("SELECT l_orderkey, sum(c) OVER (ORDER BY l_orderkey)::BIGINT AS running FROM (SELECT l_orderkey, sum(round((l_quantity + l_tax * 6) * 100)::BIGINT) AS c FROM lineitem GROUP BY 1)")
 def running_cost(spark, sf_dir):
-    c = _t(spark, sf_dir, "lineitem").where("l_orderkey < 3000").groupBy("l_orderkey").agg((F.sum(F.col("l_quantity") * 1.0 + F.col("l_tax") * 6.0) / 1e6).alias("c"))
-    return c.select("l_orderkey", F.round(F.sum("c").over(Window.orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"))
+    c = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round((F.col("l_quantity") + F.col("l_tax") * 6) * 100).cast("long")).alias("c"))
+    return running(c, "l_orderkey", F.col("c")).select("l_orderkey", "running")
 
 
 @query("""SELECT event_id, greatest(c + t, total - p, c) AS output, round((p * 1.25 + greatest(c + t, total - p, c) * 10.0) / 1e6, 9) AS usd FROM (SELECT event_id, event_id % 900 AS c, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 50 END, 0) AS t, event_id % 2000 AS total, event_id % 700 AS p FROM events)""")
