@@ -27,11 +27,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def postings(indexed: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
-    """(term, id, tf). Terms are counted within each page before any shuffle; with ``only``, others never become rows."""
+    """(term, id, tf, dl), dl the page's number of terms. Terms are counted within each page before any shuffle; with ``only``, others never become rows."""
     grams = char_ngrams(F.col("txt"))
     if only is not None:
         grams = F.filter(grams, lambda x: x.isin(list(only)))  # a hash set's lookup
-    return indexed.select("id", F.explode(grams).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    n = F.length(F.col("txt"))
+    return indexed.select("id", F.when(n >= 3, n - 2).otherwise(1).alias("dl"), F.explode(grams).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def lengths(indexed: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def bm25(posted: DataFrame, dl: DataFrame, terms: DataFrame) -> DataFrame:
     hits = posted.join(F.broadcast(wanted), "term")
     stats = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(dl, "id").crossJoin(F.broadcast(stats))
+    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FEWEST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("id").agg((-F.sum(F.col("qtf") * part)).alias("score"))
@@ -87,11 +88,12 @@ def search_trigram(indexed: DataFrame, posted: DataFrame | None, dl: DataFrame,
     posted: a stored index; without one the query's own terms are counted in a scan.
     """
     spark = indexed.sparkSession
-    asked = query_terms(spark, text)
+    listed = [r["term"] for r in query_terms(spark, text).orderBy("pos").collect()]  # a query's terms
     if posted is None:
-        posted = postings(indexed, sorted({r["term"] for r in asked.collect()}))  # a query's terms
-    terms = rarest(asked, vocab if vocab is not None else vocabulary(posted))
-    listed = [r["term"] for r in terms.orderBy("pos").collect()]  # a query's terms
+        posted = postings(indexed, sorted(set(listed)))
+    if len(listed) > MOST_TERMS:
+        asked = spark.createDataFrame(list(enumerate(listed)), "pos int, term string")
+        listed = [r["term"] for r in rarest(asked, vocab if vocab is not None else vocabulary(posted)).orderBy("pos").collect()]
     if not listed:
         return indexed.limit(0).select("id", "book", "page", F.lit(0.0).alias("score"), F.lit(0.0).alias("coverage"))
     fixed = spark.createDataFrame([(i, t) for i, t in enumerate(listed)], "pos int, term string")
@@ -100,7 +102,7 @@ def search_trigram(indexed: DataFrame, posted: DataFrame | None, dl: DataFrame,
     if book:
         scored = scored.join(pages.select("id"), "id", "left_semi")
     top = scored.orderBy("score", "id").limit(3 * k)
-    met = pages.join(F.broadcast(top), "id").withColumn("coverage", covered(F.col("txt"), listed, aware))
+    met = pages.join(F.broadcast(top), "id").withColumn("coverage", covered(fold_search(F.col("raw"), False, True), listed, aware))
     need = 0.34 if len(listed) >= 12 else 0.55
     return met.where(F.col("coverage") >= need).orderBy("score", "id").limit(k).select("id", "book", "page", "score", "coverage")
 
