@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import documents, slices, text_bytes
+from quire.llm._common import documents, materialise, slices, text_bytes
 
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c) for c in range(256))
 
@@ -88,11 +88,32 @@ def _ids(text: bytes, terms: dict[bytes, int]) -> np.ndarray:
     return np.fromiter([get(w, -1) for w in found], np.int64, len(found))
 
 
-def _blocks(batch: pa.RecordBatch, terms: dict[bytes, int], size: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _kind(terms: int) -> str:
+    return "<i2" if terms < 1 << 15 else "<i4"
+
+
+def _numbered(docs: DataFrame, key: str, text: str, plan: _Plan) -> DataFrame:
+    """A written table (key, words): every text's term numbers. Texts are read and cut into words once; what follows reads this."""
+    shared = docs.sparkSession.sparkContext.broadcast(plan.terms)
+    kind = _kind(len(plan.terms))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_ids(t, shared.value).astype(kind).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["key", "words"])
+
+    rows = docs.select(F.col(key).alias("key"), text_bytes(text).alias("text"))
+    return materialise(rows.mapInArrow(number, f"key {docs.schema[key].dataType.simpleString()}, words binary"), "numbered")
+
+
+def _arrays(column: pa.Array, terms: int) -> list[np.ndarray]:
+    kind = _kind(terms)
+    return [np.frombuffer(x, kind).astype(np.int64) for x in column.to_pylist()]
+
+
+def _blocks(column: pa.Array, size: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Term numbers of the texts' words that count with the block each is in, and the blocks' number. counts: one flag a term and a last one for other words."""
     terms_at, block_at, blocks = [], [], 0
-    for t in batch.column(0).to_pylist():
-        ids = _ids(t, terms)
+    for ids in _arrays(column, len(counts) - 1):
         known = np.flatnonzero(counts[ids])
         terms_at.append(ids[known])
         block_at.append(known // size + blocks)
@@ -111,14 +132,13 @@ def _summed(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 def _idf(texts: DataFrame, plan: _Plan, s: Settings) -> np.ndarray:
     """Inverse document frequency of every term over all passages."""
-    shared = texts.sparkSession.sparkContext.broadcast(plan.terms)
+    d = len(plan.terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
-        df, passages, every = np.zeros(len(terms), np.int64), 0, np.r_[np.ones(len(terms), bool), False]
-        for batch in slices(batches):
-            t, b, n = _blocks(batch, terms, s.passage, every)
-            df += np.bincount(np.unique(b * len(terms) + t) % len(terms), minlength=len(terms))
+        df, passages, every = np.zeros(d, np.int64), 0, np.r_[np.ones(d, bool), False]
+        for batch in slices(batches, 1_000_000, "words"):
+            t, b, n = _blocks(batch.column(0), s.passage, every)
+            df += np.bincount(np.unique(b * d + t) % d, minlength=d)
             passages += n
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[passages, df[some]])], ["term", "n"])
@@ -145,13 +165,13 @@ def _basis(texts: DataFrame, plan: _Plan, idf: np.ndarray, s: Settings) -> np.nd
     d = len(plan.terms)
     rank = min(s.rank, d)
     sketch = np.random.default_rng(s.seed).standard_normal((d, rank)).astype(np.float32)
-    shared = texts.sparkSession.sparkContext.broadcast((plan.terms, (idf[:, None] * sketch).astype(np.float32), np.r_[idf > 0, False]))
+    shared = texts.sparkSession.sparkContext.broadcast(((idf[:, None] * sketch).astype(np.float32), np.r_[idf > 0, False]))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weighted, counts = shared.value
+        weighted, counts = shared.value
         total = np.zeros((d, rank))
-        for batch in slices(batches, 1_000_000):
-            t, b, n = _blocks(batch, terms, s.passage, counts)
+        for batch in slices(batches, 100_000, "words"):
+            t, b, n = _blocks(batch.column(0), s.passage, counts)
             z = _summed(weighted[t], b, n)
             order = np.argsort(t, kind="stable")
             total += _summed(z[b[order]], t[order], d)
@@ -216,9 +236,8 @@ class _Searcher:
             held = np.array([np.bitwise_or.reduce(self.sets[plan.items[i].words[self.counts[plan.items[i].words]]], axis=0) for i in members])
             self.groups[size] = (np.array(members), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9), held)
 
-    def texts(self, texts: list[bytes]) -> list[tuple[int, int, float, float, int, str]]:
-        """(text, item, cosine, common part, first word, how) for each item found in each text."""
-        every = [_ids(t, self.plan.terms) for t in texts]
+    def texts(self, every: list[np.ndarray]) -> list[tuple[int, int, float, float, int, str]]:
+        """(text, item, cosine, common part, first word, how) for each item found in each text, given as term numbers."""
         first = np.cumsum([0, *(-(-len(ids) // 16) for ids in every)])
         known = [np.flatnonzero(self.counts[ids]) for ids in every]
         terms = np.concatenate([ids[k] for ids, k in zip(every, known, strict=True)])
@@ -270,8 +289,6 @@ def search(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, item_id long, cosine double, common double, first_word long, how string"
-    texts = docs.select(text_bytes(text).alias("text"))
-    both = docs.select(F.col(key).alias("key"), text_bytes(text).alias("text"))
     items = benchmark.select(F.col(item).cast("long").alias("key"), F.col(item_text).alias("text"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("answer"))
     count = items.count()
     rounds = max(1, math.ceil(count / s.items))
@@ -281,19 +298,21 @@ def search(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str
         plan = _plan(some.collect(), answer is not None)
         if not plan.items:
             continue
+        numbered = _numbered(docs, key, text, plan)
+        texts = numbered.select("words")
         idf = _weights(_idf(texts, plan, s), plan, s)
         shared = spark.sparkContext.broadcast(_Searcher(plan, idf, _basis(texts, plan, idf, s), s))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searcher = shared.value
-            for batch in slices(batches, 1_000_000):
+            for batch in slices(batches, 100_000, "words"):
                 keys = batch.column(0).to_pylist()
-                found = [(keys[d], searcher.plan.items[i].key, *v) for d, i, *v in searcher.texts(batch.column(1).to_pylist())]
+                found = [(keys[d], searcher.plan.items[i].key, *v) for d, i, *v in searcher.texts(_arrays(batch.column(1), len(searcher.plan.terms)))]
                 if found:
                     columns = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:4]), pa.array(columns[4], pa.int64()), pa.array(columns[5])], ["key", "item_id", "cosine", "common", "first_word", "how"])
 
-        part = both.mapInArrow(run, schema)
+        part = numbered.mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
