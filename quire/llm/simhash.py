@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.llm._common import ASCII_LOWER, documents, materialise, slices, text_bytes
 from quire.llm.components import components
+from quire.llm.shingle_join import groups
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -257,13 +258,13 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Keep one row of each group of near copies: that with the smallest key (of rows with one key, the one whose text hashes lowest).
 
+    Near copies have five-word shingles of Jaccard similarity 0.8 or more, by an exact join: SimHash at 4 bits finds few of them.
     Columns of docs stay as they are. Rows with a null key have no name to be kept under, and all stay.
     """
     names = docs.columns
     k = F.col(f"`{key}`")
     keyed = docs.where(k.isNotNull())
-    prints = materialise(fingerprints(keyed, key, text).dropDuplicates(), "prints")
-    keep = classes(prints).select(F.col("component").alias("__keep")).distinct()
+    keep = groups(keyed, key, text).select(F.col("component").alias("__keep")).distinct()
     left = keyed.join(keep, k == keep["__keep"], "left_semi")
     first = Window.partitionBy(k).orderBy(F.xxhash64(F.col(f"`{text}`")))
     return left.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in names]).union(docs.where(k.isNull()))

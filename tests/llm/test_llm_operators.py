@@ -160,6 +160,42 @@ def test_near_dedup_keeps_columns_and_rows_without_id(docs, empty):
     assert ids.count(None) == 1 and 0 in ids and 1 not in ids and ids.count(6) == 1 and {7, 8, 9, 10, 11} <= set(ids)
 
 
+def test_near_dedup_finds_all_pairs_at_jaccard_of_four_fifths(spark):
+    r = np.random.default_rng(8)
+    texts = []
+    for _ in range(40):  # families of edited copies about the limit
+        base = [f"w{x}" for x in r.integers(0, 5000, int(r.integers(30, 200)))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in r.integers(0, len(base), int(r.integers(1, 2 + len(base) // 40))):
+                copy[at] = "edit"
+            texts.append(" ".join(copy))
+    dense = [f"d{x}" for x in range(120)]  # one group of many copies, and one that is near only some of them
+    texts += [" ".join([*dense[:i], f"x{i}", *dense[i + 1 :]]) for i in range(30)] + [" ".join([*dense[:110], *(f"y{x}" for x in range(8))])]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, parent, far = [shingles(t) for t in texts], list(range(len(texts))), 0
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                far += (slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[j])).bit_count() > 4
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    assert far > 20
+    out = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert sorted(r["doc_id"] for r in out.collect()) == [i for i in range(len(texts)) if root(i) == i]
+
+
 def test_golay_keys_meet_at_one_error():
     w = np.random.default_rng(1).integers(0, 1 << 23, 2000)
     _, probes = simhash.golay_keys(w)
