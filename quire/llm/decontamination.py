@@ -6,6 +6,9 @@ the few leading directions that tell languages and function words apart; items a
 text are compared by cosine there. Windows that are near an item, and that by bit sets hold enough of its
 words, are checked word for word: the longest common subsequence's part of the item, and, where that alone
 doesn't settle it, the item's answer.
+
+Beside the cosine there is an exact path, so that no window that passes the check goes unchecked: if m words of an item
+may be missing, a window must have k of the item's m + k rarest words, whatever k is, and all but m of its words.
 """
 
 from __future__ import annotations
@@ -213,13 +216,34 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def _rarest(words: np.ndarray, rate: np.ndarray, s: Settings) -> tuple[int, np.ndarray, int]:
+    """How many of an item's words a window that holds it may lack, and the rarest words of which it must have so many.
+
+    rate: each term's expected number in a window. The number is that which the fewest windows reach by chance, if words fell independently.
+    """
+    least = min(s.verbatim, s.paraphrase)
+    need = next(c for c in range(1, len(words) + 1) if c / len(words) >= least or c == len(words))
+    lack = len(words) - need
+    order = words[np.argsort(rate[words], kind="stable")]
+    best = (math.inf, 1)
+    for k in range(1, need + 1):
+        mean = float(rate[np.unique(order[: lack + k])].sum())
+        term, below = math.exp(-mean), 0.0
+        for j in range(k):
+            below += term
+            term *= mean / (j + 1)
+        best = min(best, (max(1 - below, 1e-9), k))
+    return lack, np.unique(order[: lack + best[1]]), best[1]
+
+
 _SET_WORDS = 8  # unsigned 64-bit numbers of a set of words
 
 
 class _Searcher:
     """Items and windows in the latent space, by the items' size."""
 
-    def __init__(self, plan: _Plan, idf: np.ndarray, basis: np.ndarray, s: Settings) -> None:
+    def __init__(self, plan: _Plan, idf: np.ndarray, rate: np.ndarray, basis: np.ndarray, s: Settings) -> None:
+        """rate: parts of all passages that have each term."""
         self.plan, self.s = plan, s
         self.weighted = (idf[:, None] * basis).astype(np.float32)
         self.counts = np.r_[idf > 0, False]
@@ -230,7 +254,15 @@ class _Searcher:
         for i, item in enumerate(plan.items):
             sizes.setdefault(-(-len(item.words) // 16), []).append(i)
         self.groups = {}
+        self.exact = {}
+        self.rare = np.zeros(len(plan.terms) + 1, bool)  # a last one for other words
         for size, members in sorted(sizes.items()):
+            found = [_rarest(plan.items[i].words, rate * 16 * (size + 1) / s.passage, s) for i in members]
+            of = np.concatenate([terms for _, terms, _ in found])
+            who = np.repeat(np.arange(len(members)), [len(terms) for _, terms, _ in found])[np.argsort(of, kind="stable")]
+            degree = np.bincount(of, minlength=len(plan.terms) + 1)
+            self.rare[of] = True
+            self.exact[size] = (degree, np.cumsum(degree) - degree, who, np.array([k for *_, k in found]), np.array([lack for lack, *_ in found]))
             # size: blocks of 16 words; a window has one more, so that an item lies wholly within one, wherever it starts
             m = np.array([self.weighted[plan.items[i].words].sum(axis=0) for i in members])
             held = np.array([np.bitwise_or.reduce(self.sets[plan.items[i].words[self.counts[plan.items[i].words]]], axis=0) for i in members])
@@ -243,11 +275,15 @@ class _Searcher:
         terms = np.concatenate([ids[k] for ids, k in zip(every, known, strict=True)])
         at = np.concatenate([k // 16 + f for k, f in zip(known, first[:-1], strict=True)])
         n = int(first[-1])
-        if not len(terms):
+        rare = [np.flatnonzero(self.rare[ids]) for ids in every]
+        rare_terms = np.concatenate([ids[k] for ids, k in zip(every, rare, strict=True)])
+        rare_at = np.concatenate([k // 16 + f for k, f in zip(rare, first[:-1], strict=True)])
+        if not len(terms) and not len(rare_terms):
             return []
         blocks, sets = _summed(self.weighted[terms], at, n), np.zeros((n, _SET_WORDS), np.uint64)
-        edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        sets[at[edge]] = np.bitwise_or.reduceat(self.sets[terms], edge, axis=0)
+        if len(terms):
+            edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            sets[at[edge]] = np.bitwise_or.reduceat(self.sets[terms], edge, axis=0)
         best: dict[tuple[int, int], tuple[float, float, int, str]] = {}
         for size, (members, vectors, held) in self.groups.items():
             window, there = blocks.copy(), sets.copy()
@@ -256,15 +292,35 @@ class _Searcher:
                 there[:-j] |= sets[j:]
             cos = window @ vectors.T / np.maximum(np.linalg.norm(window, axis=1), 1e-9)[:, None]
             w, i = np.nonzero(cos >= self.s.near)
-            shared = np.bitwise_count(there[w] & held[i]).sum(axis=1)
-            good = shared >= self.s.held * np.bitwise_count(held).sum(axis=1)[i]
-            w, i = w[good], i[good]
+            shared, bits = np.bitwise_count(there[w] & held[i]).sum(axis=1), np.bitwise_count(held).sum(axis=1).astype(np.int64)
+            good = shared >= self.s.held * bits[i]
+            near = w[good] * len(members) + i[good]
+            w, i = self.possible(size, rare_terms, rare_at)
+            good = np.bitwise_count(there[w] & held[i]).sum(axis=1) >= bits[i] - self.exact[size][4][i]  # a word that is missing takes one bit at most
+            w, i = np.divmod(np.union1d(near, w[good] * len(members) + i[good]), len(members))
             of = np.searchsorted(first, w, side="right") - 1
             for w_, i_, d in zip(w.tolist(), i.tolist(), of.tolist(), strict=True):
                 start = 16 * (w_ - int(first[d]))
                 self.verify(every[d][start : start + 16 * (size + 1)], d, int(members[i_]), float(cos[w_, i_]), start, best)
         return [(*k, *v) for k, v in sorted(best.items())]
 
+    def possible(self, size: int, terms: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (by first block) and items of a size, where the window has as many of the item's rarest words as it must. terms, at: such words and their blocks."""
+        degree, start, who, least, _ = self.exact[size]
+        each = degree[terms]
+        nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        items = len(least)
+        pair, n = np.unique(np.repeat(at, each) * items + who[np.repeat(start[terms], each) + nth], return_counts=True)
+        if not len(pair):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        pair, n = np.concatenate([pair - j * items for j in range(size + 1)]), np.tile(n, size + 1)
+        order = np.argsort(pair, kind="stable")
+        pair, n = pair[order], n[order]
+        edge = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        pair, n = pair[edge], np.add.reduceat(n, edge)
+        good = (pair >= 0) & (n >= least[pair % items])
+        return np.divmod(pair[good], items)
+
     def verify(self, window: np.ndarray, text: int, i: int, cos: float, at: int, best: dict) -> None:
         item = self.plan.items[i]
         if best.get((text, i), (0, 0))[1] == 1:
@@ -300,8 +356,9 @@ def search(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str
             continue
         numbered = _numbered(docs, key, text, plan)
         texts = numbered.select("words")
-        idf = _weights(_idf(texts, plan, s), plan, s)
-        shared = spark.sparkContext.broadcast(_Searcher(plan, idf, _basis(texts, plan, idf, s), s))
+        every = _idf(texts, plan, s)
+        idf = _weights(every, plan, s)
+        shared = spark.sparkContext.broadcast(_Searcher(plan, idf, np.exp(0.1 - every), _basis(texts, plan, idf, s), s))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searcher = shared.value

@@ -308,6 +308,38 @@ def test_decontamination(spark, docs, empty):
     assert {r["doc_id"] for r in decontamination.drop_contaminated(more, items).collect()} == {52, 53}
 
 
+def test_decontamination_finds_all_that_pass_the_check(spark):
+    r = np.random.default_rng(4)
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(150).collect()
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
+    every = {x["item_id"]: decontamination.words_of(x["text"].encode()) for x in items.collect()}
+    vocabulary = sorted({w for x in base for w in decontamination.words_of((x["text"] or "").encode())})
+    common = collections.Counter(w for x in base for w in decontamination.words_of((x["text"] or "").encode()))
+    s, texts, passing = decontamination.Settings(), {}, set()
+    number = {w: i for i, w in enumerate(sorted({*vocabulary, *(w for x in every.values() for w in x)}))}
+    for n, (item, words) in enumerate([*every.items()] * 4):
+        host = decontamination.words_of((base[n % len(base)]["text"] or "").encode())[:400]
+        copy = list(words)
+        if n % 2:
+            changed = r.choice(len(copy), int(len(copy) * r.choice([0.0, 0.15, 0.25])), replace=False)
+        else:  # a paraphrase: the answer stays, the rarest words before it go
+            changed = sorted(range(len(copy) - len(copy) // 3), key=lambda i: common[words[i]])[: int(len(copy) * 0.44)]  # noqa: B023
+        for at in changed:
+            copy[at] = vocabulary[r.integers(len(vocabulary))]
+        place = int(r.integers(0, len(host) + 1))
+        told = host[:place] + copy + host[place:]
+        texts[n] = b" ".join(told).decode()
+        ids, own = np.array([number[w] for w in told]), np.array([number[w] for w in words])
+        answer = set(own[len(own) - max(1, len(own) // 3) :].tolist())
+        for at in range(0, len(ids), 16):
+            window = ids[at : at + 16 * (-(-len(own) // 16) + 1)]
+            part = decontamination.lcs(own, window) / len(own)
+            if part >= s.verbatim or part >= s.paraphrase and len(answer & set(window.tolist())) >= s.answer * len(answer):
+                passing.add((n, item))
+    got = decontamination.search(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text", items).collect()
+    assert len(passing) > len(texts) // 2 and not passing - {(x["key"], x["item_id"]) for x in got}
+
+
 def test_longest_common_subsequence():
     r = np.random.default_rng(2)
     for _ in range(30):
