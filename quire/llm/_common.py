@@ -11,15 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests, notebooks).
-DEFAULT_SHARED = "file:///tmp/checkpoints/quire"
+#: Used only by a local master whose session names no checkpoint folder (tests, notebooks).
+LOCAL_ONLY = "file:///tmp/checkpoints/quire"
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session names one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A cluster whose session names none is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_ONLY).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

@@ -38,11 +38,9 @@ class Settings:
 
 
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane, its lower-case letter, or 0 where it is none."""
-    out = np.zeros(0x10000, np.uint32)
-    for c in range(0x10000):
-        if 0xD800 <= c < 0xE000:
-            continue
+    """For each code point of all planes, its lower-case letter, or 0 where it is none."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -56,8 +54,7 @@ _LETTERS: np.ndarray | None = None
 def grams(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts' letter n-grams as 64-bit hashes, the text each is from, and each text's letters.
 
-    Words are runs of letters; an edge of a word counts as one more symbol. Letters beyond the basic plane
-    count as themselves.
+    Words are runs of letters; an edge of a word counts as one more symbol.
     """
     global _LETTERS
     if _LETTERS is None:
@@ -65,7 +62,7 @@ def grams(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.n
     joined = "\n" + "\n".join((t or "").replace("\n", " ") for t in texts) + "\n"
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     line = np.cumsum(code == 10, dtype=np.int64) - 1
-    letter = np.where(code < 0x10000, _LETTERS[np.minimum(code, 0xFFFF)], code).astype(np.uint64)
+    letter = _LETTERS[code].astype(np.uint64)
     keep = np.ones(len(letter), bool)
     keep[1:] = (letter[1:] != 0) | (letter[:-1] != 0)  # runs of other characters to one edge
     letter, line = letter[keep], line[keep]
@@ -93,13 +90,13 @@ def _positions(keys: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    rows: np.ndarray  # unsigned 64-bit, a bit for every language
+    rows: np.ndarray  # for each row unsigned 64-bit numbers, a bit for every language
     rates: np.ndarray  # false-positive rate of each language's slice
     settings: Settings
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
-        """For each n-gram, the languages that hold it."""
-        out = np.full(len(keys), ~np.uint64(0))
+        """For each n-gram, the languages that hold it: bit j % 64 of number j // 64 stands for language j."""
+        out = np.full((len(keys), self.rows.shape[1]), ~np.uint64(0))
         for at in _positions(keys, self.settings):
             out &= self.rows[at]
         return out
@@ -115,7 +112,7 @@ class Model:
         masks, hits = self.masks(keys), np.zeros((len(texts), len(self.languages)))
         total = np.bincount(of, minlength=len(texts))[: len(texts)]
         for j in range(len(self.languages)):
-            hits[:, j] = np.bincount(of[(masks >> np.uint64(j) & np.uint64(1)).astype(bool)], minlength=len(texts))[: len(texts)]
+            hits[:, j] = np.bincount(of[(masks[:, j // 64] >> np.uint64(j % 64) & np.uint64(1)).astype(bool)], minlength=len(texts))[: len(texts)]
         true = np.maximum(hits - total[:, None] * self.rates, 0) / (1 - self.rates)
         best, sums = true.argmax(axis=1), true.sum(axis=1)
         score = np.where(sums > 0, true[np.arange(len(texts)), best] / np.maximum(sums, 1e-12), 1 / len(self.languages))
@@ -124,7 +121,12 @@ class Model:
 
 
 def fit(df: DataFrame, text: str, lang: str, s: Settings = Settings()) -> Model:
-    """Count all n-grams of the rows with a language, and set the filters' bits. More than 64 languages are an error."""
+    """Count all n-grams of the rows with a language, and set the filters' bits.
+
+    Rows without a language are left out; null and empty texts give a language no n-gram; repeated rows count as often as
+    they occur; no rows give a model that knows no language. The languages' names reach the driver, and so do at most
+    1 / least_share n-grams of each.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -154,27 +156,30 @@ def fit(df: DataFrame, text: str, lang: str, s: Settings = Settings()) -> Model:
     by = materialise(by, "grams")
     totals = {r["lang"]: r["n"] for r in by.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    if len(languages) > 64:
-        raise ValueError("the filters hold at most 64 languages")
     of = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(float(totals[k])))]) if languages else F.lit(None)
     frequent = by.withColumn("share", F.col("n") / of[F.col("lang")]).where(F.col("share") >= s.least_share).toPandas() if languages else None
-    rows = np.zeros(1 << s.bits, np.uint64)
+    rows = np.zeros((1 << s.bits, max(1, -(-len(languages) // 64))), np.uint64)
     if languages:
         top = frequent.groupby("gram")["share"].transform("max")
         chosen = frequent[frequent["share"] >= s.contrast * top]
         for j, name in enumerate(languages):
             keys = chosen.loc[chosen["lang"] == name, "gram"].to_numpy(np.int64).view(np.uint64)
             for at in _positions(keys, s):
-                rows[at] |= np.uint64(1) << np.uint64(j)  # equal positions get the same bit
-    fill = np.array([((rows >> np.uint64(j)) & np.uint64(1)).mean() for j in range(len(languages))])
+                rows[at, j // 64] |= np.uint64(1) << np.uint64(j % 64)  # equal positions get the same bit
+    fill = np.array([((rows[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)).mean() for j in range(len(languages))])
     return Model(languages, rows, fill**s.hashes, s)
 
 
 def predict(df: DataFrame, text: str, keep: list[Column], model: Model) -> DataFrame:
-    """keep columns, lang_pred, score for every row."""
+    """keep columns, lang_pred, score for every row, in place of keep columns of these names.
+
+    Null, empty and letterless texts are ``und`` with score 0. Rows are judged one by one, so repeated rows get equal
+    results and an empty table gives an empty one.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.select(*keep, F.col(text).alias("__text"))
-    names = kept.columns[:-1]
+    kept = df.select(*keep).drop("lang_pred", "score")
+    names = kept.columns
+    kept = df.select(*[c for c, n in zip(keep, df.select(*keep).columns, strict=True) if n in names], F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
