@@ -29,18 +29,18 @@ _FOLD = bytes((c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 <
 
 @dataclass(frozen=True)
 class Settings:
-    """rank: latent dimensions, of which the first ``common`` are left out. passage: words of a block. near: cosine from
-    which a window is checked. rare: inverse document frequency from which a word has weight (2.5: in under 9 % of
-    passages); all words of an item with fewer than 4 such words have weight. held: part of an item's distinct words
-    with weight that a checked window must hold.
+    """rank: latent dimensions, of which the leading ``common`` part is left out. passage: words of a block. near: cosine
+    from which a window is checked. rare: inverse document frequency from which a word has weight (2.5: in under 9 % of
+    passages). held: part of an item's distinct words with weight that a checked window must hold.
 
     verbatim: part of an item's words in common order that settles it. paraphrase: part that needs the answer too,
     which must be there to the part ``answer``; an item without one has its last third for an answer.
-    items: benchmark items that one round takes; more items take more rounds over the texts.
+    block: windows, and items, of one product of matrices: a task's memory doesn't grow with either.
+    largest: bytes that the items' terms may take in every task; a larger benchmark is an error that says so.
     """
 
     rank: int = 96
-    common: int = 8
+    common: float = 1 / 12
     passage: int = 32
     near: float = 0.35
     rare: float = 2.5
@@ -48,7 +48,8 @@ class Settings:
     verbatim: float = 0.75
     paraphrase: float = 0.55
     answer: float = 0.8
-    items: int = 5000
+    block: int = 2048
+    largest: int = 1_000_000_000
     seed: int = 11
 
 
@@ -154,13 +155,9 @@ def _idf(texts: DataFrame, plan: _Plan, s: Settings) -> np.ndarray:
     return np.log((total + 1) / (df + 1)) + 0.1
 
 
-def _weights(idf: np.ndarray, plan: _Plan, s: Settings) -> np.ndarray:
-    """Inverse document frequencies of the terms that have weight, 0 for others."""
-    keep = idf >= s.rare
-    for item in plan.items:
-        if keep[item.words].sum() < 4:
-            keep[item.words] = True
-    return np.where(keep, idf, 0.0)
+def _weights(idf: np.ndarray, s: Settings) -> np.ndarray:
+    """Inverse document frequencies of the terms that have weight, 0 for others. Items of common words alone are met on the exact path."""
+    return np.where(idf >= s.rare, idf, 0.0)
 
 
 def _basis(texts: DataFrame, plan: _Plan, idf: np.ndarray, s: Settings) -> np.ndarray:
@@ -198,7 +195,7 @@ def _basis(texts: DataFrame, plan: _Plan, idf: np.ndarray, s: Settings) -> np.nd
     keep = values > 1e-9 * max(values.max(), 1e-300)
     b = (y + shift * sketch) @ (vectors[:, keep] / np.sqrt(values[keep]))
     u, _, _ = np.linalg.svd(b, full_matrices=False)
-    return u[:, s.common if u.shape[1] > 4 * s.common else 0 :].astype(np.float32)
+    return u[:, int(s.common * u.shape[1]) :].astype(np.float32)
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -275,6 +272,7 @@ class _Searcher:
         terms = np.concatenate([ids[k] for ids, k in zip(every, known, strict=True)])
         at = np.concatenate([k // 16 + f for k, f in zip(known, first[:-1], strict=True)])
         n = int(first[-1])
+        text_of = np.repeat(np.arange(len(every)), np.diff(first))
         rare = [np.flatnonzero(self.rare[ids]) for ids in every]
         rare_terms = np.concatenate([ids[k] for ids, k in zip(every, rare, strict=True)])
         rare_at = np.concatenate([k // 16 + f for k, f in zip(rare, first[:-1], strict=True)])
@@ -287,25 +285,31 @@ class _Searcher:
         best: dict[tuple[int, int], tuple[float, float, int, str]] = {}
         for size, (members, vectors, held) in self.groups.items():
             window, there = blocks.copy(), sets.copy()
-            for j in range(1, min(size, n - 1) + 1):  # the last windows of a text run into the next; checking stops at its end
-                window[:-j] += blocks[j:]
-                there[:-j] |= sets[j:]
-            cos = window @ vectors.T / np.maximum(np.linalg.norm(window, axis=1), 1e-9)[:, None]
-            w, i = np.nonzero(cos >= self.s.near)
-            shared, bits = np.bitwise_count(there[w] & held[i]).sum(axis=1), np.bitwise_count(held).sum(axis=1).astype(np.int64)
-            good = shared >= self.s.held * bits[i]
-            near = w[good] * len(members) + i[good]
-            w, i = self.possible(size, rare_terms, rare_at)
+            for j in range(1, min(size, n - 1) + 1):  # a text's last windows end with it
+                same = text_of[j:] == text_of[:-j]
+                window[:-j] += np.where(same[:, None], blocks[j:], 0)
+                there[:-j] |= np.where(same[:, None], sets[j:], np.uint64(0))
+            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
+            bits = np.bitwise_count(held).sum(axis=1).astype(np.int64)
+            near = []
+            for a in range(0, n, self.s.block):
+                for b in range(0, len(members), self.s.block):
+                    w, i = np.nonzero(window[a : a + self.s.block] @ vectors[b : b + self.s.block].T >= self.s.near)
+                    w, i = w + a, i + b
+                    good = np.bitwise_count(there[w] & held[i]).sum(axis=1) >= self.s.held * bits[i]
+                    near.append(w[good] * len(members) + i[good])
+            w, i = self.possible(size, rare_terms, rare_at, text_of)
             good = np.bitwise_count(there[w] & held[i]).sum(axis=1) >= bits[i] - self.exact[size][4][i]  # a word that is missing takes one bit at most
-            w, i = np.divmod(np.union1d(near, w[good] * len(members) + i[good]), len(members))
-            of = np.searchsorted(first, w, side="right") - 1
-            for w_, i_, d in zip(w.tolist(), i.tolist(), of.tolist(), strict=True):
+            w, i = np.divmod(np.union1d(np.concatenate(near), w[good] * len(members) + i[good]), len(members))
+            cos = (window[w] * vectors[i]).sum(axis=1)
+            of = text_of[w]
+            for w_, i_, d, c in zip(w.tolist(), i.tolist(), of.tolist(), cos.tolist(), strict=True):
                 start = 16 * (w_ - int(first[d]))
-                self.verify(every[d][start : start + 16 * (size + 1)], d, int(members[i_]), float(cos[w_, i_]), start, best)
+                self.verify(every[d][start : start + 16 * (size + 1)], d, int(members[i_]), round(c, 5), start, best)
         return [(*k, *v) for k, v in sorted(best.items())]
 
-    def possible(self, size: int, terms: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows (by first block) and items of a size, where the window has as many of the item's rarest words as it must. terms, at: such words and their blocks."""
+    def possible(self, size: int, terms: np.ndarray, at: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (by first block) and items of a size, where the window has as many of the item's rarest words as it must. terms, at: such words and their blocks; text_of: each block's text."""
         degree, start, who, least, _ = self.exact[size]
         each = degree[terms]
         nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
@@ -313,12 +317,15 @@ class _Searcher:
         pair, n = np.unique(np.repeat(at, each) * items + who[np.repeat(start[terms], each) + nth], return_counts=True)
         if not len(pair):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        pair, n = np.concatenate([pair - j * items for j in range(size + 1)]), np.tile(n, size + 1)
+        block = np.repeat(pair // items, size + 1)
+        back = np.tile(np.arange(size + 1), len(pair))
+        inside = (block >= back) & (text_of[block - np.minimum(back, block)] == text_of[block])
+        pair, n = (np.repeat(pair, size + 1) - back * items)[inside], np.repeat(n, size + 1)[inside]
         order = np.argsort(pair, kind="stable")
         pair, n = pair[order], n[order]
         edge = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         pair, n = pair[edge], np.add.reduceat(n, edge)
-        good = (pair >= 0) & (n >= least[pair % items])
+        good = n >= least[pair % items]
         return np.divmod(pair[good], items)
 
     def verify(self, window: np.ndarray, text: int, i: int, cos: float, at: int, best: dict) -> None:
@@ -339,39 +346,37 @@ class _Searcher:
 def search(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", answer: str | None = None, s: Settings = Settings()) -> DataFrame:
     """(key, item_id, cosine, common, first_word, how): every text that holds an item, one row for each of its items.
 
-    Null and empty texts and items match nothing; repeated rows give repeated rows; an empty table on either side
-    gives an empty result. Only s.items items are held at a time.
+    Null and empty texts and items match nothing; repeated rows give repeated rows, and of an item's windows of one common
+    part the first counts; an empty table on either side gives an empty result. The benchmark is held in every task, as
+    far as s.largest allows: its size is that of the benchmark and not of the documents. One vocabulary, one set of weights
+    and one basis serve all items, and windows end with their text, so neither partitions nor batches change a row.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, item_id long, cosine double, common double, first_word long, how string"
     items = benchmark.select(F.col(item).cast("long").alias("key"), F.col(item_text).alias("text"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("answer"))
-    count = items.count()
-    rounds = max(1, math.ceil(count / s.items))
-    out = None
-    for r in range(rounds):
-        some = items.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r) if rounds > 1 else items
-        plan = _plan(some.collect(), answer is not None)
-        if not plan.items:
-            continue
-        numbered = _numbered(docs, key, text, plan)
-        texts = numbered.select("words")
-        every = _idf(texts, plan, s)
-        idf = _weights(every, plan, s)
-        shared = spark.sparkContext.broadcast(_Searcher(plan, idf, np.exp(0.1 - every), _basis(texts, plan, idf, s), s))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = shared.value
-            for batch in slices(batches, 100_000, "words"):
-                keys = batch.column(0).to_pylist()
-                found = [(keys[d], searcher.plan.items[i].key, *v) for d, i, *v in searcher.texts(_arrays(batch.column(1), len(searcher.plan.terms)))]
-                if found:
-                    columns = list(zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:4]), pa.array(columns[4], pa.int64()), pa.array(columns[5])], ["key", "item_id", "cosine", "common", "first_word", "how"])
-
-        part = numbered.mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()[0] or 0
+    if size // 6 * 4 * s.rank > s.largest:  # a term for every six bytes at most, and a vector for each
+        raise ValueError(f"a benchmark of {size} bytes is more than tasks can hold")
+    plan = _plan(items.collect(), answer is not None)
+    if not plan.items:
+        return spark.createDataFrame([], schema)
+    numbered = _numbered(docs, key, text, plan)
+    texts = numbered.select("words")
+    every = _idf(texts, plan, s)
+    idf = _weights(every, s)
+    shared = spark.sparkContext.broadcast(_Searcher(plan, idf, np.exp(0.1 - every), _basis(texts, plan, idf, s), s))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = shared.value
+        for batch in slices(batches, 100_000, "words"):
+            keys = batch.column(0).to_pylist()
+            found = [(keys[d], searcher.plan.items[i].key, *v) for d, i, *v in searcher.texts(_arrays(batch.column(1), len(searcher.plan.terms)))]
+            if found:
+                columns = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:4]), pa.array(columns[4], pa.int64()), pa.array(columns[5])], ["key", "item_id", "cosine", "common", "first_word", "how"])
+
+    return numbered.mapInArrow(run, schema)
 
 
 def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,6 +384,9 @@ def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item, with their columns as they are. Rows with a null key all stay."""
+    """The rows of docs whose text holds no benchmark item, with their columns as they are.
+
+    Rows with a null key all stay, and so do null and empty texts; of a repeated key all rows go if one's text holds an item.
+    """
     bad = search(docs.where(F.col(f"`{key}`").isNotNull()), key, text, benchmark, s=s).select(F.col("key").alias("__bad")).distinct()
-    return docs.join(bad, docs[key] == bad["__bad"], "left_anti")
+    return docs.join(bad, F.col(f"`{key}`") == F.col("__bad"), "left_anti")
