@@ -119,6 +119,9 @@ def pieces(df: DataFrame, key: str, text: str, vocabulary: str, tokens: int, end
 def pack(cut: DataFrame, cap: Capacity) -> DataFrame:
     """Give each piece (length, part, nth of a materialised table) its sequence_id and offset.
 
+    Pieces of equal length are alike, so ties are settled by their ranks; repeated rows are pieces of their own, and an
+    empty table gives an empty one.
+
     Ranks come from prefix sums over the pieces of a length in each part. Only the histogram of lengths (at most
     cap.tokens rows) reaches the driver, and only the runs, whose number depends on the distinct lengths, go back.
     """
@@ -139,7 +142,8 @@ def pack(cut: DataFrame, cap: Capacity) -> DataFrame:
             at = np.searchsorted(order, length * (1 << 40) + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])], [*columns, "sequence_id", "offset"])
 
-    ranked = cut.join(bases.drop("n"), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base")).drop("part", "nth", "base")
+    # Bases are lengths x parts, so they grow with the input: both sides meet by a shuffle, never by a broadcast.
+    ranked = cut.join(bases.drop("n").hint("merge"), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base")).drop("part", "nth", "base")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name in columns)
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
