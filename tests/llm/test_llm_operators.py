@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -268,32 +269,108 @@ def test_secret_scan(docs, empty):
     assert secrets.mask_secrets(docs, s=s).orderBy("doc_id").collect() == docs.orderBy("doc_id").collect() and secrets.mask_secrets(empty, s=s).count() == 0
 
 
-def test_suffix_tree_scores(docs, empty):
-    train = docs.where("doc_id <> 10")
-    counts = materialise(suffix_model.word_counts(train, "text"), "w")
+def tokens_of(t):
+    return [*(re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")), ""]
+
+
+class SlowTree:
+    """The suffix tree from all contexts in dictionaries."""
+
+    def __init__(self, texts, depth, least=2):
+        self.c, self.n, self.depth = collections.Counter(), collections.defaultdict(collections.Counter), depth
+        for t in texts:
+            w = tokens_of(t)
+            self.c.update(w)
+            for i in range(1, len(w)):
+                for d in range(1, min(depth, i) + 1):
+                    self.n[tuple(w[i - d : i])][w[i]] += 1
+        self.total = sum(self.c.values())
+        self.novel = (sum(v == 1 for v in self.c.values()) + 1) / (self.total + 2)
+        self.kept = set()
+        for context, seen in self.n.items():
+            n = sum(seen.values())
+            up = self.n[context[1:]] if len(context) > 1 else self.c
+            whole = sum(up.values())
+            gain = sum(m * math.log((m / n) / (up[w] / whole)) for w, m in seen.items())
+            if n >= least and gain > 0.5 * len(seen) * math.log(self.total):
+                self.kept |= {context[i:] for i in range(len(context))}
+
+    def p(self, before, w):
+        p = (1 - self.novel) * self.c[w] / self.total if self.c[w] else self.novel
+        for d in range(1, min(self.depth, len(before)) + 1):
+            context = tuple(before[-d:])
+            if context in self.kept:
+                seen = self.n[context]
+                p = (seen[w] + len(seen) * p) / (sum(seen.values()) + len(seen))
+        return p
+
+
+def chained(seed, n):
+    """Six words, each of which often follows from the one, two or three before it."""
+    r, w = np.random.default_rng(seed), [0, 1, 2]
+    for _ in range(n):
+        back = 1 if w[-1] % 3 == 0 else 2 if w[-2] % 3 == 0 else 3
+        x = sum((i + 1) ** 2 * v for i, v in enumerate(w[: -back - 1 : -1]))
+        w.append(int(x % 6 if r.random() < 0.85 else r.integers(6)))
+    return " ".join(WORDS[i + 2] for i in w)
+
+
+CHAINED = [chained(i, 300) for i in range(12)]
+
+
+@pytest.fixture(scope="module")
+def chains(spark, docs):
+    return docs.union(spark.createDataFrame([(100 + i, t, "en", "s", len(t), 7, "k") for i, t in enumerate([*CHAINED, CHAINED[0]])], SCHEMA)).repartition(3)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_suffix_tree_scores_equal_a_slow_tree(chains, empty, depth):
+    docs, texts = chains, dict(enumerate(TEXTS)) | {100 + i: t for i, t in enumerate([*CHAINED, CHAINED[0]])} | {None: "no id"}
+    train = (F.col("doc_id") != 10) | F.col("doc_id").isNull()
+    counts = materialise(suffix_model.word_counts(docs.where(train), "text"), "w")
     c = collections.Counter()
-    for r in train.collect():
-        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")]
-        c.update([*w, ""])
+    for r in docs.where(train).collect():
+        c.update(tokens_of(r["text"]))
     assert {r["word"]: r["c"] for r in counts.collect()} == c
-    tree = suffix_model.fit_tree(counts)
-    out = {r["doc_id"]: r for r in suffix_model.score(docs, "text", [F.col("doc_id")], counts, tree).collect()}
+    slow = SlowTree([r["text"] for r in docs.where(train).collect()], depth)
+    assert len(slow.kept) > 10 and any(len(x) == depth for x in slow.kept)
+    renamed = docs.withColumnRenamed("source", "word").withColumnRenamed("lang", "score")  # names that the operator uses itself
+    rows = suffix_model.score(renamed, "text", [F.col("doc_id"), F.col("word"), F.col("score")], counts, train, suffix_model.Settings(depth=depth, block=500)).collect()
+    assert len(rows) == 27 and rows[0].__fields__ == ["doc_id", "word", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     n, v = sum(c.values()), len(c)
-    for i, t in enumerate(TEXTS):
-        w = [*(re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")), ""]
-        assert out[i]["n_tokens"] == len(w) and out[i]["n_known"] == sum(c[x] > 0 for x in w) and out[i]["train_tokens"] == n
-        assert abs(out[i]["base_score"] - sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6
-        assert out[i]["score"] < 0
-    assert out[10]["score"] > out[10]["base_score"] * 1.02
+    for r in rows:
+        w = tokens_of(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(w) and r["n_known"] == sum(c[x] > 0 for x in w) and r["train_tokens"] == n and r["word"] == "s"
+        assert abs(r["base_score"] - sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6
+        assert abs(r["score"] - sum(math.log10(slow.p(w[:i], x)) for i, x in enumerate(w))) < 1e-6
+    for context in [(), *list(slow.kept)[:20]]:
+        assert abs(sum(slow.p(list(context), w) for w in slow.c) + slow.p(list(context), None) - 1) < 1e-9
     none = materialise(suffix_model.word_counts(empty, "text"), "w")
-    assert suffix_model.score(empty, "text", [F.col("doc_id")], none, suffix_model.fit_tree(none)).count() == 0
+    assert suffix_model.score(empty, "text", [F.col("doc_id")], none, train).count() == 0
+    alone = suffix_model.score(docs, "text", [F.col("doc_id")], none, F.lit(False)).where("doc_id = 7").first()
+    assert alone["train_tokens"] == 0 and abs(alone["score"] - 3 * math.log10(0.5)) < 1e-9
+
+
+def test_suffix_tree_splits_hot_words_and_sends_rare_ones_to_a_join(chains):
+    """With hot words split the contexts differ, and still every text has a score; with few head words nothing changes."""
+    docs, train = chains, F.lit(True)
+    counts = materialise(suffix_model.word_counts(docs, "text"), "w")
+
+    def scores(**given):
+        return {r["doc_id"]: r["score"] for r in suffix_model.score(docs, "text", [F.col("doc_id")], counts, train, suffix_model.Settings(**given)).collect()}
+
+    whole, split = scores(), scores(hot=100)
+    assert whole.keys() == split.keys() and abs(split[10] / whole[10] - 1) < 0.3 and split[10] != whole[10]
+    few = scores(head=0.01)  # shares under a hundredth are joined; the test of one-word contexts takes them to be that
+    assert all(abs(few[i] / whole[i] - 1) < 0.2 for i in whole)
 
 
-def test_suffix_tree_is_a_distribution(docs):
-    tree = suffix_model.fit_tree(materialise(suffix_model.word_counts(docs, "text"), "w"), suffix_model.Settings(least=2))
-    used = len(tree.symbols) and tree.lp.shape[1] - 1
-    for row in 10.0 ** tree.lp.astype(float):
-        assert abs(row[:used].sum() + row[used] * (258 - used) - 1) < 0.02
+def test_packed_rows_come_back():
+    r = np.random.default_rng(1)
+    a = np.where(r.random(500) < 0.5, r.integers(0, 1000, 500), r.integers(1 << 33, 1 << 62, 500)).astype(np.uint64)
+    b = r.integers(0, 1 << 20, 500).astype("<u4")
+    got = suffix_model._unpack(suffix_model._pack([a, b, a[::-1].copy()]), ["<u8", "<u4", "<u8"])
+    assert (got[0] == a).all() and (got[1] == b).all() and (got[2] == a[::-1]).all()
 
 
 def test_decontamination(spark, docs, empty):
