@@ -18,12 +18,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._common import ASCII_LOWER, documents, materialise, slices, text_bytes
 from quire.llm.components import components
-from quire.llm.shingle_join import groups
+from quire.llm.shingle_join import groups, mark
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -256,15 +256,21 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keep one row of each group of near copies: that with the smallest key (of rows with one key, the one whose text hashes lowest).
+    """Keep one row of each group of near copies: that with the smallest key, of equal keys that whose text hashes lowest.
 
-    Near copies have five-word shingles of Jaccard similarity 0.8 or more, by an exact join: SimHash at 4 bits finds few of them.
-    Columns of docs stay as they are. Rows with a null key have no name to be kept under, and all stay.
+    Near copies have five-word shingles of Jaccard similarity 0.8 or more, by an exact join: SimHash at 4 bits finds few of
+    them. Columns of docs stay as they are. Rows with one key but unlike texts are told apart by their texts, and each group
+    keeps its own; of rows with equal key and text one stays. Null texts count as empty, and one of all empty ones stays.
+    Rows with a null key have no name to be kept under, and all stay.
     """
-    names = docs.columns
     k = F.col(f"`{key}`")
     keyed = docs.where(k.isNotNull())
-    keep = groups(keyed, key, text).select(F.col("component").alias("__keep")).distinct()
-    left = keyed.join(keep, k == keep["__keep"], "left_semi")
-    first = Window.partitionBy(k).orderBy(F.xxhash64(F.col(f"`{text}`")))
-    return left.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in names]).union(docs.where(k.isNull()))
+    alike = groups(keyed, key, text).groupBy("root", "key", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = materialise(alike.groupBy("root").agg(F.min(F.struct("key", "mark", "n")).alias("m")).select(F.col("m.key").alias("__k"), F.col("m.mark").alias("__m"), F.col("m.n").alias("__n")), "kept")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    met = (k == F.col("__k")) & (mark(text) == F.col("__m"))
+    out = keyed.join(first.where("__n = 1"), met, "left_semi")
+    again = first.where("__n > 1")
+    if again.limit(1).count():  # repeated rows, of which few reach the shuffle
+        out = out.union(keyed.join(again, met).dropDuplicates(["__k", "__m"]).select(*names))
+    return out.union(docs.where(k.isNull()))

@@ -161,6 +161,13 @@ def test_near_dedup_keeps_columns_and_rows_without_id(docs, empty):
     assert ids.count(None) == 1 and 0 in ids and 1 not in ids and ids.count(6) == 1 and {7, 8, 9, 10, 11} <= set(ids)
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    a, b = text(21, 40), text(22, 40)
+    rows = [(2, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (7, None, "x"), (8, "", "x"), (5, text(23, 40), "x")]
+    out = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, root string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in out) == sorted([(2, a), (5, b), (5, rows[6][1]), (7, "")]) and out[0].__fields__ == ["doc_id", "text", "root"]
+
+
 def test_near_dedup_finds_all_pairs_at_jaccard_of_four_fifths(spark):
     r = np.random.default_rng(8)
     texts = []
