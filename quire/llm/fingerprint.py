@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ class Settings:
     bits: int = 16
 
 
+#: Text of a part, about: parts are streamed, so this bounds a task's time and not its memory.
+PART_BYTES = 64_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -112,35 +115,47 @@ def edited(text: str, following: str) -> str:
 def compare_neighbours(df: DataFrame, key: str, text: str, s: Settings = Settings(), parts: int | None = None) -> DataFrame:
     """Fingerprints of every text and its edited text, in descending key order; after the last comes the first.
 
-    Rows are dealt once by key range and streamed in order. A part's last row needs the next part's first: only
-    those rows, one a part, are fetched beforehand. Null texts count as empty; null keys come last; rows with
-    equal keys are ordered by text. A table of one row has itself as the next. An empty table gives an empty one.
+    Rows are dealt once by key range, in parts of PART_BYTES of text or so, and streamed in order. A part's last row needs
+    the next part's first: that row goes to both, and only the parts' numbers reach the driver. Null texts count as empty;
+    null keys come last; rows with equal keys are ordered by text. A table of one row has itself as the next. An empty
+    table gives an empty one. Other columns play no part, whatever their names.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = df.sparkSession
     kind = df.schema[key].dataType
     arrow = to_arrow_type(kind)
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = parts or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    if not parts:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     # Part edges from the keys alone, so that both passes cut alike.
-    found = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10_000).alias("p")).first()["p"] or []
-    edges = sorted(set(found), reverse=True)
-    part = F.when(F.col("key").isNull(), len(edges)).otherwise(F.size(F.filter(F.array(*[F.lit(e).cast(kind) for e in edges]), lambda e: e >= F.col("key"))) if edges else F.lit(0)).cast("int")
+    found = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("p")).first()["p"] or []
+    edges = sorted(set(found))
+    shared = spark.sparkContext.broadcast(np.array(edges))
+
+    @F.pandas_udf("int")
+    def part_of(keys: pd.Series) -> pd.Series:
+        at = len(shared.value) - np.searchsorted(shared.value, keys.dropna().to_numpy(shared.value.dtype), side="right")
+        return pd.Series(len(shared.value) + 1, keys.index).where(keys.isna(), pd.Series(at, keys.dropna().index).reindex(keys.index, fill_value=0)).astype("int32")
+
+    nothing = F.col("key").isNull()
+    part = F.when(nothing, len(edges) + 1).otherwise(part_of("key")) if edges else nothing.cast("int")
     dealt = rows.withColumn("part", part)
     # The first row of each part, that is the largest key and of equal ones the smallest text.
-    firsts = dealt.groupBy("part").agg(F.max("key").alias("key"))
-    heads = dealt.join(F.broadcast(firsts.withColumnRenamed("part", "p").withColumnRenamed("key", "k")), (F.col("part") == F.col("p")) & F.col("key").eqNullSafe(F.col("k"))).groupBy("part").agg(F.min("text").alias("text"))
-    head = {r["part"]: r["text"] for r in heads.collect()}  # at most parts + 1 texts
-    there = sorted(head)
-    following = spark.sparkContext.broadcast({p: head[there[(i + 1) % len(there)]] for i, p in enumerate(there)})
+    firsts = dealt.groupBy("part").agg(F.max("key").alias("k"))
+    there = sorted(r["part"] for r in firsts.select("part").collect())  # small numbers, one a part
+    before = spark.createDataFrame([(p, there[i - 1]) for i, p in enumerate(there)], "p int, before int")
+    heads = dealt.join(F.broadcast(firsts.withColumnRenamed("part", "p")), (F.col("part") == F.col("p")) & F.col("key").eqNullSafe(F.col("k"))).groupBy("part").agg(F.min("text").alias("text"))
+    heads = heads.join(F.broadcast(before), F.col("part") == F.col("p")).select(F.lit(None).cast(kind).alias("key"), "text", F.col("before").alias("part"), F.lit(True).alias("is_next"))
+    dealt = dealt.withColumn("is_next", F.lit(False)).union(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         done: list[tuple] = []
 
         def line(row: tuple, next_text: str, next_sig: np.ndarray) -> tuple:
-            k, body, sig, _ = row
+            k, body, sig = row
             other = edited(body, next_text)
             other_sig = signature(other, s)
             return (k, len(body), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint_hex(sig), fingerprint_hex(other_sig), likeness(sig, other_sig), likeness(sig, next_sig))
@@ -150,23 +165,18 @@ def compare_neighbours(df: DataFrame, key: str, text: str, s: Settings = Setting
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         for batch in slices(batches):
-            for k, body, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                row = (k, body, signature(body, s), p)
+            for k, body, is_next in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                sig = signature(body, s)
                 if held is not None:
-                    if held[3] == p:
-                        done.append(line(held, body, row[2]))
-                    else:
-                        done.append(line(held, t := following.value[held[3]], signature(t, s)))
-                held = row
+                    done.append(line(held, body, sig))
+                held = None if is_next else (k, body, sig)  # the next part's first row ends a part
             if len(done) >= 1000:
                 yield out(done)
                 done = []
-        if held is not None:
-            done.append(line(held, t := following.value[held[3]], signature(t, s)))
         if done:
             yield out(done)
 
-    ordered = dealt.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("part", F.desc_nulls_last("key"), "text")
+    ordered = dealt.repartitionById(max([*there, 0]) + 1, F.col("part")).sortWithinPartitions("part", "is_next", F.desc_nulls_last("key"), "text")
     return ordered.mapInArrow(run, f"key {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

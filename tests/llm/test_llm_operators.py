@@ -224,6 +224,35 @@ def test_order_minhash(unique, empty, spark):
     assert fingerprint.compare_neighbours(unique.where("doc_id = 7"), "doc_id", "text").count() == 1
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5, 40])
+def test_order_minhash_orders_null_and_repeated_keys(spark, parts):
+    rows = [(4, "four"), (9, "nine b"), (9, "nine a"), (9, "nine a"), (None, "z"), (None, None), (1, text(31, 90)), (0, "")]
+    got = fingerprint.compare_neighbours(spark.createDataFrame([(k, t, "x") for k, t in rows], "id long, body string, key string").repartition(4), "id", "body", parts=parts).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for i, (k, t) in enumerate(order):
+        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+        want.append((k, hashlib.sha256(fingerprint.edited(t, nxt).encode()).hexdigest(), fingerprint.likeness(fingerprint.signature(t), fingerprint.signature(nxt))))
+    assert sorted(((r["key"], r["edited_sha256"], r["near_next"]) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("n", [60, 400, 6000])
+def test_order_minhash_falls_with_edit_distance(n):
+    r, means = np.random.default_rng(n), []
+    for rate in (0.0, 0.004, 0.015, 0.05, 0.15):
+        found = []
+        for _ in range(30):
+            code = r.integers(97, 123, n)
+            other = code.copy()
+            at = r.random(n) < rate
+            other[at] = r.integers(97, 123, at.sum())
+            found.append(fingerprint.likeness(*(fingerprint.signature("".join(map(chr, x.tolist()))) for x in (code, other))))
+        means.append(np.mean(found))
+    assert means[0] == 1 and all(a > b + 0.02 for a, b in zip(means[:-1], means[1:], strict=True))
+    # A tuple stays if its k-mers do: about (1 - rate) to the power of all their code points, less what comes in anew.
+    assert abs(means[1] - 0.996**16) < 0.1 and means[3] < 0.6
+
+
 def test_order_minhash_sees_order_and_all_ranks():
     a, b = text(8, 400), text(9, 400)
     half = fingerprint.likeness(fingerprint.signature(a + " " + b), fingerprint.signature(b + " " + a))
@@ -232,6 +261,14 @@ def test_order_minhash_sees_order_and_all_ranks():
     k = fingerprint._kmers(a * 20, s.k)
     ranks = fingerprint._numbered(k)
     assert len(set(ranks.tolist())) == len(ranks)
+    bins, slow = ranks >> np.uint64(58), []
+    for b in range(64):
+        picked = sorted(sorted(np.flatnonzero(bins == b).tolist(), key=lambda i: ranks[i])[:2])
+        h = np.zeros(1, np.uint64)
+        for i in picked:
+            h = fingerprint._mix(h * fingerprint._A + k[i])
+        slow.append(int(h[0] >> np.uint64(48)))
+    assert slow == fingerprint.signature(a * 20).tolist()
 
 
 def test_langid(spark, empty):
