@@ -204,6 +204,42 @@ def test_near_dedup_finds_all_pairs_at_jaccard_of_four_fifths(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [i for i in range(len(texts)) if root(i) == i]
 
 
+@pytest.mark.parametrize("kind", range(6))
+def test_dense_groups_lose_no_link(kind):
+    """A group cut by further bits joins what all its pairs join that need to meet under the key."""
+    r = np.random.default_rng(kind)
+    shared = [simhash._SEGMENTS[kind - 3]] if kind >= 3 else [simhash._SEGMENTS[i] for i in simhash._PAIRS[kind]]
+    fixed = sum(((1 << bits) - 1) << first for first, bits in shared)
+    free = [b for b in range(64) if not fixed >> b & 1]
+    base = [(12345 * 2**40 & fixed) | (int(r.integers(0, 2**63)) & ~fixed & (2**63 - 1)) for _ in range(40)]
+    fps = set(base)
+    for f in base:
+        for n in (1, 2, 4 if kind >= 3 else 2, 5):
+            for b in r.choice(free, n, replace=False):
+                f ^= 1 << int(b)
+            fps.add(f & (2**63 - 1))
+    fps = np.array(sorted(fps), np.int64)
+    key = np.full(len(fps), kind << 24, np.int64)
+
+    def roots(pairs):
+        parent = {int(f): int(f) for f in fps}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = root(int(a)), root(int(b))
+            parent[max(a, b)] = min(a, b)
+        return [root(int(f)) for f in fps]
+
+    most = 4 if kind >= 3 else 2
+    want = roots((a, b) for i, a in enumerate(fps) for b in fps[:i] if (int(a) ^ int(b)).bit_count() <= most)
+    got = roots(p for found in simhash._met(key, fps, 4, dense=3) for p in found.view(np.int64))
+    assert len(set(want)) < len(fps) and all(got[i] == got[list(fps).index(w)] for i, w in enumerate(want))
+
+
 def test_golay_keys_meet_at_one_error():
     w = np.random.default_rng(1).integers(0, 1 << 23, 2000)
     _, probes = simhash.golay_keys(w)
@@ -295,6 +331,35 @@ def test_toxicity_reads_through_disguises(spark, docs, empty):
     assert toxicity.fit(empty.withColumn("toxic", F.lit(1)), "doc_id", "text", "toxic").score(0.0) <= 0.5
     kept = toxicity.drop_toxic(docs, labelled.select("doc_id", "toxic"))
     assert kept.columns == docs.columns
+    clashing = labelled.select("doc_id", "text", F.lit(1).alias("score"), F.lit("x").alias("c0"))
+    kept = toxicity.drop_toxic(clashing, labelled.select("doc_id", "toxic"))
+    assert kept.columns == clashing.columns and 0 < kept.count() < 402 and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id = 0").count() == 0
+    assert toxicity.drop_toxic(docs, empty.select("doc_id", F.lit(1).alias("toxic"))).count() == docs.count()
+
+
+def test_toxicity_decoder_is_exact_on_disguised_tokens(spark):
+    """The beam gives what all states give, and that is the likeliest of all readings."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    words = collections.Counter(w for r in rows for w in toxicity._LETTERS_RUN.findall((r["text"] or "").lower()))
+    m = toxicity.CharacterModel(dict(words))
+    tokens = sorted({t.lower() for r in rows for t in (r["text"] or "").split() if toxicity.disguised(t.lower())})[:150] + ["w0rthle55", "m.o.r.o.n", "1d10t", "st000pid", "l0$3r"]
+    for t in tokens:
+        assert m.decode(t) == m.decode(t, 0), t
+    for t in ("m0r0n", "b4d", "1ll"):  # every letter a reading may have, no repeats: the cheapest path by trying all
+        options = [[(x, 1.0) for x in toxicity.LEET.get(c, "")] + ([(c, 0.1)] if c.isalpha() else [(None, 6.0)]) for c in t]
+        best = {}
+
+        def walk(i, word, cost):
+            if i == len(t):  # noqa: B023
+                best[word] = min(best.get(word, 1e9), cost + m.cost(("  " + word)[-2:], " "))  # noqa: B023
+                return
+            for x, c in options[i]:  # noqa: B023
+                walk(i + 1, word + (x or ""), cost + c + (m.cost(("  " + word)[-2:], x) if x else 0))
+            if i and t[i] == t[i - 1] and t[i].isalpha():  # noqa: B023
+                walk(i + 1, word, cost + 4.0)
+
+        walk(0, "", 0.0)
+        assert m.decode(t) == min(best, key=best.get)
 
 
 def slow_base(t):
