@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import char_ngrams, fold_search, let
@@ -45,35 +46,40 @@ def vocabulary(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("doc"))
 
 
-def query_terms(spark, text: str, lower: bool = True) -> DataFrame:
-    """(term, pos) of a query, one row for each occurrence."""
-    q = spark.createDataFrame([(text,)], "q string").select(fold_search(F.col("q"), False, lower).alias("t"))
-    return q.where("t <> ''").select(F.posexplode(char_ngrams(F.col("t"), ordered=True)).alias("pos", "term"))
+def folded_query(spark: SparkSession, text: str, lower: bool = True) -> str:
+    return spark.range(1).select(fold_search(F.lit(text), False, lower).alias("t")).first()["t"]
 
 
-def rarest(terms: DataFrame, vocab: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+def query_terms(spark: SparkSession, text: str) -> list[str]:
+    """A query's terms in order, repeated ones included: a handful on the driver, as the query itself."""
+    u = folded_query(spark, text).replace(" ", "_")
+    return [] if not u else [u] if len(u) < 3 else [u[i : i + 3] for i in range(len(u) - 2)]
+
+
+def rarest(terms: Sequence[str], vocabulary: DataFrame, most: int = MOST_TERMS) -> list[str]:
     """Over ``most`` terms, the distinct ones with the fewest pages (none counts as 0), earlier first; else all as they are."""
-    first = terms.groupBy("term").agg(F.min("pos").alias("pos"))
-    ranked = first.join(vocab, "term", "left").withColumn("df", F.coalesce("doc", F.lit(0)))
-    kept = ranked.orderBy("df", "pos").limit(most).select("pos", "term")
-    if terms.count() > most:  # a query's terms, not the data's
-        return kept
-    return terms.select("pos", "term")
+    if len(terms) <= most:
+        return list(terms)
+    first = list(dict.fromkeys(terms))
+    doc = {r["term"]: r["doc"] for r in vocabulary.where(F.col("term").isin(first)).collect()}
+    return sorted(first, key=lambda t: doc.get(t, 0))[:most]
 
 
-def bm25(posted: DataFrame, dl: DataFrame, terms: DataFrame) -> DataFrame:
+def bm25(postings: DataFrame, terms: Sequence[str], n: int, avgdl: float) -> DataFrame:
     """(id, score) for pages that hold a term; the lower the better, as in SQLite's bm25(). A repeated query term counts each time.
 
-    The query's terms are few and reach every task, so postings are filtered where they are scanned.
+    The terms are literals, so stored postings are pruned where they are scanned; a term's pages are counted among the
+    same rows, and partial sums go to a page before any shuffle.
     """
-    wanted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = posted.join(F.broadcast(wanted), "term")
-    stats = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FEWEST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("id").agg((-F.sum(F.col("qtf") * part)).alias("score"))
+    spark = postings.sparkSession
+    times = {t: terms.count(t) for t in terms}
+    hits = postings.where(F.col("term").isin(list(times)))
+    df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    if not df:
+        return spark.createDataFrame([], "id long, score double")
+    weight = F.create_map(*[F.lit(x) for t, d in df.items() for x in (t, times[t] * max(math.log((n - d + 0.5) / (d + 0.5)), FEWEST_IDF))])
+    part = weight[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    return hits.groupBy("id").agg((-F.sum(part)).alias("score"))
 
 
 def covered(txt: Column, terms: Sequence[str], aware: bool = False) -> Column:
@@ -82,29 +88,23 @@ def covered(txt: Column, terms: Sequence[str], aware: bool = False) -> Column:
     return let(t, lambda u: sum((u.contains(x).cast("int") for x in terms), F.lit(0))) / F.lit(float(len(terms)))
 
 
-def search_trigram(indexed: DataFrame, posted: DataFrame | None, dl: DataFrame, text: str, k: int, book: str | None = None, aware: bool = False, vocab: DataFrame | None = None) -> DataFrame:
+def search_trigram(index, text: str, k: int, book: str | None = None, aware: bool = False) -> DataFrame:
     """(id, book, page, score, coverage), best k: BM25's first 3 k, then those that hold enough of the query's terms.
 
-    posted: a stored index; without one the query's own terms are counted in a scan.
+    index: a SearchIndex. Only 3 k ids and a query's terms reach the driver.
     """
-    spark = indexed.sparkSession
-    listed = [r["term"] for r in query_terms(spark, text).orderBy("pos").collect()]  # a query's terms
-    if posted is None:
-        posted = postings(indexed, sorted(set(listed)))
-    if len(listed) > MOST_TERMS:
-        asked = spark.createDataFrame(list(enumerate(listed)), "pos int, term string")
-        listed = [r["term"] for r in rarest(asked, vocab if vocab is not None else vocabulary(posted)).orderBy("pos").collect()]
-    if not listed:
-        return indexed.limit(0).select("id", "book", "page", F.lit(0.0).alias("score"), F.lit(0.0).alias("coverage"))
-    fixed = spark.createDataFrame([(i, t) for i, t in enumerate(listed)], "pos int, term string")
-    pages = indexed.where(F.col("book") == book) if book else indexed
-    scored = bm25(posted, dl, fixed)
-    if book:
-        scored = scored.join(pages.select("id"), "id", "left_semi")
-    top = scored.orderBy("score", "id").limit(3 * k)
-    met = pages.join(F.broadcast(top), "id").withColumn("coverage", covered(fold_search(F.col("raw"), False, True), listed, aware))
+    spark = index.pages.sparkSession
+    listed = rarest(query_terms(spark, text), index.vocabulary)
+    scored = bm25(index.postings, listed, index.n, index.avgdl) if listed else spark.createDataFrame([], "id long, score double")
+    if book is not None:
+        scored = scored.join(index.pages.where(F.col("book") == book).select("id"), "id", "left_semi")
+    top = {r["id"]: r["score"] for r in scored.orderBy("score", "id").limit(3 * k).collect()}
+    if not top:
+        return index.pages.limit(0).select("id", "book", "page", F.lit(0.0).alias("score"), F.lit(0.0).alias("coverage"))
+    score = F.create_map(*[F.lit(x) for i, s in top.items() for x in (i, s)])
+    met = index.pages.where(F.col("id").isin(list(top))).select("id", "book", "page", score[F.col("id")].alias("score"), covered(F.col("txt"), listed, aware).alias("coverage"))
     need = 0.34 if len(listed) >= 12 else 0.55
-    return met.where(F.col("coverage") >= need).orderBy("score", "id").limit(k).select("id", "book", "page", "score", "coverage")
+    return met.where(F.col("coverage") >= need).orderBy("score", "id").limit(k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -129,26 +129,54 @@ def fuse(lists: Sequence[DataFrame], key: str, order: Sequence[Column], k: int)
 
 
 def snippet(raw: Column, wanted: Sequence[str], window: int = 30, shown: int = 40, width: int = 260) -> Column:
-    """The words from the best window on: the first run of ``window`` words with most query words; the text's start without a query."""
+    """The words from the best window on: the first run of ``window`` words with most query words.
+
+    Without query words, and for texts of white space alone, the text's start. One count rolls along the words.
+    """
     if not wanted:
-        return F.left(raw, F.lit(width))
+        return F.left(F.coalesce(raw, F.lit("")), F.lit(width))
+
     def best(words: Column, hit: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - window, F.lit(0)))
-        counts = F.transform(starts, lambda i: F.aggregate(F.slice(hit, i + 1, F.lit(window)), F.lit(0), lambda a, x: a + x))
-        return let(counts, lambda c: F.left(F.array_join(F.slice(words, F.array_position(c, F.array_max(c)).cast("int"), F.lit(shown)), " "), F.lit(2 * width)))
+        first = F.aggregate(F.slice(hit, 1, window), F.lit(0), lambda a, x: a + x)
+        start = F.struct(first.alias("now"), first.alias("most"), F.lit(0).alias("at"))
+
+        def step(s: Column, i: Column) -> Column:
+            now = s["now"] - F.get(hit, i - 1) + F.get(hit, i + window - 1)
+            return F.struct(now.alias("now"), F.greatest(now, s["most"]).alias("most"), F.when(now > s["most"], i).otherwise(s["at"]).alias("at"))
+
+        later = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - window, F.lit(0))), lambda i: i > 0)
+        return F.left(F.array_join(F.slice(words, F.aggregate(later, start, step)["at"] + 1, F.lit(shown)), " "), F.lit(2 * width))
 
     words = F.filter(F.split(raw, r"\s+"), lambda w: F.length(w) > 0)
     hits = lambda ws: F.transform(ws, lambda w: fold_search(w, False, True).isin(*wanted).cast("int"))
-    return let(words, lambda ws: F.when(F.size(ws) > 0, let(hits(ws), lambda h: best(ws, h))).otherwise(""))
+    return let(words, lambda ws: F.when(F.size(ws) > 0, let(hits(ws), lambda h: best(ws, h))).otherwise(F.left(F.coalesce(raw, F.lit("")), F.lit(width))))
+
+
+UNAVAILABLE = "trigram (subject search unavailable)"
 
 
-def search(indexed: DataFrame, posted: DataFrame | None, dl: DataFrame, text: str, limit: int, mode: str = "trigram", vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, book: str | None = None) -> DataFrame:
-    """(id, score, mode): trigram, semantic or hybrid search; without vector results the latter two are trigram searches."""
-    inner = 2 * limit
-    tri = search_trigram(indexed, posted, dl, text, inner, book).select("id", "score")
-    if mode == "trigram" or vectors is None or query_vector is None:
-        return tri.orderBy("score", "id").limit(limit).withColumn("mode", F.lit("trigram"))
-    sem = search_vectors(vectors, "id", query_vector, inner)
+def search(index, text: str, limit: int, mode: str = "trigram", vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, book: str | None = None) -> DataFrame:
+    """(rank, id, mode, snippet): trigram, semantic or hybrid search over a SearchIndex, each list twice as long as the result.
+
+    vectors: (id, book, embedding). Without vector results semantic search is trigram search under a mode that says so, and
+    hybrid search is trigram search. An unknown mode is searched as hybrid without a list.
+    """
+    spark = index.pages.sparkSession
+    inner, vector_hits = 2 * limit, None
+    if mode in ("hybrid", "semantic") and vectors is not None and query_vector is not None:
+        near = search_vectors(vectors, "id", query_vector, inner, None if book is None else F.col("book") == book)
+        vector_hits = near if near.head(1) else None
+    if mode == "semantic" and vector_hits is None:
+        mode = UNAVAILABLE
     if mode == "semantic":
-        return sem.limit(limit).withColumn("mode", F.lit("semantic"))
-    return fuse([tri, sem], "id", [F.col("score"), F.desc("score")], limit).withColumn("mode", F.lit("hybrid"))
+        order = vector_hits.orderBy(F.desc("score"), "id").limit(limit)
+    else:
+        order = search_trigram(index, text, inner, book).select("id", "score")
+        order = order.orderBy("score", "id").limit(limit) if vector_hits is None else fuse([order, vector_hits], "id", [F.col("score"), F.desc("score")], limit)
+    ids = [r["id"] for r in order.collect()]
+    if not ids:
+        return spark.createDataFrame([], "rank int, id long, mode string, snippet string")
+    wanted = sorted(set(folded_query(spark, text).split()))
+    rank = F.create_map(*[F.lit(x) for i, v in enumerate(ids, 1) for x in (v, i)])
+    found = index.pages.where(F.col("id").isin(ids)).select(rank[F.col("id")].alias("rank"), "id", F.lit(mode).alias("mode"), snippet(F.col("raw"), wanted).alias("snippet"))
+    return found.orderBy("rank")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import metrics as M
 from quire.functions import text as T
 from quire.operators import search as S
+from quire.operators.index import SearchIndex, open_index
 from quire.plans.registry import query
 from quire.tables import corpus, table
 
@@ -42,14 +43,8 @@ met AS (SELECT i.id, book, page, score, (SELECT count(*) FILTER (contains(i.txt,
 SELECT id, book, page, round(score, 6) AS score, round(coverage, 6) AS coverage FROM met WHERE coverage >= {need} ORDER BY met.score, id LIMIT {k}"""
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    i = S.index_pages(corpus(spark, sf_dir))
-    return i, S.postings(i), S.lengths(i)
-
-
-def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, None, DataFrame]:
-    i = S.index_pages(corpus(spark, sf_dir))
-    return i, None, S.lengths(i)
+def _index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return open_index(corpus(spark, sf_dir))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -58,12 +53,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query(f"WITH {_POSTED}, {_terms(QUERY)}, terms AS (SELECT * FROM asked), {_SCORED}, {_found(10, '0.34')}")
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(S.search_trigram(*_scanned(spark, sf_dir), QUERY, 10), "score", "coverage")
+    return _rounded(S.search_trigram(_index(spark, sf_dir), QUERY, 10), "score", "coverage")
 
 
 @query(f"WITH {_POSTED}, {_terms(QUERY)}, terms AS (SELECT * FROM asked), {_SCORED}, {_found(5, '0.34', 'src3')}")
 def search_bm25_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(S.search_trigram(*_scanned(spark, sf_dir), QUERY, 5, book="src3"), "score", "coverage")
+    return _rounded(S.search_trigram(_index(spark, sf_dir), QUERY, 5, book="src3"), "score", "coverage")
 
 
 _RAREST = f"""WITH {_POSTED}, {_terms(LONG_QUERY)}, vocab AS (SELECT term, count(*) AS doc FROM posted GROUP BY term),
@@ -73,25 +68,76 @@ terms AS (SELECT term, pos FROM (SELECT term, min(pos) AS pos FROM asked GROUP B
 @query(_RAREST + " SELECT term, pos - 1 AS pos FROM terms")
 def rarest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = S.query_terms(spark, LONG_QUERY)
-    indexed, _, _ = _scanned(spark, sf_dir)
-    return S.rarest(asked, S.vocabulary(S.postings(indexed, sorted({r["term"] for r in asked.collect()})))).select("term", "pos")
+    kept = S.rarest(asked, _index(spark, sf_dir).vocabulary)
+    return spark.createDataFrame([(t, asked.index(t)) for t in kept], "term string, pos int")
 
 
 @query(f"{_RAREST}, {_SCORED}, {_found(10, '0.34')}")
 def search_long_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(S.search_trigram(*_scanned(spark, sf_dir), LONG_QUERY, 10), "score", "coverage")
+    return _rounded(S.search_trigram(_index(spark, sf_dir), LONG_QUERY, 10), "score", "coverage")
 
 
 @query(f"WITH {_POSTED} SELECT term, count(*) AS doc, sum(tf)::BIGINT AS n FROM posted GROUP BY term")
 def trigram_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, posted, _ = _indexed(spark, sf_dir)
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("doc"), F.sum("tf").alias("n"))
+    return _index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("doc"), F.sum("tf").alias("n"))
 
 
 @query(f"WITH {_POSTED} SELECT id, count(*) AS terms, sum(tf)::BIGINT AS n, max(tf) AS most FROM posted GROUP BY id")
 def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, posted, _ = _indexed(spark, sf_dir)
-    return posted.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("n"), F.max("tf").alias("most"))
+    return _index(spark, sf_dir).postings.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("n"), F.max("tf").alias("most"))
+
+
+@query(f"""WITH {_POSTED} SELECT (SELECT count(*) FROM posted) AS postings, (SELECT count(DISTINCT term) FROM posted) AS terms, count(*) AS pages, round(avg(dl), 6) AS avgdl, md5(string_agg(md5(txt), '' ORDER BY id)) AS texts FROM indexed JOIN dl USING (id)""")
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index, built where it isn't yet; its sizes and a digest of its folded texts."""
+    i = _index(spark, sf_dir)
+    texts = i.pages.select(F.collect_list(F.struct("id", F.md5(F.col("txt").cast("binary")).alias("m"))).alias("l")).select(F.md5(F.array_join(F.transform(F.array_sort("l"), lambda x: x["m"]), "").cast("binary")).alias("texts"))
+    return i.postings.agg(F.count(F.lit(1)).alias("postings")).crossJoin(i.vocabulary.agg(F.count(F.lit(1)).alias("terms"))).crossJoin(texts).select("postings", "terms", F.lit(i.n).cast("long").alias("pages"), F.round(F.lit(i.avgdl), 6).alias("avgdl"), "texts")
+
+
+_WORDS = "list_filter(regexp_split_to_array(raw, '\\s+'), lambda w: w <> '')"
+
+
+def _snippet_sql(found: str, text: str) -> str:
+    """rank, id, mode and the best window of 30 words of found(rank, id, mode), in full."""
+    return f"""asked_words AS (SELECT DISTINCT unnest(string_split({fold_sql(repr(text))}, ' ')) AS q), found AS ({found}),
+w AS (SELECT rank, id, mode, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos, len(words) AS n FROM (SELECT rank, f.id, mode, {_WORDS} AS words FROM found f JOIN (SELECT doc_id AS id, text AS raw FROM documents) USING (id))),
+h AS (SELECT *, sum(CASE WHEN {fold_sql("word")} IN (SELECT q FROM asked_words) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS hits FROM w),
+best AS (SELECT id, arg_max(pos, (hits, -pos)) AS best_at FROM h WHERE pos <= greatest(n - 30, 0) GROUP BY id)
+SELECT rank::INT AS rank, id, mode, left(string_agg(word, ' ' ORDER BY pos), 520) AS snippet FROM w JOIN best USING (id) WHERE pos BETWEEN best_at AND best_at + 39 GROUP BY ALL"""
+
+
+_TRI = f"{_POSTED}, {_terms(QUERY)}, terms AS (SELECT * FROM asked), {_SCORED}, top AS (SELECT * FROM scored ORDER BY score, id LIMIT 60), met AS (SELECT i.id, score, (SELECT count(*) FILTER (contains(i.txt, term)) / count(*) FROM terms) AS coverage FROM top JOIN indexed i USING (id)), tri AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM met WHERE coverage >= 0.34 QUALIFY rank <= 20)"
+_SEM = "q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings, q WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY rank <= 20)"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    """Pages' vectors (those whose number a page has) and the first of all vectors as the query's."""
+    store = table(spark, sf_dir, "embeddings")
+    pages = corpus(spark, sf_dir).select("id", "book")
+    return store.join(pages, store["vec_id"] == pages["id"]).select("id", "book", "embedding"), store.orderBy("vec_id").limit(1).first()["embedding"]
+
+
+@query(f"WITH {_TRI}, {_snippet_sql('SELECT rank, id, ' + chr(39) + 'trigram' + chr(39) + ' AS mode FROM tri WHERE rank <= 10', QUERY)}")
+def search_page_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.search(_index(spark, sf_dir), QUERY, 10)
+
+
+@query(f"WITH {_SEM}, {_snippet_sql('SELECT rank, id, ' + chr(39) + 'semantic' + chr(39) + ' AS mode FROM sem WHERE rank <= 10', QUERY)}")
+def search_page_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.search(_index(spark, sf_dir), QUERY, 10, "semantic", *_vectors(spark, sf_dir))
+
+
+@query(f"WITH {_TRI}, {_snippet_sql('SELECT rank, id, ' + chr(39) + S.UNAVAILABLE + chr(39) + ' AS mode FROM tri WHERE rank <= 10', QUERY)}")
+def search_page_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic search without vectors is trigram search that says so."""
+    return S.search(_index(spark, sf_dir), QUERY, 10, "semantic")
+
+
+@query(f"""WITH {_TRI}, {_SEM}, both_lists AS (SELECT id, rank, 0 AS list FROM tri UNION ALL SELECT id, rank, 1 FROM sem),
+{_snippet_sql("SELECT * FROM (SELECT row_number() OVER (ORDER BY fused DESC, first) AS rank, id, 'hybrid' AS mode FROM (SELECT id, sum(1.0 / (60 + rank)) AS fused, min((list, rank)) AS first FROM both_lists GROUP BY id)) WHERE rank <= 10", QUERY)}""")
+def search_page_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.search(_index(spark, sf_dir), QUERY, 10, "hybrid", *_vectors(spark, sf_dir))
 
 
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
@@ -151,9 +197,9 @@ def page_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).groupBy("book").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
 
 
-@query("SELECT doc_id, source AS book, text AS raw FROM documents WHERE source = 'src4' AND doc_id BETWEEN 10 AND 400")
+@query("SELECT doc_id, source AS book, text AS raw FROM documents WHERE source = 'src4'")
 def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("source = 'src4' AND doc_id BETWEEN 10 AND 400").select("doc_id", F.col("source").alias("book"), F.col("text").alias("raw"))
+    return table(spark, sf_dir, "documents").where("source = 'src4'").select("doc_id", F.col("source").alias("book"), F.col("text").alias("raw"))
 
 
 @query("SELECT DISTINCT source AS book FROM documents ORDER BY 1")
