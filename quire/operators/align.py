@@ -1,11 +1,16 @@
-"""Alignment of noisy pages with a reference stream by votes of rare tokens."""
+"""Alignment of noisy pages with a reference edition by votes of rare tokens."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RARE, LEAST, BUCKET = 25, 3, 32
+from quire.functions import metrics as M
+
+RARE, LEAST, BUCKET, STOP = 25, 3, 32, 150
+MIN_TOKENS, MIN_ANCHORED = 40, 12
+#: Rows of rare tokens up to which they go to every task; beyond, pages' tokens are shuffled to them.
+BROADCAST_ROWS = 2_000_000
 
 
 def rare_tokens(stream: DataFrame) -> DataFrame:
@@ -14,26 +19,91 @@ def rare_tokens(stream: DataFrame) -> DataFrame:
     return stream.join(few, "tok")
 
 
-def anchor_votes(pages: DataFrame, stream: DataFrame, key: str) -> DataFrame:
-    """pages(key, pos, tok), stream(tok, pos): each page's most voted offset bucket, its votes and their ratio to the anchored tokens.
+def stop_words(stream: DataFrame, most: int = STOP) -> DataFrame:
+    """The stream's ``most`` most frequent tokens; ties go to the one that comes first."""
+    return stream.groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).orderBy(F.desc("n"), "first").limit(most).select("tok")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df for a broadcast where its size is found to be small, else for a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def anchor_hits(pages: DataFrame, stream: DataFrame, key: str) -> DataFrame:
+    """(key, pos, tok, at, bucket): every place of every rare token of a page. A token has at most 25, so the join can't grow beyond that."""
+    rare = _small(rare_tokens(stream).select("tok", F.col("pos").alias("at")))
+    return pages.join(rare, "tok").select(key, "pos", "tok", "at", F.floor((F.col("at") - F.col("pos")) / BUCKET).alias("bucket"))
+
+
+def _earlier(*columns: str) -> list[Column]:
+    return [(-F.col(c)).alias(f"m{i}") for i, c in enumerate(columns)]
+
+
+def winning_bucket(hits: DataFrame, key: str) -> DataFrame:
+    """(key, bucket, votes, anchored): each page's most voted offset bucket; ties go to the one voted for first. anchored: its tokens with an anchor.
 
-    A token has at most 25 places in the stream, so the join can't grow beyond that; ties go to the lower bucket.
+    One pass by page and bucket gives votes; anchored tokens are counted where they are first met, so no set of them is kept.
     """
-    hits = pages.join(rare_tokens(stream).select("tok", F.col("pos").alias("at")), "tok").select(key, "pos", F.floor((F.col("at") - F.col("pos")) / BUCKET).alias("bucket"))
-    votes = hits.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy(key).agg(F.max(F.struct("votes", (-F.col("bucket")).alias("b"))).alias("m")).select(key, (-F.col("m.b")).alias("bucket"), F.col("m.votes").alias("votes"))
-    anchored = hits.groupBy(key).agg(F.countDistinct("pos").alias("anchors"))
-    return best.join(anchored, key).select(key, "bucket", "votes", (F.col("votes") / F.col("anchors")).alias("vote_ratio"))
+    first = F.min(F.struct("pos", "at")).alias("first")
+    votes = hits.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("votes"), first)
+    best = votes.select(key, "bucket", "votes", F.col("first.pos").alias("p"), F.col("first.at").alias("a")).groupBy(key).agg(F.max_by(F.struct("bucket", "votes"), F.struct("votes", *_earlier("p", "a"))).alias("b"))
+    anchored = hits.groupBy(key).agg(F.countDistinct("pos").alias("anchored"))
+    return best.join(anchored, key).select(key, "b.bucket", "b.votes", "anchored")
+
+
+def anchor_votes(pages: DataFrame, stream: DataFrame, key: str) -> DataFrame:
+    """(key, bucket, votes, vote_ratio): the winning bucket and its votes over the anchored tokens."""
+    return winning_bucket(anchor_hits(pages, stream, key), key).select(key, "bucket", "votes", (F.col("votes") / F.col("anchored")).alias("vote_ratio"))
 
 
 def multiset_overlap(pages: DataFrame, stream: DataFrame, key: str) -> DataFrame:
-    """Each page's tokens that the stream has too, with multiplicity."""
+    """Each page's tokens that the stream has too, with multiplicity, and what they are of the page's tokens."""
     a = pages.groupBy(key, "tok").agg(F.count(F.lit(1)).alias("n"))
-    b = stream.groupBy("tok").agg(F.count(F.lit(1)).alias("m"))
-    return a.join(b, "tok").groupBy(key).agg(F.sum(F.least("n", "m")).alias("shared"))
+    b = _small(stream.groupBy("tok").agg(F.count(F.lit(1)).alias("m")))
+    met = F.when(F.col("m").isNotNull(), F.least("n", "m")).otherwise(0)
+    return a.join(b, "tok", "left").groupBy(key).agg(F.sum(met).alias("shared"), (F.sum(met) / F.sum("n")).alias("share"))
 
 
-def tier(votes, jaccard, types, span, least_types: int = 12, least_span: float = 0.0):
+def tier(votes: Column, jaccard: Column, types: Column, span: Column, least_types: int = 12, least_span: float = 0.0) -> Column:
     """gold, review or reject from an alignment's gates; the gates are wide, for a judge decides later."""
     gold = (votes >= 0.20) & (jaccard >= 0.15) & (types >= least_types) & (span >= least_span)
     return F.when(gold, "gold").when((votes >= 0.12) & (jaccard >= 0.10), "review").otherwise("reject")
+
+
+def alignment(pages: DataFrame, stream: DataFrame, key: str) -> DataFrame:
+    """One record of every page that can be decided: (key, tokens, anchored, votes, vote_ratio, start, types, span, lis, jaccard, tier).
+
+    pages: (key, pos, tok), pos from 0; stream: (tok, pos), pos from 0 without gaps. Pages under 40 tokens or 12 anchored ones, or whose
+    window lies beyond the stream, have none. start: the most voted exact offset in the winning bucket, 0 at least.
+    A page's hits in its bucket are one list only for the increasing run; they are no more than its tokens.
+    """
+    sizes = pages.groupBy(key).agg(F.count(F.lit(1)).alias("tokens")).where(F.col("tokens") >= MIN_TOKENS)
+    hits = anchor_hits(pages, stream, key)
+    won = winning_bucket(hits, key).where(F.col("anchored") >= MIN_ANCHORED)
+    inside = hits.join(won.select(key, "bucket"), [key, "bucket"])
+    offsets = inside.groupBy(key, (F.col("at") - F.col("pos")).alias("off")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "at")).alias("first"))
+    start = offsets.select(key, "off", "n", F.col("first.pos").alias("p"), F.col("first.at").alias("a")).groupBy(key).agg(F.greatest(F.lit(0), F.max_by("off", F.struct("n", *_earlier("p", "a")))).alias("start"))
+    shape = inside.groupBy(key, "pos", "tok").agg(F.min("at").alias("at")).groupBy(key).agg(F.countDistinct("tok").alias("types"), (F.max("pos") - F.min("pos")).alias("reach"), F.array_sort(F.collect_list(F.struct("pos", "at"))).alias("places"))
+    total = stream.agg(F.max("pos").alias("end"))
+    found = won.join(sizes, key).join(start, key).join(shape, key).crossJoin(F.broadcast(total)).where(F.col("start") <= F.col("end"))
+    # The window's tokens and the page's, without stop words, as counted tokens.
+    stop = F.broadcast(stop_words(stream))
+    window = found.select(key, F.explode(F.sequence(F.col("start"), F.least(F.col("start") + F.col("tokens") - 1, F.col("end")))).alias("pos")).join(_small(stream), "pos").join(stop, "tok", "left_anti").groupBy(key, "tok").agg(F.count(F.lit(1)).alias("m"))
+    own = pages.join(found.select(key), key, "left_semi").join(stop, "tok", "left_anti").groupBy(key, "tok").agg(F.count(F.lit(1)).alias("n"))
+    both = own.join(window, [key, "tok"], "full").groupBy(key).agg(F.sum(F.when(F.col("n").isNotNull() & F.col("m").isNotNull(), F.least("n", "m")).otherwise(0)).alias("shared"), F.greatest(F.lit(1), F.sum(F.coalesce("n", F.lit(0))), F.sum(F.coalesce("m", F.lit(0)))).alias("larger"))
+    out = found.join(both, key, "left").select(
+        key, "tokens", "anchored", "votes", (F.col("votes") / F.col("anchored")).alias("vote_ratio"), "start", "types",
+        (F.col("reach") / F.col("tokens")).alias("span"), M.increasing_length(F.transform("places", lambda x: x["at"])).alias("lis"), F.size("places").alias("placed"),
+        F.coalesce(F.col("shared") / F.col("larger"), F.lit(0.0)).alias("jaccard"),
+    )
+    return out.withColumn("tier", tier(F.col("vote_ratio"), F.col("jaccard"), F.col("types"), F.col("span")))
+
+
+def with_text(records: DataFrame, pages: DataFrame, stream: DataFrame, key: str) -> DataFrame:
+    """records of tier gold and review with both texts and their character error over the longer: the pairs that a judge sees."""
+    kept = records.where(F.col("tier") != "reject")
+    join = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias(c)
+    own = pages.join(kept.select(key), key, "left_semi").groupBy(key).agg(join("page_text"))
+    window = kept.select(key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("tokens") - 1)).alias("pos")).join(_small(stream), "pos").groupBy(key).agg(join("edition_text"))
+    both = kept.join(own, key).join(window, key)
+    return both.withColumn("cer", F.levenshtein("page_text", "edition_text") / F.greatest(F.length("page_text"), F.length("edition_text")))

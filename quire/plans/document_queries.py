@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import metrics as M
 from quire.functions import text as T
-from quire.operators.align import anchor_votes, multiset_overlap
+from quire.operators.align import alignment, anchor_votes, multiset_overlap, with_text
 from quire.plans.corpus_queries import fold_sql
 from quire.plans.registry import query
 from quire.streaming.limits import allowed_hits
@@ -19,10 +19,10 @@ page AS (SELECT doc_id, tok, i - 1 AS pos FROM (SELECT doc_id, unnest(w) AS tok,
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edition as one stream of (tok, pos): positions from prefix sums over passages, which are few."""
+    """The edition as one stream of (tok, pos): positions from prefix sums over passages' sizes alone."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split(T.fold_search(F.col("text"), False, True), " "), lambda x: F.length(x) > 0).alias("w"))
-    base = b.select("item_id", "w", F.coalesce(F.sum(F.size("w")).over(Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return base.select("base", F.posexplode("w").alias("i", "tok")).select("tok", (F.col("base") + F.col("i")).alias("pos"))
+    base = b.select("item_id", F.size("w").alias("n")).select("item_id", F.coalesce(F.sum("n").over(Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return b.join(base, "item_id").select("base", F.posexplode("w").alias("i", "tok")).select("tok", (F.col("base") + F.col("i")).alias("pos"))
 
 
 def _page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,16 +31,16 @@ def _page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_TOKENS}, hits AS (SELECT p.doc_id, p.tok, p.pos, e.pos - p.pos AS off FROM page p JOIN rare USING (tok) JOIN edition e USING (tok)),
-v AS (SELECT doc_id, floor(off / 32)::BIGINT AS bucket, count(*) AS votes FROM hits GROUP BY ALL), n AS (SELECT doc_id, count(DISTINCT pos) AS anchors FROM hits GROUP BY doc_id)
-SELECT doc_id, bucket, votes, round(votes / anchors, 6) AS vote_ratio FROM v JOIN n USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, bucket) = 1""")
+v AS (SELECT doc_id, floor(off / 32)::BIGINT AS bucket, count(*) AS votes, min((pos, off)) AS first FROM hits GROUP BY doc_id, bucket), n AS (SELECT doc_id, count(DISTINCT pos) AS anchors FROM hits GROUP BY doc_id)
+SELECT doc_id, bucket, votes, round(votes / anchors, 6) AS vote_ratio FROM v JOIN n USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first) = 1""")
 def align_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor_votes(_page_tokens(spark, sf_dir), _stream(spark, sf_dir), "doc_id").withColumn("vote_ratio", F.round("vote_ratio", 6))
 
 
 @query(f"""WITH {_TOKENS}, a AS (SELECT doc_id, tok, count(*) AS n FROM page GROUP BY ALL), b AS (SELECT tok, count(*) AS n FROM edition GROUP BY tok)
-SELECT doc_id, sum(least(a.n, b.n))::BIGINT AS shared FROM a JOIN b USING (tok) GROUP BY doc_id""")
-def multiset_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiset_overlap(_page_tokens(spark, sf_dir), _stream(spark, sf_dir), "doc_id")
+SELECT doc_id, sum(coalesce(least(a.n, b.n), 0) * (b.n IS NOT NULL)::INT)::BIGINT AS shared, round(sum(coalesce(least(a.n, b.n), 0) * (b.n IS NOT NULL)::INT) / sum(a.n), 6) AS share FROM a LEFT JOIN b USING (tok) GROUP BY doc_id""")
+def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_overlap(_page_tokens(spark, sf_dir), _stream(spark, sf_dir), "doc_id").withColumn("share", F.round("share", 6))
 
 
 @query(f"""WITH t AS (SELECT item_id, list_filter(string_split({fold_sql('text')}, ' '), lambda x: x <> '') AS w FROM benchmark),
@@ -58,10 +58,68 @@ def place_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(phrases, "gram").groupBy(F.col("item_id").alias("place")).agg(F.countDistinct("doc_id").alias("pages"), F.countDistinct("source").alias("books"))
 
 
-@query()
+_ALIGNED = f"""{_TOKENS}, hits AS (SELECT p.doc_id, p.tok, p.pos, e.pos AS loc, floor((e.pos - p.pos) / 32)::BIGINT AS bucket FROM page p JOIN rare USING (tok) JOIN edition e USING (tok)),
+sizes AS (SELECT doc_id, count(*) AS tokens FROM page GROUP BY 1 HAVING count(*) >= 40), n AS (SELECT doc_id, count(DISTINCT pos) AS anchored FROM hits GROUP BY 1 HAVING count(DISTINCT pos) >= 12),
+won AS (SELECT doc_id, bucket, votes FROM (SELECT doc_id, bucket, count(*) AS votes, min((pos, loc)) AS first FROM hits GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first) = 1),
+inside AS (SELECT h.* FROM hits h JOIN won USING (doc_id, bucket)),
+start AS (SELECT doc_id, greatest(0, off) AS start FROM (SELECT doc_id, loc - pos AS off, count(*) AS k, min((pos, loc)) AS first FROM inside GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, first) = 1),
+place AS (SELECT doc_id, pos, tok, min(loc) AS loc FROM inside GROUP BY ALL),
+shape AS (SELECT doc_id, count(DISTINCT tok) AS types, max(pos) - min(pos) AS reach, list(loc ORDER BY pos) AS places FROM place GROUP BY 1),
+found AS (SELECT * FROM won JOIN sizes USING (doc_id) JOIN n USING (doc_id) JOIN start USING (doc_id) JOIN shape USING (doc_id) WHERE start <= (SELECT max(pos) FROM edition)),
+stop AS (SELECT tok FROM (SELECT tok, count(*) AS k, min(pos) AS first FROM edition GROUP BY 1 ORDER BY k DESC, first LIMIT 150)),
+own AS (SELECT doc_id, tok, count(*) AS n FROM page WHERE doc_id IN (SELECT doc_id FROM found) AND tok NOT IN (SELECT tok FROM stop) GROUP BY ALL),
+win AS (SELECT doc_id, tok, count(*) AS m FROM found JOIN edition ON edition.pos BETWEEN start AND start + tokens - 1 WHERE tok NOT IN (SELECT tok FROM stop) GROUP BY ALL),
+jac AS (SELECT doc_id, coalesce(sum(least(n, m)) FILTER (n IS NOT NULL AND m IS NOT NULL), 0) / greatest(1, sum(coalesce(n, 0)), sum(coalesce(m, 0))) AS jaccard FROM own FULL JOIN win USING (doc_id, tok) GROUP BY 1)"""
+_LIS = """tails AS (SELECT doc_id, places, 1 AS k, [places[1]] AS t FROM found UNION ALL
+SELECT doc_id, places, k + 1, list_filter(t, lambda x: x < places[k + 1]) || [places[k + 1]] || list_slice(t, len(list_filter(t, lambda x: x < places[k + 1])) + 2, len(t)) FROM tails WHERE k < len(places)),
+lis AS (SELECT doc_id, len(t) AS lis FROM tails WHERE k = len(places))"""
+_RECORD = f"""WITH RECURSIVE {_ALIGNED}, {_LIS}, record AS (SELECT doc_id, tokens, anchored, votes, votes / anchored AS vote_ratio, start, types, reach / tokens AS span, lis::INT AS lis, len(places)::INT AS placed, coalesce(jaccard, 0) AS jaccard
+FROM found JOIN lis USING (doc_id) LEFT JOIN jac USING (doc_id)),
+tiered AS (SELECT *, CASE WHEN vote_ratio >= 0.20 AND jaccard >= 0.15 AND types >= 12 THEN 'gold' WHEN vote_ratio >= 0.12 AND jaccard >= 0.10 THEN 'review' ELSE 'reject' END AS tier FROM record)"""
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pages, stream = _page_tokens(spark, sf_dir), _stream(spark, sf_dir)
+    return alignment(pages, stream, "doc_id"), pages, stream
+
+
+@query(f"{_RECORD} SELECT doc_id, lis FROM record")
 def lis_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _page_tokens(spark, sf_dir).join(_stream(spark, sf_dir).withColumnRenamed("pos", "at"), "tok").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "at"))).alias("h"))
-    return t.select("doc_id", M.increasing_length(F.transform("h", lambda x: x["at"])).alias("lis"))
+    return _aligned(spark, sf_dir)[0].select("doc_id", "lis")
+
+
+@query(f"{_RECORD} SELECT doc_id, tokens, anchored, votes, round(vote_ratio, 6) AS vote_ratio, start, types, round(span, 6) AS span, lis, placed, round(jaccard, 6) AS jaccard, tier FROM tiered")
+def align_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole record of every page against the edition."""
+    r = _aligned(spark, sf_dir)[0]
+    return r.withColumns({c: F.round(c, 6) for c in ("vote_ratio", "span", "jaccard")})
+
+
+@query(f"""{_RECORD}, texts AS (SELECT doc_id, string_agg(tok, ' ' ORDER BY pos) AS a FROM page WHERE doc_id IN (SELECT doc_id FROM tiered WHERE tier <> 'reject') GROUP BY 1),
+editions AS (SELECT doc_id, string_agg(tok, ' ' ORDER BY pos) AS b FROM tiered JOIN edition ON pos BETWEEN start AND start + tokens - 1 WHERE tier <> 'reject' GROUP BY 1)
+SELECT doc_id, tier, md5(a) AS page, md5(b) AS edition, CASE WHEN strlen(a) = length(a) AND strlen(b) = length(b) THEN round(levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS cer FROM tiered JOIN texts USING (doc_id) JOIN editions USING (doc_id)""")
+def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs for the judge. The distance is given for ASCII texts: the SQL side's counts bytes."""
+    records, pages, stream = _aligned(spark, sf_dir)
+    plain = lambda c: F.length(c) == F.octet_length(c)
+    d = with_text(records, pages, stream, "doc_id")
+    return d.select("doc_id", "tier", F.md5(F.col("page_text").cast("binary")).alias("page"), F.md5(F.col("edition_text").cast("binary")).alias("edition"), F.when(plain("page_text") & plain("edition_text"), F.round("cer", 6)).alias("cer"))
+
+
+_NOISY = "SELECT tok, pos, pos // 300 AS doc_id, pos % 300 AS i FROM edition WHERE pos < 300 * (SELECT (max(pos) + 1) // 300 FROM edition)"
+
+
+@query(f"""{_RECORD.replace('page AS (', f"clean AS ({_NOISY}), page AS (SELECT doc_id, CASE WHEN (i * 7 + doc_id) % 10 < 3 AND length(tok) > 1 THEN left(tok, length(tok) - 1) ELSE tok END AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM clean WHERE (i * 13 + doc_id) % 10 >= 3), old_page AS (", 1)}
+SELECT doc_id, start, round(vote_ratio, 6) AS vote_ratio, tier FROM tiered""")
+def align_selftest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 300 tokens of the edition itself with three in ten lost and three in ten clipped: the gates must find them."""
+    stream = _stream(spark, sf_dir)
+    whole = stream.agg(F.floor((F.max("pos") + 1) / 300).alias("runs"))
+    d, i = F.floor(F.col("pos") / 300), F.col("pos") % 300
+    cut = stream.crossJoin(F.broadcast(whole)).where(F.col("pos") < 300 * F.col("runs")).select(d.alias("doc_id"), i.alias("i"), "tok").where((F.col("i") * 13 + F.col("doc_id")) % 10 >= 3)
+    clip = F.when(((F.col("i") * 7 + F.col("doc_id")) % 10 < 3) & (F.length("tok") > 1), F.expr("left(tok, length(tok) - 1)")).otherwise(F.col("tok"))
+    pages = cut.select("doc_id", clip.alias("tok"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1).alias("pos"))
+    return alignment(pages, stream, "doc_id").select("doc_id", "start", F.round("vote_ratio", 6).alias("vote_ratio"), "tier")
 
 
 @query()
