@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 
 def years(t: Column) -> Column:
     """Gregorian (1600 to 2029) and Hijri (other, 1000 on) year ranges of a date line, kept apart and never converted.
@@ -34,15 +36,14 @@ def split_script(t: Column) -> Column:
 
 def reading_order(boxes: Column, tolerance: float) -> Column:
     """boxes: array of (x, y, id), x a box's centre. Columns by a walk in order of x, a new one when a box is over the
-    tolerance from the column's first; then right to left, and down each column. Returns the ids in order."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("column"), F.array().cast("array<struct<c:int,y:double,id:bigint>>").alias("out"))
-
-    def step(s: Column, b: Column) -> Column:
-        fresh = s["anchor"].isNull() | (F.abs(b["x"] - s["anchor"]) > tolerance)
-        column = F.when(fresh, s["column"] - 1).otherwise(s["column"])
-        return F.struct(F.when(fresh, b["x"]).otherwise(s["anchor"]).alias("anchor"), column.alias("column"), F.concat(s["out"], F.array(F.struct(column.alias("c"), b["y"].alias("y"), b["id"].alias("id")))).alias("out"))
+    tolerance from the column's first; then right to left, and down each column. Returns the ids in order.
 
-    return F.transform(F.array_sort(F.aggregate(F.array_sort(boxes), start, step, lambda s: s["out"])), lambda x: x["id"])
+    The walk keeps only the columns' first boxes, which are few; each box then finds its column among them.
+    """
+    ordered = F.array_sort(boxes)
+    anchors = F.aggregate(ordered, F.array().cast("array<double>"), lambda s, b: F.when((F.size(s) > 0) & (F.abs(b["x"] - F.element_at(s, -1)) <= tolerance), s).otherwise(F.concat(s, F.array(b["x"]))))
+    placed = lambda a: F.transform(ordered, lambda b: F.struct((-F.size(F.filter(a, lambda x: x <= b["x"]))).alias("c"), b["y"].alias("y"), b["id"].alias("id")))
+    return let(anchors, lambda a: F.transform(F.array_sort(placed(a)), lambda x: x["id"]))
 
 
 def crop(box: Column, width: Column, height: Column, pad: float = 0.015) -> Column:

@@ -26,13 +26,16 @@ def title_script_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT source AS book, md5('{"id":"' || source || '","items":[' || string_agg('{"page":' || doc_id || '}', ',' ORDER BY doc_id) || ']}') AS manifest FROM documents GROUP BY source""")
-def iiif_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A book's canvases in order; a manifest is one document, so its page numbers (not texts) come together."""
     items = F.array_sort(F.collect_list(F.struct("page")))
     return corpus(spark, sf_dir).groupBy("book").agg(items.alias("items")).select("book", F.md5(F.to_json(F.struct(F.col("book").alias("id"), "items")).cast("binary")).alias("manifest"))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT user_id, event_id, value AS x, event_id % 1000 AS y, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id % 1000, event_id) AS k FROM events WHERE value IS NOT NULL),
+s AS (SELECT user_id, event_id, k, y, x AS anchor, -1 AS col FROM b WHERE k = 1 UNION ALL
+SELECT b.user_id, b.event_id, b.k, b.y, CASE WHEN abs(b.x - s.anchor) > 60 THEN b.x ELSE s.anchor END, CASE WHEN abs(b.x - s.anchor) > 60 THEN s.col - 1 ELSE s.col END FROM s JOIN b ON b.user_id = s.user_id AND b.k = s.k + 1)
+SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY col, y, event_id) AS ids FROM s GROUP BY user_id""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a page (a user's events stand in) in right-to-left reading order."""
     e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("user_id", F.struct(F.col("value").cast("double").alias("x"), (F.col("event_id") % 1000).cast("double").alias("y"), F.col("event_id").cast("long").alias("id")).alias("b"))

@@ -265,9 +265,12 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("a", "b", F.round(M.similarity(F.col("x"), F.col("y")), 6).alias("similarity")).where("similarity IS NOT NULL")
 
 
-@query()
+@query(f"""WITH t AS (SELECT a, b, list_filter(string_split(x, ' '), lambda w: w <> '') AS x, list_filter(string_split(y, ' '), lambda w: w <> '') AS y FROM ({_PAIRS})),
+k AS (SELECT a, b, x, y, list_distinct(x || y) AS kinds FROM t WHERE len(y) > 0),
+c AS (SELECT a, b, len(y) AS n, array_to_string(list_transform(x, lambda w: chr(list_position(kinds, w)::INT)), '') AS x, array_to_string(list_transform(y, lambda w: chr(list_position(kinds, w)::INT)), '') AS y FROM k)
+SELECT a, b, round(levenshtein(x, y) / n, 6) AS wer FROM c""")
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("a", "b", M.wer(F.col("x"), F.col("y")).alias("wer"))
+    return _pairs(spark, sf_dir).select("a", "b", F.round(M.wer(F.col("x"), F.col("y")), 6).alias("wer")).where("wer IS NOT NULL")
 
 
 @query("""SELECT doc_id, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS following FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""")

@@ -43,21 +43,6 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_overlap(_page_tokens(spark, sf_dir), _stream(spark, sf_dir), "doc_id").withColumn("share", F.round("share", 6))
 
 
-@query(f"""WITH t AS (SELECT item_id, list_filter(string_split({fold_sql('text')}, ' '), lambda x: x <> '') AS w FROM benchmark),
-phrase AS (SELECT item_id, array_to_string(w[1:3], ' ') AS gram FROM t WHERE len(w) >= 3 AND length(replace(array_to_string(w[1:3], ' '), ' ', '')) >= 4),
-d AS (SELECT doc_id, source, list_filter(string_split({fold_sql('text')}, ' '), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, source, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM d)
-SELECT item_id AS place, count(DISTINCT doc_id) AS pages, count(DISTINCT source) AS books FROM g JOIN phrase USING (gram) GROUP BY 1""")
-def place_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and books in which a dictionary's phrases occur; the dictionary is small by its kind and checked by its table."""
-    grams = lambda t, n: T.let(F.filter(F.split(T.fold_search(t, False, True), " "), lambda x: F.length(x) > 0), n)
-    b = table(spark, sf_dir, "benchmark").select("item_id", grams(F.col("text"), lambda w: F.when(F.size(w) >= 3, F.array_join(F.slice(w, 1, 3), " "))).alias("gram"))
-    phrases = b.where("length(replace(gram, ' ', '')) >= 4")
-    runs = lambda w: F.zip_with(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)), F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(grams(F.col("text"), lambda w: F.array_distinct(runs(w)))).alias("gram"))
-    return d.join(phrases, "gram").groupBy(F.col("item_id").alias("place")).agg(F.countDistinct("doc_id").alias("pages"), F.countDistinct("source").alias("books"))
-
-
 _ALIGNED = f"""{_TOKENS}, hits AS (SELECT p.doc_id, p.tok, p.pos, e.pos AS loc, floor((e.pos - p.pos) / 32)::BIGINT AS bucket FROM page p JOIN rare USING (tok) JOIN edition e USING (tok)),
 sizes AS (SELECT doc_id, count(*) AS tokens FROM page GROUP BY 1 HAVING count(*) >= 40), n AS (SELECT doc_id, count(DISTINCT pos) AS anchored FROM hits GROUP BY 1 HAVING count(DISTINCT pos) >= 12),
 won AS (SELECT doc_id, bucket, votes FROM (SELECT doc_id, bucket, count(*) AS votes, min((pos, loc)) AS first FROM hits GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first) = 1),
@@ -228,7 +213,10 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, event_id, k, true AS allowed, [t] AS kept FROM e WHERE k = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.k, len(list_filter(kept, lambda x: t - x < 3600)) < 3, CASE WHEN len(list_filter(kept, lambda x: t - x < 3600)) < 3 THEN list_filter(kept, lambda x: t - x < 3600) || [t] ELSE list_filter(kept, lambda x: t - x < 3600) END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+SELECT user_id, event_id, allowed FROM s UNION ALL SELECT user_id, event_id, false FROM events WHERE ts IS NULL""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits that a limiter of 3 an hour and user lets through."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))

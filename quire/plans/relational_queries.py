@@ -52,6 +52,24 @@ def running(df: DataFrame, key: str, value) -> DataFrame:
     return parted.withColumn("__in", inside).join(F.broadcast(before), "__part").withColumn("running", F.col("__in") + F.col("__base")).drop("__part", "__in", "__base", "__v")
 
 
+def at_ranks(df: DataFrame, group: str, x: str, quarters: dict[str, int]) -> DataFrame:
+    """(group, n and a value for each name): the element at n * quarter // 4 of a group's sorted values.
+
+    Equal values are one row before they are ranked, and ranks come from ranges of values and their prefix sums, so a group needs no task of its own.
+    """
+    counted = df.where(F.col(x).isNotNull()).groupBy(group, x).agg(F.count(F.lit(1)).alias("k"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = sorted(set(df.agg(F.percentile_approx(x, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("p")).first()["p"] or []))
+    parted = counted.withColumn("part", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(x))) if edges else F.lit(0))
+    sums = parted.groupBy(group, "part").agg(F.sum("k").alias("s"))
+    base = sums.select(group, "part", F.coalesce(F.sum("s").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    upto = F.col("base") + F.sum("k").over(Window.partitionBy(group, "part").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sums.groupBy(group).agg(F.sum("s").alias("n"))
+    ranked = parted.join(base, [group, "part"]).withColumn("upto", upto).join(F.broadcast(sizes), group)
+    at = lambda q: F.max(F.when((F.floor(F.col("n") * q / 4) < F.col("upto")) & (F.floor(F.col("n") * q / 4) >= F.col("upto") - F.col("k")), F.col(x)))
+    return ranked.groupBy(group).agg(F.max("n").alias("n"), *[at(q).alias(name) for name, q in quarters.items()])
+
+
 def global_rank(df: DataFrame, key: str) -> DataFrame:
     """Add rank, 1 to n in key order."""
     return running(df, key, F.lit(1)).withColumnRenamed("running", "rank")
@@ -116,12 +134,9 @@ def arm_summary(spark, sf_dir):
 
 @query("""SELECT l_returnflag AS arm, n, c[n // 4 + 1] AS q1, c[n // 2 + 1] AS q2, c[3 * n // 4 + 1] AS q3 FROM (SELECT l_returnflag, count(*) AS n, list_sort(list(l_extendedprice)) AS c FROM lineitem GROUP BY 1)""")
 def quartile_summary(spark, sf_dir):
-    """Elements at n/4, n/2 and 3n/4 of the sorted values, not interpolated: found by rank, never as one list."""
+    """Elements at n/4, n/2 and 3n/4 of the sorted values, not interpolated: values are counted first, and counts summed in order within ranges of values."""
     li = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("arm"), F.col("l_extendedprice").alias("x"))
-    n = li.groupBy("arm").agg(F.count(F.lit(1)).alias("n"))
-    r = li.withColumn("i", F.row_number().over(Window.partitionBy("arm").orderBy("x")) - 1).join(F.broadcast(n), "arm")
-    at = lambda num: F.max(F.when(F.col("i") == F.floor(F.col("n") * num / 4), F.col("x")))
-    return r.groupBy("arm").agg(F.max("n").alias("n"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    return at_ranks(li, "arm", "x", {"q1": 1, "q2": 2, "q3": 3})
 
 
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
@@ -182,12 +197,11 @@ def union_intersect_except(spark, sf_dir):
     return c.intersect(s).select(F.lit("both").alias("part"), "k").unionByName(c.exceptAll(s).join(s, "k", "left_anti").distinct().select(F.lit("customer").alias("part"), "k"))
 
 
-@query("SELECT l.doc_id, coalesce(b.text, left(d.text, 20)) AS text FROM labels l JOIN documents d USING (doc_id) LEFT JOIN benchmark b ON b.item_id = l.doc_id")
+@query("SELECT d.doc_id, coalesce(b.text, d.text) AS text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
 def replace_by_key(spark, sf_dir):
-    """Rows whose repaired text, where there is one, takes the old one's place."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(20)).alias("old"))
+    """All texts, whole; where there is a repaired text it takes the old one's place."""
     b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("new"))
-    return _t(spark, sf_dir, "labels").select("doc_id").join(d, "doc_id").join(b, "doc_id", "left").select("doc_id", F.coalesce("new", "old").alias("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", "text").join(b, "doc_id", "left").select("doc_id", F.coalesce("new", "text").alias("text"))
 
 
 @query("""WITH e AS (SELECT event_id, event_type IN ('click', 'view') AS blank, value AS v FROM events WHERE value IS NOT NULL), k AS (SELECT min(v) AS least FROM e WHERE NOT blank),
@@ -214,11 +228,13 @@ def contrib_validate(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.left(F.trim("event_type"), F.lit(4000)).alias("body"), status.alias("status"))
 
 
-@query("""SELECT d.doc_id, c.latest FROM documents d LEFT JOIN (SELECT event_id % 1000 AS doc_id, arg_max(event_id, ts) AS latest FROM (SELECT * FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY event_id % 1000, ts ORDER BY event_id DESC) = 1) GROUP BY 1) c USING (doc_id)""")
+@query("""SELECT d.doc_id, c.latest FROM documents d LEFT JOIN (SELECT doc_id, arg_max(event_id, (ts, event_id)) AS latest FROM (SELECT event_id % (SELECT count(*) FROM documents) AS doc_id, event_id, ts FROM events WHERE event_type = 'click') GROUP BY 1) c USING (doc_id)""")
 def contrib_overlay(spark, sf_dir):
     """Pages with the latest approved correction, which never changes the page itself."""
-    c = _t(spark, sf_dir, "events").where("event_type = 'click'").groupBy((F.col("event_id") % 1000).alias("doc_id")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
-    return _t(spark, sf_dir, "documents").select("doc_id").join(c, "doc_id", "left")
+    d = _t(spark, sf_dir, "documents").select("doc_id")
+    e = _t(spark, sf_dir, "events").where("event_type = 'click'").crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"))))
+    c = e.groupBy((F.col("event_id") % F.col("n")).alias("doc_id")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
+    return d.join(c, "doc_id", "left")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY ts, event_id LIMIT 200")
