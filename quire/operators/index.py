@@ -40,12 +40,12 @@ def _files(spark: SparkSession, pages: DataFrame) -> str:
     return hashlib.sha256("\n".join(out).encode()).hexdigest()[:24]
 
 
-def _root(spark: SparkSession) -> str:
-    """The folder of indexes: shared by driver and executors."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder of indexes and streams: shared by driver and executors."""
     named = spark.conf.get("spark.quire.index.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.quire.index.dir or spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(named or 'file:///tmp/quire-index').rstrip('/')}/search"
+    return f"{(named or 'file:///tmp/quire-index').rstrip('/')}/quire"
 
 
 def build(pages: DataFrame, path: str) -> None:
@@ -68,7 +68,7 @@ def build(pages: DataFrame, path: str) -> None:
 def open_index(pages: DataFrame, path: str | None = None) -> SearchIndex:
     """The stored index of pages, built first where there is none. pages must come from files."""
     spark = pages.sparkSession
-    path = path or f"{_root(spark)}/{_files(spark, pages)}"
+    path = path or f"{shared_root(spark)}/search/{_files(spark, pages)}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         build(pages, path)
