@@ -290,22 +290,31 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _bits(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, repeats included."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        counts += np.unpackbits(hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Keep one row of each group of near copies: that with the smallest key, of equal keys that whose text hashes lowest.
 
-    Near copies have five-word shingles of Jaccard similarity 0.8 or more, by an exact join: SimHash at 4 bits finds few of
-    them. Columns of docs stay as they are. Rows with one key but unlike texts are told apart by their texts, and each group
-    keeps its own; of rows with equal key and text one stays. Null texts count as empty, and one of all empty ones stays.
-    Rows with a null key have no name to be kept under, and all stay.
+    Near copies have five-word shingles of Jaccard similarity 0.8 or more. They are met by Golay links of their fingerprints and,
+    as those reach 4 bits only, by MinHash bands, and verified. Columns of docs stay as they are. Rows with one key but unlike
+    texts are told apart by their texts, and each group keeps its own; of rows with equal key and text one stays. Null texts count
+    as empty, and one of all empty ones stays. Rows with a null key have no name to be kept under, and all stay.
     """
     k = F.col(f"`{key}`")
     keyed = docs.where(k.isNotNull())
-    alike = groups(keyed, key, text).groupBy("root", "key", "mark").agg(F.count(F.lit(1)).alias("n"))
-    first = materialise(alike.groupBy("root").agg(F.min(F.struct("key", "mark", "n")).alias("m")).select(F.col("m.key").alias("__k"), F.col("m.mark").alias("__m"), F.col("m.n").alias("__n")), "kept")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    met = (k == F.col("__k")) & (mark(text) == F.col("__m"))
-    out = keyed.join(first.where("__n = 1"), met, "left_semi")
-    again = first.where("__n > 1")
+    alike = materialise(groups(keyed, key, text, _bits, links).groupBy("root", "key", "mark").agg(F.count(F.lit(1)).alias("n")), "alike")
+    first = alike.groupBy("root").agg(F.min(F.struct("key", "mark")).alias("m")).select("root", F.col("m.key").alias("__k"), F.col("m.mark").alias("__m"))
+    told = alike.join(first, "root").select(F.col("key").alias("__k0"), F.col("mark").alias("__m0"), ((F.col("key") == F.col("__k")) & (F.col("mark") == F.col("__m"))).alias("stays"), "n")
+    gone = materialise(told.where("NOT stays OR n > 1"), "gone")  # fewer than what stays
+    met = (k == F.col("__k0")) & (mark(text) == F.col("__m0"))
+    out = keyed.join(gone, met, "left_anti")
+    again = gone.where("stays")
     if again.limit(1).count():  # repeated rows, of which few reach the shuffle
-        out = out.union(keyed.join(again, met).dropDuplicates(["__k", "__m"]).select(*names))
+        out = out.union(keyed.join(again, met).dropDuplicates(["__k0", "__m0"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
     return out.union(docs.where(k.isNull()))
