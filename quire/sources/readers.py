@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GAZETTEER = "geonameid string, name string, ascii string, variants string, lat double, lon double, class string, code string, country string, cc2 string, a1 string, a2 string, a3 string, a4 string, population long"
@@ -71,6 +71,59 @@ def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, "path string, member string, content binary")
 
 
+def paired_texts(spark: SparkSession, path: str, each: int = 20, least: int = 15) -> DataFrame:
+    """(folder, stem, ref, image): texts ``*.gt.txt`` below path that have an image of their name beside them and enough characters, the first ``each`` of a folder by name."""
+    name = r"^(.*/)([^/]+)/([^/]+)\.(gt\.txt|png)$"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    cut = files.select("path", *[F.regexp_extract("path", name, i).alias(c) for i, c in ((2, "folder"), (3, "stem"), (4, "kind"))], "content")
+    texts = cut.where("kind = 'gt.txt'").select("folder", "stem", F.trim(F.decode("content", "UTF-8")).alias("ref")).where(F.length("ref") >= least)
+    images = cut.where("kind = 'png'").select("folder", "stem", F.col("path").alias("image"))
+    both = texts.join(images, ["folder", "stem"])
+    return both.withColumn("nth", F.row_number().over(Window.partitionBy("folder").orderBy("stem"))).where(F.col("nth") <= each).drop("nth")
+
+
+def zipped_pages(spark: SparkSession, table: str, archives: str, script: str, style: str, least: int = 60, most: int = 40) -> DataFrame:
+    """(doc, ref, image): pages of nested archives whose row in a table with a header names the script, the style and a count over 0.
+
+    A row's ``doc`` names its archive, which is a zip or a zip within one. The page's text and image are members of its name, or else
+    members that hold it; the text is the ALTO contents joined, of ``least`` characters or more.
+    """
+    rows = spark.read.csv(table, sep="\t", header=True).where((F.col("language") == script) & (F.lower("style").contains(style.lower())) & (F.col("count").try_cast("int") > 0)).select("doc", "page")
+
+    def members(where: str, content: bytes) -> Iterator[tuple[str, str, bytes]]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in z.namelist():
+                if name.lower().endswith(".zip"):
+                    yield from members(name, z.read(name))
+                else:
+                    yield re.sub(r"^.*/|\.zip$", "", where), name, z.read(name)
+
+    def unzip(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for where, content in zip(pdf["path"], pdf["content"], strict=True):
+                for doc, name, body in members(where, content):
+                    yield pd.DataFrame({"doc": [doc], "member": [name], "content": [body]})
+
+    found = spark.read.format("binaryFile").load(archives).select("path", "content").mapInPandas(unzip, "doc string, member string, content binary")
+    stem = F.regexp_extract("member", r"([^/]+)\.[^./]+$", 1)
+    met = rows.join(found, "doc").where(F.col("member").contains(F.col("page"))).withColumn("other", (stem != F.col("page")).cast("int"))
+    best = lambda kind: met.where(F.lower("member").rlike(kind)).groupBy("doc", "page").agg(F.min_by(F.struct("member", "content"), F.struct("other", "member")).alias("m"))
+    text = best(r"\.xml$").select("doc", "page", alto_text(F.decode("m.content", "UTF-8")).alias("ref")).where(F.length("ref") >= least)
+    return text.join(best(r"\.(png|jpe?g|tiff?)$").select("doc", "page", F.col("m.member").alias("image")), ["doc", "page"]).orderBy("doc", "page").limit(most)
+
+
+def gold_pages(spark: SparkSession, path: str, least: int = 80, most: int = 40) -> DataFrame:
+    """(book, page, gold) of tolerant JSON lines: the first row of each page by its place in the file, with enough gold text."""
+    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    rows = raw.select("at", F.from_json("value", "book string, page int, gold string").alias("r")).select("at", "r.*").where("book IS NOT NULL AND page IS NOT NULL").where(F.length(F.coalesce("gold", F.lit(""))) >= least)
+    return rows.groupBy("book", "page").agg(F.min_by("gold", "at").alias("gold"), F.min("at").alias("at")).orderBy("at").limit(most).select("book", "page", "gold")
+
+
+def directory_links(html: Column, pattern: str = r'href="([A-Za-z]+\d+)/"') -> Column:
+    """The distinct entries of a directory page, in order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), 1)))
+
+
 def alto_text(xml: Column) -> Column:
     """The CONTENT attributes of an ALTO document, joined by blanks."""
     return F.array_join(F.regexp_extract_all(xml, F.lit('CONTENT="([^"]*)"'), 1), " ")

@@ -18,6 +18,16 @@ def volumes(pages: DataFrame, path: str) -> None:
     pages.select("book", "page", F.col("raw").alias("text")).repartition("book").sortWithinPartitions("book", "page").write.option("ignoreNullFields", False).partitionBy("book").json(path)
 
 
+def ordered_lines(df: DataFrame, path: str, *order: str) -> None:
+    """JSON lines in order over the files' names, nulls kept, in place of what was there: ranges are sorted, so no task writes all."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def summary(df: DataFrame, path: str) -> None:
+    """A table of one row, such as of aggregates, as one JSON document; nested structs stay nested."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def work_table(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True)
 
