@@ -11,7 +11,7 @@ from quire.llm.fingerprint import op5_order_minhash
 from quire.llm.langid import op6_bitmask_langid
 from quire.llm.packing import op7_vector_best_fit
 from quire.llm.secrets import op2_network_secret_scan
-from quire.llm.sharding import op1_rendezvous_shards
+from quire.llm.sharding import OP1_SQL, op1_rendezvous_shards
 from quire.llm.simhash import op10_golay_simhash
 from quire.llm.suffix_model import op8_suffix_tree_scores
 from quire.llm.token_files import op9_token_files
@@ -32,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_golay_simhash,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_rendezvous_shards": OP1_SQL}

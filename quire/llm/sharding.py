@@ -70,3 +70,13 @@ def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("").cast("binary"))).alias("text_crc32"))
     out = shard(rows, "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1), ["size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: The same in DuckDB: CRC-32 from its polynomial, rendezvous scores from the same hash, slots by the same order.
+OP1_SQL = f"""WITH tab AS (SELECT list(t ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS t FROM range(256) r(i))),
+b AS (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+s AS (SELECT doc_id, size, text_crc32, list_transform(range({SHARDS + 1}), lambda i: 1.0 / -ln((('0x' || left(md5(doc_id || '/' || i), 13))::BIGINT + 0.5) / 4503599627370496.0)) AS score,
+floor((('0x' || left(md5(doc_id || '/slot'), 13))::BIGINT + 0.5) / 4503599627370496.0 * {BUCKETS})::INT AS bucket FROM c),
+w AS (SELECT doc_id, size, text_crc32, bucket, list_position(score[1:{SHARDS}], list_max(score[1:{SHARDS}])) - 1 AS shard, list_position(score, list_max(score)) - 1 AS grown_shard FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard FROM w"""
