@@ -22,7 +22,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links(a, b): any pairs of long ids. Returns (node, root) for every id in them, root the smallest in its component.
 
     Alternates large-star and small-star steps until no link changes; each round is written to the shared folder,
-    so a lost executor costs one round at most. Self links and repeated links do no harm; null ends are ignored.
+    so a lost executor costs one round at most. Self links and repeated links do no harm; null ends are ignored; an
+    empty table gives an empty one. Of equal smallest ids there is one by their kind, so there are no ties.
     """
     links = links.where("a IS NOT NULL AND b IS NOT NULL")
     nodes = materialise(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "nodes")

@@ -380,6 +380,7 @@ def search(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str
 
 
 def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, a row for each item; null and empty texts hold none."""
     return search(documents(spark, sf_dir), "doc_id", "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("key", "doc_id")
 
 

@@ -181,4 +181,5 @@ def compare_neighbours(df: DataFrame, key: str, text: str, s: Settings = Setting
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside its edited text and the next document, in descending order of id; null texts count as empty."""
     return compare_neighbours(documents(spark, sf_dir), "doc_id", "text").withColumnRenamed("key", "doc_id")

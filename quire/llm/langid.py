@@ -192,6 +192,7 @@ def predict(df: DataFrame, text: str, keep: list[Column], model: Model) -> DataF
 
 
 def op6_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; null and letterless texts are und, repeated rows get equal results, documents without a language teach nothing."""
     docs = documents(spark, sf_dir)
     held = residue("doc_id", 4) == 2
     model = fit(docs.where(~held), "text", "lang")

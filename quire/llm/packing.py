@@ -149,6 +149,7 @@ def pack(cut: DataFrame, cap: Capacity) -> DataFrame:
 
 
 def op7_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens; null texts are a piece of the end id, repeated rows are pieces of their own."""
     return pack_documents(documents(spark, sf_dir), Capacity())
 
 

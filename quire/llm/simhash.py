@@ -285,6 +285,7 @@ def classes(prints: DataFrame, most: int = DISTANCE) -> DataFrame:
 
 
 def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; null and empty texts have fingerprint zero and are linked like any other."""
     prints = materialise(fingerprints(documents(spark, sf_dir), "doc_id", "text"), "prints")
     out = classes(prints)
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -120,6 +120,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as the files give them back, in ascending order of id; null texts are the end id alone."""
     path = new_path(spark, "tokens")
     write(documents(spark, sf_dir), "doc_id", "text", path, tokenizer_path(BYTE_BPE))
     return read(spark, path)
