@@ -50,10 +50,10 @@ def _discard_all() -> None:
             return
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors. options: the writer's."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

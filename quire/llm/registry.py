@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.alignment import op11_token_alignment
 from quire.llm.decontamination import op4_latent_decontamination
 from quire.llm.fingerprint import op5_order_minhash
 from quire.llm.langid import op6_bitmask_langid
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_tree_scores,
         op9_token_files,
         op10_golay_simhash,
+        op11_token_alignment,
     )
 }
 ORACLES: dict[str, str] = {"op1_rendezvous_shards": OP1_SQL}
