@@ -11,6 +11,7 @@ from quire.llm.decontamination import op4_latent_decontamination
 from quire.llm.fingerprint import op5_order_minhash
 from quire.llm.langid import op6_bitmask_langid
 from quire.llm.packing import op7_vector_best_fit
+from quire.llm.repair import OP12_SQL, op12_conversation_repair
 from quire.llm.secrets import op2_network_secret_scan
 from quire.llm.sharding import OP1_SQL, op1_rendezvous_shards
 from quire.llm.simhash import op10_golay_simhash
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_files,
         op10_golay_simhash,
         op11_token_alignment,
+        op12_conversation_repair,
     )
 }
-ORACLES: dict[str, str] = {"op1_rendezvous_shards": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_rendezvous_shards": OP1_SQL, "op12_conversation_repair": OP12_SQL}
