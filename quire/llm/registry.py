@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.alignment import op11_token_alignment
+from quire.llm.chosen_path import op13_chosen_path_join
 from quire.llm.decontamination import op4_latent_decontamination
 from quire.llm.fingerprint import op5_order_minhash
 from quire.llm.langid import op6_bitmask_langid
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_golay_simhash,
         op11_token_alignment,
         op12_conversation_repair,
+        op13_chosen_path_join,
     )
 }
 ORACLES: dict[str, str] = {"op1_rendezvous_shards": OP1_SQL, "op12_conversation_repair": OP12_SQL}
