@@ -123,13 +123,17 @@ def test_sinks(spark, tmp_path):
     assert {r["raw"] for r in spark.read.json(str(tmp_path / "r")).collect()} == {"again"}
 
 
-def test_record_pages():
+def test_record_pages(spark):
     page = """<table><tr><td class="label">Title:</td><td class="value">Sir&#257;j <b>x</b></td></tr><tr><td></td><td class="value arabic">سراج‏</td></tr><tr><td></td><td class="value">Second</td></tr>
     <tr><td class="label">Contributors</td><td>A<br/>B</td></tr><tr><td></td><td class="other">no</td></tr><tr><td class="label">Downloadable PDF</td><td><a href="/f.pdf">get</a></td></tr><tr><td class="label">New Field!</td><td>v</td></tr><tr><td class="label">Abstract</td><td> <br> </td></tr></table>"""
-    from quire.functions.records import parse_record
-
-    assert parse_record(page) == {"title": ["Sirāj x"], "title_original": ["سراج"], "title_alt": ["Second"], "contributors": ["A", "B"], "pdf": ["/f.pdf"], "new_field": ["v"]}
-    assert parse_record("<p>no table</p>") == {}
+    from quire.functions.records import text_of, with_record
+
+    pages = [page, "<p>no table</p>", None, '<table><tr><td class="label">Other titles</td><td>A<br>B</td></tr><tr><td class="label">Other titles</td><td>C</td></tr><tr><td class="label">کتاب</td><td>x</td></tr><tr><td> </td><td class="value">D &amp; E</td></tr>' + "<tr><td>" + "<i>z</i>" * 20_000 + "</td></tr></table>"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page int, html string").withColumn("__r", F.lit(1))
+    got = [r["record"] for r in with_record(df, "html").orderBy("page").collect()]
+    assert got[0] == {"title": ["Sirāj x"], "title_original": ["سراج"], "title_alt": ["Second"], "contributors": ["A", "B"], "pdf": ["/f.pdf"], "new_field": ["v"]}
+    assert got[1:] == [{}, {}, {"other_titles": ["A", "B", "C", "D & E"]}]
+    assert [r[0] for r in df.orderBy("page").select(text_of(F.col("html"))).limit(3).collect()][1:] == ["no table", None]
 
 
 def test_geometry_and_replies(spark):
