@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._common import documents, materialise, slices, text_bytes
-from quire.llm.components import components
-from quire.llm.shingle_join import mark, shingles
+from quire.llm.confirm import Confirmed, dealt, mark, shingles
 
 #: Two sets are linked if 100 times their intersection is at least 85 times their union.
 PERCENT = 85
@@ -49,12 +48,6 @@ def signature(data: np.ndarray) -> np.ndarray:
     return ((least * _MIX) >> np.uint64(48)).astype("<u2")
 
 
-def linked(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sorted distinct arrays overlap enough."""
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    return 100 * both >= percent * (len(p) + len(q) - both)
-
-
 def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
     """A written table (key, mark, fp, n, sig): fp names the set; a task gives a set's signature once, its further copies have null; empty sets have no fp."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -81,36 +74,6 @@ def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return materialise(rows.mapInArrow(compute, f"key {kind.simpleString()}, mark long, fp long, n long, sig binary"), "sets")
 
 
-def _dealt(rows: DataFrame, payload: str, check: Callable[[list, list, list, list], list[bool]]) -> DataFrame:
-    """Pairs (a, b) of leaders and members that pass. rows: (node, fp, root, leads, chunks, payload): what leads also is a member.
-
-    Members are dealt over chunks of their node and leaders go to each of them, sorted first. A task keeps one chunk's leaders and
-    streams past them. check(leaders' payloads, leaders' roots, a slice of members' payloads, their roots) gives (leader, member) places.
-    """
-    members = rows.select("node", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("chunk"), F.lit(1).alias("kind"), "fp", "root", payload)
-    leaders = rows.where("leads").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "fp", "root", payload)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lead = None, ([], [], [])
-        for batch in slices(batches, column=payload):
-            found: set[tuple[int, int]] = set()
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            edges = [i for i in range(batch.num_rows) if not i or columns[0][i] != columns[0][i - 1] or columns[1][i] != columns[1][i - 1] or columns[2][i] != columns[2][i - 1]]
-            for i, j in zip(edges, [*edges[1:], batch.num_rows], strict=True):
-                fps, roots, data = (c[i:j] for c in columns[3:])
-                if (columns[0][i], columns[1][i]) != at:
-                    at, lead = (columns[0][i], columns[1][i]), ([], [], [])
-                if columns[2][i] == 0:
-                    for held, new in zip(lead, (fps, roots, data), strict=True):
-                        held.extend(new)
-                elif lead[0]:
-                    found.update((min(lead[0][p], fps[q]), max(lead[0][p], fps[q])) for p, q in check(lead[2], lead[1], data, roots))
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return members.union(leaders).repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind").mapInArrow(meet, "a long, b long")
-
-
 def _agreeing(most: int) -> Callable:
     def check(lead: list, lead_roots: list, data: list, roots: list) -> list[tuple[int, int]]:
         p, pr = np.frombuffer(b"".join(lead), "<u2").reshape(-1, TOKENS), np.array(lead_roots)
@@ -127,53 +90,6 @@ def _agreeing(most: int) -> Callable:
     return check
 
 
-def _confirming(percent: int) -> Callable:
-    def check(lead: list, _: list, data: list, __: list) -> list[tuple[int, int]]:
-        p = np.frombuffer(lead[0], "<u8")
-        return [(0, i) for i, q in enumerate(data) if linked(p, np.frombuffer(q, "<u8"), percent)]
-
-    return check
-
-
-class _Confirmed:
-    """Links found so far, whole sets of those that needed them, and the pairs that were looked at, as written tables."""
-
-    def __init__(self, df: DataFrame, key: str, text: str, sets: DataFrame, percent: int) -> None:
-        self.texts = df.select(F.col(f"`{key}`").alias("key"), mark(text).alias("mark"), text_bytes(f"`{text}`").alias("text"))
-        self.at = sets.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("key", "mark")).alias("x")).select("fp", "x.key", "x.mark")
-        self.percent, self.whole, self.seen, self.links = percent, None, None, None
-
-    def _data(self, wanted: DataFrame) -> DataFrame:
-        """Whole sets of fingerprints, from one text each."""
-
-        def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingles(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["fp", "data"])
-
-        at = self.at.join(wanted, "fp").withColumnRenamed("key", "k").withColumnRenamed("mark", "m")
-        found = self.texts.join(at, self.texts.key.eqNullSafe(at.k) & (self.texts.mark == at.m)).select("fp", "text").dropDuplicates(["fp"])
-        return materialise(found.mapInArrow(compute, "fp long, data binary"), "whole-sets")
-
-    def add(self, pairs: DataFrame) -> DataFrame | None:
-        """Confirm pairs (a, b) and return the components (node, root) of all links so far, or None if these are as they were."""
-        pairs = pairs.distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        if self.whole is not None:
-            wanted = wanted.join(self.whole.select("fp"), "fp", "left_anti")
-        new = self._data(wanted)
-        self.whole = new if self.whole is None else self.whole.union(new)
-        self.seen = pairs if self.seen is None else self.seen.union(pairs)
-        many = pairs.groupBy(F.col("a").alias("node")).agg(F.ceil(F.count(F.lit(1)) / 64).alias("chunks"))
-        ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("fp"), F.lit(False).alias("leads")).union(many.select("node", F.col("node").alias("fp"), F.lit(True)))
-        rows = ends.join(many, "node").join(self.whole, "fp").select("node", "fp", F.lit(0).alias("root"), "leads", "chunks", "data")
-        good = materialise(_dealt(rows, "data", _confirming(self.percent)).where("a <> b"), "links")
-        self.links = good if self.links is None else self.links.union(good)
-        return materialise(components(self.links), "joined") if good.limit(1).count() else None
-
-
 def _told(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     """rows (node, fp, before) with each set's component so far, of nodes that hold several; outside: how many sets aren't of the node's largest."""
     if joined is None:
@@ -195,7 +111,7 @@ def classes(df: DataFrame, key: str, text: str, percent: int = PERCENT, trees: i
     """
     sets = _sets(df, key, text)
     sigs = materialise(sets.where("sig IS NOT NULL").groupBy("fp").agg(F.first("sig").alias("sig")), "signatures")
-    confirmed = _Confirmed(df, key, text, sets, percent)
+    confirmed = Confirmed(df, key, text, sets, percent)
     token = lambda i: F.substring("sig", 2 * i + 1, 2)
     start = F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t * (TOKENS // trees)))) for t in range(trees)]))
     rows = materialise(sigs.select(start.alias("node"), "fp", F.lit(None).cast("double").alias("before")), "level")
@@ -204,7 +120,7 @@ def classes(df: DataFrame, key: str, text: str, percent: int = PERCENT, trees: i
         depth += 1
         told = _told(rows, joined)
         star = told.withColumn("leads", F.col("fp") == F.col("first")).join(sigs, "fp")
-        pairs = _dealt(star, "sig", _agreeing(agree))
+        pairs = dealt(star, "sig", _agreeing(agree))
         joined = confirmed.add(pairs if pending is None else pairs.union(pending)) or joined
         told = _told(told.select("node", "fp", "before"), joined)
         # pairs to compare here, and at the parent
@@ -213,7 +129,7 @@ def classes(df: DataFrame, key: str, text: str, percent: int = PERCENT, trees: i
         blocks = F.ceil(F.col("outside") / small)
         led = told.where(stops).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         led = led.withColumn("leads", (F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("fp", F.lit(1)), blocks) == F.col("block"))).withColumn("node", F.xxhash64("node", "block"))
-        pending = materialise(_dealt(led.join(sigs, "fp"), "sig", _agreeing(agree)).distinct(), "pending")
+        pending = materialise(dealt(led.join(sigs, "fp"), "sig", _agreeing(agree)).distinct(), "pending")
         large = told.where(~stops)
         child = lambda f: F.xxhash64("node", F.lit(f), token(F.pmod(F.xxhash64("node", F.lit(f), F.lit(depth)), F.lit(TOKENS)).cast("int")))  # noqa: E731, B023
         rows = materialise(large.join(sigs, "fp").select(F.explode(F.array(*[child(f) for f in range(FAN)])).alias("node"), "fp", F.col("pairs").alias("before")), "level")

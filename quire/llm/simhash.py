@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from quire.llm._common import ASCII_LOWER, documents, materialise, slices, text_bytes
 from quire.llm.components import components
-from quire.llm.shingle_join import groups, mark
+from quire.llm.confirm import mark
+from quire.llm.shingle_join import groups
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quire.llm import chosen_path, registry
+from quire.llm import chosen_path, confirm, registry
 
 
 def shingle_sets(rows):
@@ -96,4 +96,4 @@ def test_empty_table(spark):
 def test_border(n, good):
     import numpy as np
 
-    assert chosen_path.linked(np.arange(n), np.arange(1000)) is good
+    assert confirm.linked(np.arange(n), np.arange(1000), chosen_path.PERCENT) is good

@@ -254,5 +254,5 @@ def test_sketches_of_long_sets_tell_likeness():
         both = int(len(a) * 2 * share / (1 + share))
         b = np.unique(np.concatenate([a[r.permutation(len(a))[:both]], r.integers(0, 2**63, len(a) - both, dtype=np.uint64)]))
         sketch = [np.unique(x >> np.uint64(32)).astype("<u4")[: shingle_join.SKETCH] for x in (a, b)]
-        assert shingle_join.alike(*sketch, len(a), len(b)) == want
+        assert shingle_join.alike(*sketch, len(a), len(b)) is (None if want else False)  # None: the whole sets decide
     assert toxicity.THRESHOLD == 0.3
