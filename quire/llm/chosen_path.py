@@ -6,16 +6,17 @@ together with a probability of about their similarity at each step. Nodes with f
 repeat all that. Two sets at the threshold of 0.85 miss each other's company with probability 0.18 in a tree (one token at the
 root, two at each later node), so with 8 trees in about one case of a million.
 
-Only links matter that join what isn't joined yet. At each level a node's sets first meet one of them, which joins a group of near
-copies however large; the components so far then settle which nodes still hold sets of several components, and in these each set
-outside a node's largest component meets all others. A node is small if few sets are outside it, whatever its size. A node of alike
-sets that further tokens don't part is compared at once, in blocks. Comparing is dealt over chunks of a node and blocks of
-those outside, so no task gets a whole hot node. Pairs that the signatures let pass are confirmed on the whole sets.
+Only links matter that join what isn't joined yet. At each level the sets of a node that aren't in its largest component so far first
+offer the pair with the set that they are most like, and the confirmed pairs join a group of near copies however large; in the nodes
+that still hold several components each set outside the largest then meets all others. A node is small if few sets are outside
+it, whatever its size. A node of alike sets that further tokens don't part is compared at once, in blocks. Comparing is dealt over
+chunks of a node and blocks of those outside, so no task gets a whole hot node. Sketches of two bits a token decide which pairs are
+worth confirming on the whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._common import documents, materialise, slices, text_bytes
-from quire.llm.confirm import Confirmed, dealt, mark, shingles
+from quire.llm.confirm import Confirmed, mark, shingles
 
 #: Two sets are linked if 100 times their intersection is at least 85 times their union.
 PERCENT = 85
-TREES, FAN, TOKENS = 8, 2, 128
+TREES, FAN, TOKENS = 8, 2, 256
 #: Sets outside a node's largest component up to which it is compared exhaustively; members of a node in a task at most (about).
-SMALL, CHUNK = 128, 2048
-#: Equal tokens of 128 that a pair needs to be confirmed: 4.6 standard deviations under what is expected at 0.85.
-AGREE = 90
+SMALL, CHUNK = 2048, 4096
+#: Equal sketch tokens of 256 that a pair needs to be confirmed: 4.6 standard deviations under what is expected at 0.85.
+AGREE = 204
 #: A node has (sets outside) x (sets) pairs to compare. It is compared, in blocks of SMALL, if its FAN children are likely to have more
 #: than this share of them, going by what itself has of its parent's; and at the deepest level whatever its size.
 WORTH, DEEPEST = 0.9, 24
@@ -40,16 +41,25 @@ _FACTORS = np.random.default_rng(13).integers(1 << 62, 1 << 63, TOKENS, dtype=np
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def signature(data: np.ndarray) -> np.ndarray:
-    """128 minwise tokens of 16 bits."""
+def signature(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """256 minwise tokens of 16 bits, and their sketch: the first bits of all, then the second ones."""
     least = np.full(TOKENS, np.uint64(2**64 - 1))
-    for at in range(0, len(data), 1024):
-        np.minimum(least, (data[at : at + 1024, None] * _FACTORS).min(axis=0), out=least)
-    return ((least * _MIX) >> np.uint64(48)).astype("<u2")
+    for at in range(0, len(data), 512):
+        np.minimum(least, (data[at : at + 512, None] * _FACTORS).min(axis=0), out=least)
+    tokens = (least * _MIX) >> np.uint64(46)
+    return (tokens >> np.uint64(2)).astype("<u2"), np.packbits([tokens & np.uint64(1), tokens >> np.uint64(1) & np.uint64(1)], axis=1).ravel()
+
+
+def agreeing(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many tokens sketches p agree on with sketches q, each a row of 8 words."""
+    apart = np.zeros((len(p), len(q)), np.int16)
+    for w in range(4):
+        apart += np.bitwise_count((p[:, w, None] ^ q[None, :, w]) | (p[:, 4 + w, None] ^ q[None, :, 4 + w]))
+    return TOKENS - apart
 
 
 def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A written table (key, mark, fp, n, sig): fp names the set; a task gives a set's signature once, its further copies have null; empty sets have no fp."""
+    """A written table (key, mark, fp, n, tokens, sketch): fp names the set; a task gives a set's signature once, its further copies have null; empty sets have no fp."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = df.schema[key].dataType
@@ -58,36 +68,102 @@ def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
-            fps, sizes, sigs = [], [], []
+            fps, sizes, tokens, sketches = [], [], [], []
             for t in batch.column(2).to_pylist():
                 data = np.unique(shingles(t))
                 sizes.append(len(data))
                 fp = xxhash.xxh64_intdigest(data.tobytes(), 13) if len(data) else None
                 fps.append(None if fp is None else fp - (fp >> 63 << 64))
-                sigs.append(signature(data).tobytes() if fp is not None and fp not in seen else None)
+                new = signature(data) if fp is not None and fp not in seen else None
+                tokens.append(new and new[0].tobytes())
+                sketches.append(new and new[1].tobytes())
                 seen.add(fp)
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow), batch.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["key", "mark", "fp", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow), batch.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary())], ["key", "mark", "fp", "n", "tokens", "sketch"])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), mark(text).alias("mark"), text_bytes(f"`{text}`").alias("text"))
-    return materialise(rows.mapInArrow(compute, f"key {kind.simpleString()}, mark long, fp long, n long, sig binary"), "sets")
-
-
-def _agreeing(most: int) -> Callable:
-    def check(lead: list, lead_roots: list, data: list, roots: list) -> list[tuple[int, int]]:
-        p, pr = np.frombuffer(b"".join(lead), "<u2").reshape(-1, TOKENS), np.array(lead_roots)
-        out = []
-        step = max(1, 40_000 // len(p))  # some megabytes of comparisons at once
-        for i in range(0, len(data), step):
-            q, qr = np.frombuffer(b"".join(data[i : i + step]), "<u2").reshape(-1, TOKENS), np.array(roots[i : i + step])
-            apart = pr[:, None] != qr[None, :]
-            x, y = np.nonzero(apart)
-            good = (p[x] == q[y]).sum(axis=1) >= most
-            out += zip(x[good].tolist(), (y[good] + i).tolist(), strict=True)
-        return out
-
-    return check
+    return materialise(rows.mapInArrow(compute, f"key {kind.simpleString()}, mark long, fp long, n long, tokens binary, sketch binary"), "sets")
+
+
+class _Chunk:
+    """One chunk of a node as it streams in: leaders first, then members."""
+
+    def __init__(self, alone: bool, most: int, best: bool) -> None:
+        self.alone, self.most, self.best, self.lead, self.members = alone, most, best, ([], [], []), False
+
+    def add(self, leads: bool, *rows: list) -> Iterator[tuple[int, int]]:
+        if leads:
+            for held, new in zip(self.lead, rows, strict=True):
+                held.extend(new)
+        else:
+            yield from self._begin()
+            yield from self._compare(*rows)
+
+    def _begin(self) -> Iterator[tuple[int, int]]:
+        if not self.members:
+            self.members = True
+            self.fps, self.roots, self.sketches = np.array(self.lead[0], np.int64), np.array(self.lead[1], np.int64), np.frombuffer(b"".join(self.lead[2]), "<u8").reshape(-1, 8)
+            self.top = np.full(len(self.fps), self.most - 1, np.int16), np.zeros(len(self.fps), np.int64)
+            if self.alone:  # leaders aren't dealt again as members
+                yield from self._compare(*self.lead)
+
+    def _compare(self, fps: list, roots: list, sketches: list) -> Iterator[tuple[int, int]]:
+        if not len(self.fps):
+            return
+        q, f, r = np.frombuffer(b"".join(sketches), "<u8").reshape(-1, 8), np.array(fps, np.int64), np.array(roots, np.int64)
+        step = max(1, 500_000 // len(self.fps))  # some megabytes of comparisons at once
+        for i in range(0, len(f), step):
+            agree = agreeing(self.sketches, q[i : i + step])
+            agree[self.roots[:, None] == r[None, i : i + step]] = -1
+            if self.best:
+                at = agree.argmax(axis=1)
+                value = agree[np.arange(len(at)), at]
+                better = value > self.top[0]
+                self.top[0][better], self.top[1][better] = value[better], f[i + at[better]]
+            else:
+                x, y = np.nonzero(agree >= self.most)
+                yield from zip(self.fps[x].tolist(), f[i + y].tolist(), strict=True)
+
+    def end(self) -> Iterator[tuple[int, int]]:
+        yield from self._begin()
+        if self.best:
+            good = self.top[0] >= self.most
+            yield from zip(self.fps[good].tolist(), self.top[1][good].tolist(), strict=True)
+
+
+def _alike(rows: DataFrame, most: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of rows (node, fp, root, leads, chunks, sketch) of one node and different components, one of which leads, that agree on most tokens.
+
+    best: of each leader only the best in each chunk. Members are dealt over chunks of their node and leaders go to each.
+    """
+    alone = F.col("chunks") == 1
+    members = rows.select("node", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("chunk"), F.when(alone & F.col("leads"), 0).otherwise(1).alias("kind"), alone.alias("alone"), "fp", "root", "sketch")
+    leaders = rows.where(F.col("leads") & ~alone).select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), F.lit(False).alias("alone"), "fp", "root", "sketch")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk = None, None
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            columns = [c.to_pylist() for c in batch.columns]
+            heads = list(zip(*columns[:3], strict=True))
+            edges = [i for i in range(len(heads)) if not i or heads[i] != heads[i - 1]]
+            for i, j in zip(edges, [*edges[1:], len(heads)], strict=True):
+                if heads[i][:2] != at:
+                    if chunk:
+                        found.update(chunk.end())
+                    at, chunk = heads[i][:2], _Chunk(columns[3][i], most, best)
+                found.update(chunk.add(heads[i][2] == 0, *(c[i:j] for c in columns[4:])))
+            yield _pairs(found)
+        if chunk:
+            yield _pairs(set(chunk.end()))
+
+    return members.union(leaders).repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind").mapInArrow(meet, "a long, b long")
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.sort(np.array(list(found), np.int64).reshape(-1, 2), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _told(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -96,10 +172,11 @@ def _told(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
         rooted = rows.withColumn("root", F.col("fp"))
     else:
         rooted = rows.join(joined.select(F.col("node").alias("f"), F.col("root").alias("r")), F.col("fp") == F.col("f"), "left").select("node", "fp", "before", F.coalesce("r", "fp").alias("root"))
-    by = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first"))
-    nodes = by.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.min("first").alias("first"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    nodes = nodes.select("node", "n", (F.col("n") - F.col("top.n")).alias("outside"), F.col("top.root").alias("top"), "first", F.ceil(F.col("n") / CHUNK).alias("chunks"))
-    return materialise(rooted.join(nodes, "node"), "nodes")
+    by = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
+    nodes = by.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    nodes = nodes.select("node", "n", (F.col("n") - F.col("top.n")).alias("outside"), F.col("top.root").alias("top"), F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    # pairs to compare here; before has those of the parent
+    return materialise(rooted.join(nodes, "node").withColumn("pairs", F.col("outside").cast("double") * F.col("n")), "nodes")
 
 
 def classes(df: DataFrame, key: str, text: str, percent: int = PERCENT, trees: int = TREES, small: int = SMALL, agree: int = AGREE, deepest: int = DEEPEST) -> DataFrame:
@@ -110,31 +187,30 @@ def classes(df: DataFrame, key: str, text: str, percent: int = PERCENT, trees: i
     Null keys name no component but where a class has no other. An empty table gives an empty one.
     """
     sets = _sets(df, key, text)
-    sigs = materialise(sets.where("sig IS NOT NULL").groupBy("fp").agg(F.first("sig").alias("sig")), "signatures")
+    sigs = materialise(sets.where("sketch IS NOT NULL").groupBy("fp").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "signatures")
+    sketches = sigs.select("fp", "sketch")
     confirmed = Confirmed(df, key, text, sets, percent)
-    token = lambda i: F.substring("sig", 2 * i + 1, 2)
+    token = lambda i: F.substring("tokens", 2 * i + 1, 2)
     start = F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t * (TOKENS // trees)))) for t in range(trees)]))
     rows = materialise(sigs.select(start.alias("node"), "fp", F.lit(None).cast("double").alias("before")), "level")
-    joined, pending, depth = None, None, 0
+    joined, depth = None, 0
     while True:
         depth += 1
+        last = F.lit(depth >= deepest)
+        stops = (F.col("outside") <= small) | last | (FAN * F.col("pairs") > WORTH * F.coalesce("before", F.lit(float("inf"))))
         told = _told(rows, joined)
-        star = told.withColumn("leads", F.col("fp") == F.col("first")).join(sigs, "fp")
-        pairs = dealt(star, "sig", _agreeing(agree))
-        joined = confirmed.add(pairs if pending is None else pairs.union(pending)) or joined
+        # sets offer their best pair: in small nodes all that are outside, in others each in a chunk of its own kind
+        some = told.where(F.col("outside") <= small).select("node", "fp", "root", (F.col("root") != F.col("top")).alias("leads"), "chunks")
+        local = told.where(F.col("outside") > small).select(F.xxhash64("node", F.pmod(F.xxhash64("fp", F.lit(2)), F.ceil(F.col("n") / SMALL))).alias("node"), "fp", "root", F.lit(True).alias("leads"), F.lit(1).cast("long").alias("chunks"))
+        joined = confirmed.add(_alike(some.union(local).join(sketches, "fp").select("node", "fp", "root", "leads", "chunks", "sketch"), agree, True)) or joined
         told = _told(told.select("node", "fp", "before"), joined)
-        # pairs to compare here, and at the parent
-        told = told.withColumn("pairs", F.col("outside").cast("double") * F.col("n"))
-        stops = (F.col("outside") <= small) | (FAN * F.col("pairs") > WORTH * F.coalesce("before", F.lit(float("inf")))) | F.lit(depth >= deepest)
         blocks = F.ceil(F.col("outside") / small)
         led = told.where(stops).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         led = led.withColumn("leads", (F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("fp", F.lit(1)), blocks) == F.col("block"))).withColumn("node", F.xxhash64("node", "block"))
-        pending = materialise(dealt(led.join(sigs, "fp"), "sig", _agreeing(agree)).distinct(), "pending")
-        large = told.where(~stops)
+        joined = confirmed.add(_alike(led.join(sketches, "fp").select("node", "fp", "root", "leads", "chunks", "sketch"), agree, False)) or joined
         child = lambda f: F.xxhash64("node", F.lit(f), token(F.pmod(F.xxhash64("node", F.lit(f), F.lit(depth)), F.lit(TOKENS)).cast("int")))  # noqa: E731, B023
-        rows = materialise(large.join(sigs, "fp").select(F.explode(F.array(*[child(f) for f in range(FAN)])).alias("node"), "fp", F.col("pairs").alias("before")), "level")
+        rows = materialise(told.where(~stops).join(sigs.select("fp", "tokens"), "fp").select(F.explode(F.array(*[child(f) for f in range(FAN)])).alias("node"), "fp", F.col("pairs").alias("before")), "level")
         if not rows.limit(1).count():
-            joined = confirmed.add(pending) or joined
             break
     own = sets.where("fp IS NOT NULL").groupBy("fp").agg(F.min("key").alias("least"))
     if joined is None:
