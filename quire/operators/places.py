@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-#: Phrases up to which a dictionary goes to every task; larger ones are shuffled to the pages' word runs.
-BROADCAST_ROWS = 500_000
 SAMPLE = 200
 
 
@@ -34,19 +32,6 @@ def phrases(places: DataFrame, stop: list[str]) -> DataFrame:
     return p.where((F.length(F.replace("phrase", F.lit(" "))) >= 4) & ~F.col("phrase").isin(folded)).distinct()
 
 
-def found(pages: DataFrame, dictionary: DataFrame, longest: int | None = None) -> DataFrame:
-    """(id, book, page) of every dictionary entry that stands on a page, once each. pages: (book, page, txt), folded.
-
-    Runs of 1 to the longest phrase's words are made distinct within a page and meet the dictionary, which goes to every task if it is
-    found to be small.
-    """
-    longest = longest or dictionary.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    small = dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    words = F.filter(F.split("txt", " "), lambda w: w != "")
-    runs = pages.select("book", "page", F.explode(F.array_distinct(T.token_ngrams(words, longest))).alias("phrase"))
-    return runs.join(F.broadcast(dictionary) if small else dictionary, "phrase").select("id", "book", "page").distinct()
-
-
 def place_index(hits: DataFrame) -> DataFrame:
     """(id, pages, books, sample): the sample is the first 200 places of an entry by book and page, found by rank and never from a list of all."""
     from pyspark.sql import Window

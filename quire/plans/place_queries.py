@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import places as P
+from quire.operators.phrases import found
 from quire.plans.corpus_queries import fold_sql
 from quire.plans.registry import query
 from quire.tables import table
@@ -38,7 +39,7 @@ hits AS (SELECT DISTINCT id, source AS book, doc_id AS page FROM g JOIN phrases
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), P.fold(F.col("text")).alias("txt"))
-    return P.found(pages, P.phrases(P.merged(_places(spark, sf_dir), ["PPLA", "PPLC"]), _STOP))
+    return found(pages, P.phrases(P.merged(_places(spark, sf_dir), ["PPLA", "PPLC"]), _STOP))
 
 
 @query(f"WITH {_FOUND} SELECT id, book, page FROM hits")
