@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.registry import ORACLES, query
-from quire.streaming import limits
+from quire.streaming import limits, stateful
 from quire.streaming.runs import finished
 from quire.tables import table
 
@@ -45,6 +45,13 @@ def rate_limit_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(limits.limited_stream(_stream(spark, sf_dir).withWatermark("ts", "1 hour"), "user_id", "event_id", 3, 3600))
 
 
+@query(ORACLES["rate_limit"])
+def rate_limit_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same limiter, whose keys go by timers once their window has passed."""
+    rows = _stream(spark, sf_dir).withWatermark("ts", "1 hour")
+    return finished(stateful.limited(rows, "user_id", "event_id", 3, 3600), **stateful.STATE)
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row of each user and kind that a stream brings."""
