@@ -32,6 +32,8 @@ PERCENT = 85
 TREES, FAN, TOKENS = 8, 2, 256
 #: Sets outside a node's largest component up to which it is compared exhaustively; members of a node in a task at most (about).
 SMALL, CHUNK = 2048, 4096
+#: How often a level's sets offer their best pairs, if each time links come of it, before all pairs meet.
+OFFERS = 3
 #: Equal sketch tokens of 256 that a pair needs to be confirmed: 4.6 standard deviations under what is expected at 0.85.
 AGREE = 204
 #: A node has (sets outside) x (sets) pairs to compare. It is compared, in blocks of SMALL, if its FAN children are likely to have more
@@ -89,8 +91,8 @@ def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
 class _Chunk:
     """One chunk of a node as it streams in: leaders first, then members."""
 
-    def __init__(self, alone: bool, most: int, best: bool) -> None:
-        self.alone, self.most, self.best, self.lead, self.members = alone, most, best, ([], [], []), False
+    def __init__(self, alone: bool, most: int, best: bool, percent: int) -> None:
+        self.alone, self.most, self.best, self.percent, self.lead, self.members = alone, most, best, percent, ([], [], [], []), False
 
     def add(self, leads: bool, *rows: list) -> Iterator[tuple[int, int]]:
         if leads:
@@ -104,18 +106,20 @@ class _Chunk:
         if not self.members:
             self.members = True
             self.fps, self.roots, self.sketches = np.array(self.lead[0], np.int64), np.array(self.lead[1], np.int64), np.frombuffer(b"".join(self.lead[2]), "<u8").reshape(-1, 8)
+            self.sizes = np.array(self.lead[3], np.int64)
             self.top = np.full(len(self.fps), self.most - 1, np.int16), np.zeros(len(self.fps), np.int64)
             if self.alone:  # leaders aren't dealt again as members
                 yield from self._compare(*self.lead)
 
-    def _compare(self, fps: list, roots: list, sketches: list) -> Iterator[tuple[int, int]]:
+    def _compare(self, fps: list, roots: list, sketches: list, sizes: list) -> Iterator[tuple[int, int]]:
         if not len(self.fps):
             return
-        q, f, r = np.frombuffer(b"".join(sketches), "<u8").reshape(-1, 8), np.array(fps, np.int64), np.array(roots, np.int64)
+        q, f, r, n = np.frombuffer(b"".join(sketches), "<u8").reshape(-1, 8), np.array(fps, np.int64), np.array(roots, np.int64), np.array(sizes, np.int64)
         step = max(1, 500_000 // len(self.fps))  # some megabytes of comparisons at once
         for i in range(0, len(f), step):
             agree = agreeing(self.sketches, q[i : i + step])
-            agree[self.roots[:, None] == r[None, i : i + step]] = -1
+            own, other = self.sizes[:, None], n[None, i : i + step]  # sizes alone rule out some
+            agree[(self.roots[:, None] == r[None, i : i + step]) | (100 * np.minimum(own, other) < self.percent * np.maximum(own, other))] = -1
             if self.best:
                 at = agree.argmax(axis=1)
                 value = agree[np.arange(len(at)), at]
@@ -132,38 +136,39 @@ class _Chunk:
             yield from zip(self.fps[good].tolist(), self.top[1][good].tolist(), strict=True)
 
 
-def _alike(rows: DataFrame, most: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of rows (node, fp, root, leads, chunks, sketch) of one node and different components, one of which leads, that agree on most tokens.
+def _alike(rows: DataFrame, most: int, best: bool, percent: int) -> DataFrame:
+    """Pairs (a, b, node, chunk) of rows (node, fp, root, leads, chunks, sketch, n) of one node and different components, one of which leads, that agree on most tokens.
 
     best: of each leader only the best in each chunk. Members are dealt over chunks of their node and leaders go to each.
     """
     alone = F.col("chunks") == 1
-    members = rows.select("node", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("chunk"), F.when(alone & F.col("leads"), 0).otherwise(1).alias("kind"), alone.alias("alone"), "fp", "root", "sketch")
-    leaders = rows.where(F.col("leads") & ~alone).select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), F.lit(False).alias("alone"), "fp", "root", "sketch")
+    members = rows.select("node", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("chunk"), F.when(alone & F.col("leads"), 0).otherwise(1).alias("kind"), alone.alias("alone"), "fp", "root", "sketch", "n")
+    leaders = rows.where(F.col("leads") & ~alone).select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), F.lit(False).alias("alone"), "fp", "root", "sketch", "n")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, chunk = None, None
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            found: set[tuple[int, int, int, int]] = set()
             columns = [c.to_pylist() for c in batch.columns]
             heads = list(zip(*columns[:3], strict=True))
             edges = [i for i in range(len(heads)) if not i or heads[i] != heads[i - 1]]
             for i, j in zip(edges, [*edges[1:], len(heads)], strict=True):
                 if heads[i][:2] != at:
                     if chunk:
-                        found.update(chunk.end())
-                    at, chunk = heads[i][:2], _Chunk(columns[3][i], most, best)
-                found.update(chunk.add(heads[i][2] == 0, *(c[i:j] for c in columns[4:])))
+                        found.update((*p, *at) for p in chunk.end())
+                    at, chunk = heads[i][:2], _Chunk(columns[3][i], most, best, percent)
+                found.update((*p, *at) for p in chunk.add(heads[i][2] == 0, *(c[i:j] for c in columns[4:])))
             yield _pairs(found)
         if chunk:
-            yield _pairs(set(chunk.end()))
+            yield _pairs({(*p, *at) for p in chunk.end()})
 
-    return members.union(leaders).repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind").mapInArrow(meet, "a long, b long")
+    return members.union(leaders).repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind").mapInArrow(meet, "a long, b long, node long, chunk long")
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.sort(np.array(list(found), np.int64).reshape(-1, 2), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _pairs(found: set[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    rows = np.array(list(found), np.int64).reshape(-1, 4)
+    rows[:, :2].sort(axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(4)], ["a", "b", "node", "chunk"])
 
 
 def _told(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -187,8 +192,9 @@ def classes(df: DataFrame, key: str, text: str, percent: int = PERCENT, trees: i
     Null keys name no component but where a class has no other. An empty table gives an empty one.
     """
     sets = _sets(df, key, text)
-    sigs = materialise(sets.where("sketch IS NOT NULL").groupBy("fp").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "signatures")
-    sketches = sigs.select("fp", "sketch")
+    sigs = materialise(sets.where("sketch IS NOT NULL").groupBy("fp").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "signatures")
+    sketches = sigs.select("fp", "sketch", F.col("n").alias("size"))
+    alike = lambda rows, best: _alike(rows.join(sketches, "fp").select("node", "fp", "root", "leads", "chunks", "sketch", F.col("size").alias("n")), agree, best, percent)
     confirmed = Confirmed(df, key, text, sets, percent)
     token = lambda i: F.substring("tokens", 2 * i + 1, 2)
     start = F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t * (TOKENS // trees)))) for t in range(trees)]))
@@ -199,15 +205,19 @@ def classes(df: DataFrame, key: str, text: str, percent: int = PERCENT, trees: i
         last = F.lit(depth >= deepest)
         stops = (F.col("outside") <= small) | last | (FAN * F.col("pairs") > WORTH * F.coalesce("before", F.lit(float("inf"))))
         told = _told(rows, joined)
-        # sets offer their best pair: in small nodes all that are outside, in others each in a chunk of its own kind
-        some = told.where(F.col("outside") <= small).select("node", "fp", "root", (F.col("root") != F.col("top")).alias("leads"), "chunks")
-        local = told.where(F.col("outside") > small).select(F.xxhash64("node", F.pmod(F.xxhash64("fp", F.lit(2)), F.ceil(F.col("n") / SMALL))).alias("node"), "fp", "root", F.lit(True).alias("leads"), F.lit(1).cast("long").alias("chunks"))
-        joined = confirmed.add(_alike(some.union(local).join(sketches, "fp").select("node", "fp", "root", "leads", "chunks", "sketch"), agree, True)) or joined
-        told = _told(told.select("node", "fp", "before"), joined)
+        for _ in range(OFFERS):
+            # sets offer their best pair: in small nodes all that are outside, in others each in a chunk of its own kind
+            some = told.where(F.col("outside") <= small).select("node", "fp", "root", (F.col("root") != F.col("top")).alias("leads"), "chunks")
+            local = told.where(F.col("outside") > small).select(F.xxhash64("node", F.pmod(F.xxhash64("fp", F.lit(2)), F.ceil(F.col("n") / SMALL))).alias("node"), "fp", "root", F.lit(True).alias("leads"), F.lit(1).cast("long").alias("chunks"))
+            more = confirmed.add(alike(some.union(local), True))
+            if more is None:
+                break
+            joined = more
+            told = _told(told.select("node", "fp", "before"), joined)
         blocks = F.ceil(F.col("outside") / small)
         led = told.where(stops).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         led = led.withColumn("leads", (F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("fp", F.lit(1)), blocks) == F.col("block"))).withColumn("node", F.xxhash64("node", "block"))
-        joined = confirmed.add(_alike(led.join(sketches, "fp").select("node", "fp", "root", "leads", "chunks", "sketch"), agree, False)) or joined
+        joined = confirmed.add(alike(led, False)) or joined
         child = lambda f: F.xxhash64("node", F.lit(f), token(F.pmod(F.xxhash64("node", F.lit(f), F.lit(depth)), F.lit(TOKENS)).cast("int")))  # noqa: E731, B023
         rows = materialise(told.where(~stops).join(sigs.select("fp", "tokens"), "fp").select(F.explode(F.array(*[child(f) for f in range(FAN)])).alias("node"), "fp", F.col("pairs").alias("before")), "level")
         if not rows.limit(1).count():

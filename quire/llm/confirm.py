@@ -14,6 +14,8 @@ from quire.llm._common import ASCII_LOWER, materialise, slices, text_bytes
 from quire.llm.components import components
 
 SHINGLE, SEED = 5, 42
+#: Texts to read up to which their keys go to every task (some 100 bytes each); bytes of a group's sets that a task holds.
+BROADCAST_TEXTS, GROUP_BYTES = 200_000, 64_000_000
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -88,33 +90,70 @@ class Confirmed:
         self.percent, self.whole, self.seen, self.links = percent, None, None, None
 
     def _data(self, wanted: DataFrame) -> DataFrame:
-        """Whole sets of fingerprints, from one text each."""
+        """(fp, data): whole sets of fingerprints, from one text each. A repeated row gives its set once a task."""
 
         def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
             for batch in slices(batches):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingles(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["fp", "data"])
+                new = [i for i, fp in enumerate(batch.column(0).to_pylist()) if not (fp in seen or seen.add(fp))]
+                rows = batch.take(pa.array(new, pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([np.unique(shingles(t)).tobytes() for t in rows.column(1).to_pylist()], pa.binary())], ["fp", "data"])
 
-        at = self.at.join(wanted, "fp").withColumnRenamed("key", "k").withColumnRenamed("mark", "m")
-        found = self.texts.join(at, self.texts.key.eqNullSafe(at.k) & (self.texts.mark == at.m)).select("fp", "text").dropDuplicates(["fp"])
+        at = materialise(self.at.join(wanted, "fp").select("fp", F.col("key").alias("k"), F.col("mark").alias("m")), "wanted")
+        few = at.count() <= BROADCAST_TEXTS
+        found = self.texts.join(F.broadcast(at) if few else at, self.texts.key.eqNullSafe(F.col("k")) & (self.texts.mark == F.col("m"))).select("fp", "text")
         return materialise(found.mapInArrow(compute, "fp long, data binary"), "whole-sets")
 
     def links_of(self, pairs: DataFrame) -> DataFrame:
-        """A written table of those pairs (a, b), each end a fingerprint and a the lesser, that overlap enough. A set's text is read once for all calls."""
+        """A written table of those pairs (a, b) that overlap enough. Each end is a fingerprint and a the lesser; node and chunk, where given, name the group in which a pair was met.
+
+        A set's text is read once for all calls. Pairs of one group share its sets, each of which then goes to one task once; groups
+        whose sets are large, and pairs without one, are dealt by their lesser end.
+        """
         wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
         if self.whole is not None:
             wanted = wanted.join(self.whole.select("fp"), "fp", "left_anti")
         new = self._data(wanted)
         self.whole = new if self.whole is None else self.whole.union(new)
+        if "node" not in pairs.columns:
+            return materialise(self._by_lesser(pairs), "links")
+        ends = pairs.select("node", "chunk", F.explode(F.array("a", "b")).alias("fp")).distinct()
+        sizes = ends.join(self.whole.select("fp", F.octet_length("data").alias("bytes")), "fp").groupBy("node", "chunk").agg(F.sum("bytes").alias("bytes"))
+        light = sizes.where(F.col("bytes") <= GROUP_BYTES).select("node", "chunk")
+        heavy = pairs.join(light, ["node", "chunk"], "left_anti")
+        none = F.lit(None).cast("long")
+        sets = ends.join(light, ["node", "chunk"], "left_semi").join(self.whole, "fp").select("node", "chunk", F.lit(0).alias("kind"), F.col("fp").alias("a"), none.alias("b"), "data")
+        asked = pairs.join(light, ["node", "chunk"], "left_semi").select("node", "chunk", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("data"))
+        percent = self.percent
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, {}
+            for batch in batches:
+                good = []
+                for node, chunk, kind, x, y, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (node, chunk) != at:
+                        at, held = (node, chunk), {}
+                    if kind == 0:
+                        held[x] = np.frombuffer(data, "<u8")
+                    elif linked(held[x], held[y], percent):
+                        good.append((x, y))
+                found = np.array(good, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        met = sets.union(asked).repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind").mapInArrow(check, "a long, b long")
+        return materialise(met.union(self._by_lesser(heavy)), "links")
+
+    def _by_lesser(self, pairs: DataFrame) -> DataFrame:
         many = pairs.groupBy(F.col("a").alias("node")).agg(F.ceil(F.count(F.lit(1)) / 64).alias("chunks"))
         ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("fp"), F.lit(False).alias("leads")).union(many.select("node", F.col("node").alias("fp"), F.lit(True)))
         rows = ends.join(many, "node").join(self.whole, "fp").select("node", "fp", F.lit(0).alias("root"), "leads", "chunks", "data")
-        return materialise(dealt(rows, "data", _confirming(self.percent)).where("a <> b"), "links")
+        return dealt(rows, "data", _confirming(self.percent)).where("a <> b")
 
     def add(self, pairs: DataFrame) -> DataFrame | None:
-        """Confirm pairs (a, b) and return the components (node, root) of all links so far, or None if these are as they were."""
-        pairs = pairs.distinct()
+        """Confirm pairs (a, b, node, chunk) and return the components (node, root) of all links so far, or None if these are as they were."""
+        pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("node", "chunk")).alias("g")).select("a", "b", "g.*")
         if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+            pairs = pairs.join(self.seen.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         self.seen = pairs if self.seen is None else self.seen.union(pairs)
         good = self.links_of(pairs)
