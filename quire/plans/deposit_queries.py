@@ -1,4 +1,4 @@
-"""The deposit: a bag of all pages with its manifests, as one archive."""
+"""The deposit: a bag of all pages with its manifests, as one archive; gazetteers read from archives."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quire.operators.index import shared_root
 from quire.plans.registry import query
-from quire.sources import archives
-from quire.tables import corpus
+from quire.sources import archives, zipped
+from quire.streaming.runs import finished
+from quire.tables import corpus, table
 
 _BAGIT = "BagIt-Version: 1.0\nTag-File-Character-Encoding: UTF-8\n"
 #: Fixed: lines of a manifest in one piece, about.
@@ -55,3 +56,30 @@ def bag_tag_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksums of the tag files. A file in pieces is hashed in their order."""
     tags = bag(corpus(spark, sf_dir)).where(~F.col("name").startswith("data/"))
     return archives.digests(tags).select(F.concat("sha256", F.lit("  "), "name").alias("line"))
+
+
+_TOWNS = "SELECT n_name || '.txt' AS member, c_custkey || chr(9) || c_name || chr(9) || c_mktsegment AS value FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+def _towns(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with an archive of tables, one member a nation, as gazetteers come."""
+    path = f"{shared_root(spark)}/gazetteers/{uuid.uuid4().hex}"
+    named = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    lines = named.select(F.concat("n_name", F.lit(".txt")).alias("name"), F.col("c_custkey"), F.concat(F.col("c_custkey").cast("string"), F.lit("\t"), "c_name", F.lit("\t"), "c_mktsegment", F.lit("\n")).alias("line"))
+    pieces = lines.groupBy("name", F.floor(F.col("c_custkey") / _LINES).alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]), "").cast("binary").alias("data"))
+    archives.write_zip(pieces, f"{path}/parts", f"{path}/work")
+    archives.joined(spark, f"{path}/parts", f"{path}/archives/towns.zip")
+    zipped.register(spark)
+    return f"{path}/archives"
+
+
+@query(_TOWNS)
+def gazetteer_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a zipped gazetteer's tables, a task each."""
+    return spark.read.format("zip_lines").option("path", _towns(spark, sf_dir)).option("members", r"\.txt$").load().select("member", "value")
+
+
+@query(_TOWNS)
+def gazetteer_zip_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream that takes each archive once."""
+    return finished(spark.readStream.format("zip_lines").option("path", _towns(spark, sf_dir)).option("members", r"\.txt$").load().select("member", "value"))

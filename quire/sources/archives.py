@@ -206,6 +206,7 @@ def joined(spark: SparkSession, path: str, target: str) -> None:
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files, to = _filesystem(target)
+            files.create_dir(to.rpartition("/")[0], recursive=True)
             attempt = f"{to}.{uuid.uuid4().hex}"
             with files.open_output_stream(attempt) as out:
                 for part in segments(path):
