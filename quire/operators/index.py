@@ -53,14 +53,15 @@ def build(pages: DataFrame, path: str) -> None:
     spark = pages.sparkSession
 
     def write(table: DataFrame, key: str, name: str, parts: int) -> DataFrame:
-        table.repartitionByRange(parts, key).sortWithinPartitions(key).write.mode("overwrite").options(**_SMALL_GROUPS).parquet(f"{path}/{name}")
+        # by hash, for ranges would need a sample and so a second run of what makes the rows; sorted files are pruned by their row groups
+        table.repartition(parts, key).sortWithinPartitions(key).write.mode("overwrite").options(**_SMALL_GROUPS).parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
     cores = spark.sparkContext.defaultParallelism
     stored = write(S.index_pages(pages).select("id", "book", "page", "raw", "txt"), "id", "pages", max(cores, pages.rdd.getNumPartitions()))
     terms = stored.select(F.sum(F.least(F.length("txt"), F.lit(2000)))).first()[0] or 0  # a page's distinct terms, at most about
     parts = max(1, terms // PARTITION)
-    posted = write(S.postings(stored), "term", "postings", parts)
+    posted = write(S.counted(S.spread(stored)), "term", "postings", parts)
     write(S.vocabulary(posted), "term", "vocabulary", max(1, parts // 8))
     S.lengths(stored).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")  # written last: it marks the index as whole
 
