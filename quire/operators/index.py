@@ -48,13 +48,19 @@ def shared_root(spark: SparkSession) -> str:
     return f"{(named or 'file:///tmp/quire-index').rstrip('/')}/quire"
 
 
+def sorted_files(table: DataFrame, key: str, path: str, parts: int | None = None) -> None:
+    """A table dealt by key and sorted, in small row groups, so that a look for some keys reads little of it."""
+    dealt = table.repartition(parts, key) if parts else table.repartition(key)
+    dealt.sortWithinPartitions(key).write.mode("overwrite").options(**_SMALL_GROUPS).parquet(path)
+
+
 def build(pages: DataFrame, path: str) -> None:
     """Write the index of pages(id, book, page, raw) under path. Texts are folded once; a page's equal terms are one row before the shuffle."""
     spark = pages.sparkSession
 
     def write(table: DataFrame, key: str, name: str, parts: int) -> DataFrame:
-        # by hash, for ranges would need a sample and so a second run of what makes the rows; sorted files are pruned by their row groups
-        table.repartition(parts, key).sortWithinPartitions(key).write.mode("overwrite").options(**_SMALL_GROUPS).parquet(f"{path}/{name}")
+        # by hash, for ranges would need a sample and so a second run of what makes the rows
+        sorted_files(table, key, f"{path}/{name}", parts)
         return spark.read.parquet(f"{path}/{name}")
 
     cores = spark.sparkContext.defaultParallelism

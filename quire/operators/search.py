@@ -99,25 +99,31 @@ def query_terms(spark: SparkSession, text: str) -> list[str]:
     return [] if not u else [u] if len(u) < 3 else [u[i : i + 3] for i in range(len(u) - 2)]
 
 
-def rarest(terms: Sequence[str], vocabulary: DataFrame, most: int = MOST_TERMS) -> list[str]:
-    """Over ``most`` terms, the distinct ones with the fewest pages (none counts as 0), earlier first; else all as they are."""
+def page_counts(terms: Sequence[str], vocabulary: DataFrame) -> dict[str, int]:
+    """How many pages hold each of a query's terms; terms of none are left out."""
+    return {r["term"]: r["doc"] for r in vocabulary.where(F.col("term").isin(list(dict.fromkeys(terms)))).collect()} if terms else {}
+
+
+def rarest(terms: Sequence[str], doc: DataFrame | dict[str, int], most: int = MOST_TERMS) -> list[str]:
+    """Over ``most`` terms, the distinct ones with the fewest pages (none counts as 0), earlier first; else all as they are. doc: page_counts() or a vocabulary."""
     if len(terms) <= most:
         return list(terms)
-    first = list(dict.fromkeys(terms))
-    doc = {r["term"]: r["doc"] for r in vocabulary.where(F.col("term").isin(first)).collect()}
-    return sorted(first, key=lambda t: doc.get(t, 0))[:most]
+    doc = doc if isinstance(doc, dict) else page_counts(terms, doc)
+    return sorted(dict.fromkeys(terms), key=lambda t: doc.get(t, 0))[:most]
 
 
-def bm25(postings: DataFrame, terms: Sequence[str], n: int, avgdl: float) -> DataFrame:
+def bm25(postings: DataFrame, terms: Sequence[str], n: int, avgdl: float, doc: dict[str, int] | None = None) -> DataFrame:
     """(id, score) for pages that hold a term; the lower the better, as in SQLite's bm25(). A repeated query term counts each time.
 
-    The terms are literals, so stored postings are pruned where they are scanned; a term's pages are counted among the
-    same rows, and partial sums go to a page before any shuffle.
+    The terms are literals, so stored postings are pruned where they are scanned; partial sums go to a page before any shuffle. doc: page_counts(),
+    else counted among the same rows.
     """
     spark = postings.sparkSession
     times = {t: terms.count(t) for t in terms}
     hits = postings.where(F.col("term").isin(list(times)))
-    df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    if doc is None:
+        doc = {r["term"]: r["doc"] for r in vocabulary(hits).collect()}
+    df = {t: doc[t] for t in times if t in doc}
     if not df:
         return spark.createDataFrame([], "id long, score double")
     weight = F.create_map(*[F.lit(x) for t, d in df.items() for x in (t, times[t] * max(math.log((n - d + 0.5) / (d + 0.5)), FEWEST_IDF))])
@@ -137,8 +143,10 @@ def search_trigram(index, text: str, k: int, book: str | None = None, aware: boo
     index: a SearchIndex. Only 3 k ids and a query's terms reach the driver.
     """
     spark = index.pages.sparkSession
-    listed = rarest(query_terms(spark, text), index.vocabulary)
-    scored = bm25(index.postings, listed, index.n, index.avgdl) if listed else spark.createDataFrame([], "id long, score double")
+    asked = query_terms(spark, text)
+    doc = page_counts(asked, index.vocabulary)
+    listed = rarest(asked, doc)
+    scored = bm25(index.postings, listed, index.n, index.avgdl, doc) if listed else spark.createDataFrame([], "id long, score double")
     if book is not None:
         scored = scored.join(index.pages.where(F.col("book") == book).select("id"), "id", "left_semi")
     top = {r["id"]: r["score"] for r in scored.orderBy("score", "id").limit(3 * k).collect()}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import metrics as M
 from quire.functions import text as T
 from quire.operators import search as S
-from quire.operators.index import SearchIndex, open_index
-from quire.plans.registry import query
+from quire.operators.growing import GrowingIndex
+from quire.operators.index import SearchIndex, open_index, shared_root
+from quire.plans.registry import ORACLES, query
 from quire.tables import corpus, table
 
 QUERY = "the thing that onre there with edly"
@@ -278,3 +281,21 @@ def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("book").orderBy("page")
     return corpus(spark, sf_dir).select(F.col("page").alias("doc_id"), F.lag("page").over(w).alias("previous"), F.lead("page").over(w).alias("following"))
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The corpus' index grown in steps: two of three pages, with others' texts at first in one of nine, then the rest and the right ones in further steps, and removed ones."""
+    held = GrowingIndex(spark, f"{shared_root(spark)}/growing/{uuid.uuid4().hex}")
+    c = corpus(spark, sf_dir)
+    wrong = c.withColumn("raw", F.when(F.col("id") % 9 == 0, F.reverse("raw")).otherwise(F.col("raw")))
+    held.add(wrong.where("id % 3 <> 1"), "most")
+    held.add(c.where("id % 3 = 1 OR id % 9 = 0"), "rest")
+    held.add(c.where("id % 50 = 7").withColumn("id", -F.col("id") - 1), "more")
+    held.remove(c.where("id % 50 = 7").select((-F.col("id") - 1).alias("id")), "fewer")
+    return held.open()
+
+
+@query(ORACLES["search_long_query"])
+def search_grown_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of an index that grew by segments is one of a fresh index."""
+    return _rounded(S.search_trigram(_grown(spark, sf_dir), LONG_QUERY, 10), "score", "coverage")

@@ -25,6 +25,56 @@ class Conflict(Exception):
     """The version's number is taken."""
 
 
+def put_if_absent(spark: SparkSession, path: str, folder: str, data: bytes) -> None:
+    """Write a small file of the driver's at path by a rename that doesn't replace one, or raise Conflict. folder: for the try."""
+    jvm = spark._jvm
+    at, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{folder}/{uuid.uuid4().hex}"))
+    conf = spark._jsc.hadoopConfiguration()
+    fs = at.getFileSystem(conf)
+    fs.mkdirs(at.getParent())
+    out = fs.create(new, False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    keep = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    keep[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(new, at, keep)
+    except Exception as e:
+        if "FileAlreadyExists" not in str(e):
+            raise
+        fs.delete(new, False)
+        raise Conflict(path) from e
+
+
+@dataclass(frozen=True)
+class Commits:
+    """A log whose every commit holds a whole state, as one JSON line; its number is taken by one writer only."""
+
+    spark: SparkSession
+    path: str
+
+    def _lines(self) -> DataFrame:
+        try:
+            return self.spark.read.schema("value string").text(f"{self.path}/commits").select("value", F.get_json_object("value", "$.version").cast("long").alias("version"), F.get_json_object("value", "$.token").alias("token"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], "value string, version long, token string")
+
+    def latest(self) -> dict:
+        """The last state, {} before any."""
+        row = self._lines().agg(F.max_by("value", "version").alias("v")).first()
+        return json.loads(row["v"]) if row["v"] else {}
+
+    def version_of(self, token: str) -> int | None:
+        return self._lines().where(F.col("token") == token).agg(F.min("version")).first()[0]
+
+    def commit(self, version: int, token: str, **state: object) -> None:
+        put_if_absent(self.spark, f"{self.path}/commits/{version:012d}.json", f"{self.path}/tries", json.dumps({"version": version, "token": token, **state}).encode())
+
+
 @dataclass(frozen=True)
 class SnapshotTable:
     """A table in a folder that driver and executors share. key names its rows; schema is that of its rows, as a DDL string."""
@@ -48,25 +98,7 @@ class SnapshotTable:
 
     def commit(self, version: int, token: str, kind: str, folder: str, columns: list[str]) -> None:
         """Put a version's commit file in place, or raise Conflict."""
-        jvm = self.spark._jvm
-        at, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}") for p in (f"commits/{version:012d}.json", f"tries/{uuid.uuid4().hex}"))
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.mkdirs(at.getParent())
-        out = fs.create(new, False)
-        try:
-            out.write(bytearray(json.dumps({"version": version, "token": token, "kind": kind, "folder": folder, "columns": columns}).encode()))
-        finally:
-            out.close()
-        keep = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        keep[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        try:
-            files.rename(new, at, keep)
-        except Exception as e:
-            if "FileAlreadyExists" not in str(e):
-                raise
-            fs.delete(new, False)
-            raise Conflict(version) from e
+        put_if_absent(self.spark, f"{self.path}/commits/{version:012d}.json", f"{self.path}/tries", json.dumps({"version": version, "token": token, "kind": kind, "folder": folder, "columns": columns}).encode())
 
     def _change(self, kind: str, rows: DataFrame, token: str, at: int | None = None) -> int:
         """Write rows and commit them. Returns the version that holds the token's change, be it this one or that of an earlier try."""

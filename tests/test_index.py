@@ -17,3 +17,38 @@ def test_counted_postings(spark):
     plain = df.where("id NOT IN (6, 8)")
     assert sorted(tuple(r) for r in S.counted(plain).collect()) == sorted(tuple(r) for r in S.postings(plain).collect())
     assert S.counted(df.limit(0)).count() == 0
+
+
+def test_growing_index_searches_as_a_fresh_one(spark, tmp_path, monkeypatch):
+    from quire.operators import growing
+    from quire.operators.index import open_index
+
+    monkeypatch.setattr(growing, "MERGE", 3)
+    schema = "id long, book string, page long, raw string"
+    page = lambda i, t: (i, f"b{i % 2}", i, f"the {t} of page {i} with gardens {'and water' * (i % 3)}")
+    held = growing.GrowingIndex(spark, f"file://{tmp_path}/grown")
+    assert held.open().n == 0 and S.search_trigram(held.open(), "gardens", 5).count() == 0
+    now = {}
+    for n, ids in enumerate([range(30), range(20, 40), [3, 5], [50], range(51, 60), [61]]):
+        rows = [page(i, f"text{n}") for i in ids]
+        version = held.add(spark.createDataFrame(rows, schema), f"step-{n}")
+        assert held.add(spark.createDataFrame([page(99, "never")], schema), f"step-{n}") == version  # a replay
+        now |= {r[0]: r for r in rows}
+    held.remove(spark.createDataFrame([(4,), (50,)], "id long"), "gone")
+    now = {i: r for i, r in now.items() if i not in (4, 50)}
+    spark.createDataFrame(list(now.values()), schema).write.parquet(f"{tmp_path}/pages")
+    fresh = open_index(spark.read.parquet(f"{tmp_path}/pages"), f"{tmp_path}/fresh")
+
+    def same():
+        grown = held.open()
+        assert grown.n == fresh.n == len(now) and abs(grown.avgdl - fresh.avgdl) < 1e-9
+        for text in ("gardens and water of page 5", "text2 of page", "zzz"):
+            got, want = ([(r["id"], round(r["score"], 9), r["coverage"]) for r in S.search_trigram(i, text, 10).collect()] for i in (grown, fresh))
+            assert got == want
+
+    same()
+    before = len(held.segments())
+    while held.merge():
+        assert len(held.segments()) < before
+        before = len(held.segments())
+        same()
