@@ -1,9 +1,8 @@
-"""Transcription metrics as column expressions, and the few that need a sequence matcher as pandas functions."""
+"""Transcription metrics as column expressions, and the few over token sequences as pandas functions."""
 
 from __future__ import annotations
 
 import bisect
-import difflib
 import json
 import math
 import re
@@ -13,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quire.functions.sequences import distance, matching_blocks
 from quire.functions.text import full_lines
 
 CUT = 8000
@@ -33,19 +33,8 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), 1 - _ratio(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))))
 
 
-def _distance(a: list, b: list) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
-
-
 def _wer(pred: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([_distance((p or "").split(), r.split()) / len(r.split()) if r and r.split() else None for p, r in zip(pred, ref, strict=True)], dtype="float64")
+    return pd.Series([distance((p or "").split(), r.split()) / len(r.split()) if r and r.split() else None for p, r in zip(pred, ref, strict=True)], dtype="float64")
 
 
 def degenerate(t: Column, least: int = 6) -> Column:
@@ -68,10 +57,10 @@ def line_stats(t: Column) -> Column:
 
 
 def _span(a: list[str], b: list[str], least: int = 2) -> tuple[int, int, int, int] | None:
-    blocks = [m for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= least]
+    blocks = [m for m in matching_blocks(a, b) if m[2] >= least]
     if not blocks:
         return None
-    return min(m.a for m in blocks), max(m.a + m.size for m in blocks), min(m.b for m in blocks), max(m.b + m.size for m in blocks)
+    return min(i for i, _, _ in blocks), max(i + n for i, _, n in blocks), min(j for _, j, _ in blocks), max(j + n for _, j, n in blocks)
 
 
 SPAN_SCORE = "cer double, ref_recall double, yield double, span_coverage double, span_tokens long"
@@ -86,7 +75,7 @@ def _span_score(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
             out.append((None,) * 5)
             continue
         x, y = a[span[0] : span[1]], b[span[2] : span[3]]
-        error = _distance(x, y) / max(len(x), len(y))
+        error = distance(x, y) / max(len(x), len(y))
         recall = len(y) / len(b)
         out.append((error, recall, recall * (1 - error), len(x) / len(a), len(x)))
     return pd.DataFrame(out, columns=["cer", "ref_recall", "yield", "span_coverage", "span_tokens"]).astype({"cer": "float64", "ref_recall": "float64", "yield": "float64", "span_coverage": "float64", "span_tokens": "Int64"})
@@ -96,7 +85,7 @@ DAMAGE = "correct_tokens long, false_corr long, false_corr_rate double, touched_
 
 
 def _matched(a: list[str], b: list[str]) -> set[int]:
-    return {m.a + i for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for i in range(m.size)}
+    return {i + k for i, _, n in matching_blocks(a, b) for k in range(n)}
 
 
 def _damage(raw: pd.Series, corrected: pd.Series, edition: pd.Series) -> pd.DataFrame:

@@ -107,7 +107,31 @@ def align_selftest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(pages, stream, "doc_id").select("doc_id", "start", F.round("vote_ratio", 6).alias("vote_ratio"), "tier")
 
 
-@query()
+def _blocks_sql(pairs: str) -> str:
+    """CTEs over pairs(item_id, kind, a, b), lists of tokens: best has the matching blocks (i, j, n), each the longest of its range; q the ranges."""
+    clipped = """SELECT * FROM (SELECT q.*, greatest(s, lo, le - d) AS i, greatest(s, lo, le - d) + d AS j, least(e, hi, ri - d) - greatest(s, lo, le - d) AS n, row_number() OVER (PARTITION BY item_id, kind, lo, hi, le, ri ORDER BY least(e, hi, ri - d) - greatest(s, lo, le - d) DESC, greatest(s, lo, le - d), d) AS nth
+FROM q JOIN r USING (item_id, kind) WHERE least(e, hi, ri - d) > greatest(s, lo, le - d)) WHERE nth = 1"""
+    return f"""pairs AS ({pairs}),
+m AS (SELECT item_id, kind, i, j, j - i AS d FROM (SELECT item_id, kind, unnest(a) AS tok, generate_subscripts(a, 1) - 1 AS i FROM pairs) JOIN (SELECT item_id, kind, unnest(b) AS tok, generate_subscripts(b, 1) - 1 AS j FROM pairs) USING (item_id, kind, tok)),
+r AS (SELECT item_id, kind, d, min(i) AS s, max(i) + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY item_id, kind, d ORDER BY i) AS g FROM m) GROUP BY item_id, kind, d, g),
+q AS (SELECT item_id, kind, 0::BIGINT AS lo, len(a) AS hi, 0::BIGINT AS le, len(b) AS ri FROM pairs UNION ALL
+SELECT item_id, kind, CASE WHEN side = 0 THEN lo ELSE i + n END, CASE WHEN side = 0 THEN i ELSE hi END, CASE WHEN side = 0 THEN le ELSE j + n END, CASE WHEN side = 0 THEN j ELSE ri END FROM ({clipped}), (VALUES (0), (1)) sides(side)
+WHERE CASE WHEN side = 0 THEN i > lo AND j > le ELSE i + n < hi AND j + n < ri END),
+best AS ({clipped}),
+spans AS (SELECT item_id, kind, min(i) AS a0, max(i + n) AS a1, min(j) AS b0, max(j + n) AS b1 FROM best WHERE n >= 2 GROUP BY item_id, kind)"""
+
+
+_WORDS = "list_filter(string_split({}, ' '), lambda w: w <> '')"
+_WORSE = "array_to_string(list_filter(string_split(t, ' '), lambda w, i: (i - 1) % 9 <> 4), ' ')"
+_SPANNED = f"""WITH RECURSIVE t AS (SELECT item_id, repeat({fold_sql('text')} || ' ', 4) AS t FROM benchmark),
+{_blocks_sql(f"SELECT item_id, 0 AS kind, {_WORDS.format(_WORSE)} AS a, {_WORDS.format('t')} AS b FROM t")},
+cut AS (SELECT item_id, a, b, a[a0 + 1:a1] AS x, b[b0 + 1:b1] AS y FROM pairs JOIN spans USING (item_id, kind) WHERE least(a1 - a0, b1 - b0) >= 60),
+k AS (SELECT *, list_distinct(list_concat(x, y)) AS kinds FROM cut),
+c AS (SELECT item_id, len(a) AS na, len(b) AS nb, len(x) AS nx, len(y) AS ny, levenshtein(array_to_string(list_transform(x, lambda w: chr(list_position(kinds, w)::INT)), ''), array_to_string(list_transform(y, lambda w: chr(list_position(kinds, w)::INT)), '')) AS e FROM k)
+SELECT item_id, e / greatest(nx, ny) AS cer, ny / nb AS ref_recall, ny / nb * (1 - e / greatest(nx, ny)) AS yield, nx / na AS span_coverage, nx AS span_tokens FROM t LEFT JOIN c USING (item_id)"""
+
+
+@query(_SPANNED)
 def span_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages, four times over, against the same with one word in nine gone."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.repeat(F.concat(T.fold_search(F.col("text"), False, True), F.lit(" ")), F.lit(4)).alias("t"))
@@ -115,7 +139,17 @@ def span_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", M.span_score(worse, F.col("t")).alias("s")).select("item_id", "s.*")
 
 
-@query()
+_RE, _HT = "replace(t, 'er ', 're ')", "replace(t, 'th', 'ht')"
+_EDITED = f"""WITH RECURSIVE t AS (SELECT item_id, {fold_sql('text')} AS t FROM benchmark),
+{_blocks_sql(f"SELECT item_id, 0 AS kind, {_WORDS.format('t')} AS a, {_WORDS.format(_RE)} AS b FROM t UNION ALL SELECT item_id, 1, {_WORDS.format('t')}, {_WORDS.format(_HT)} FROM t")},
+hits AS (SELECT DISTINCT item_id, kind, i + unnest(range(n)) AS i FROM best),
+inside AS (SELECT item_id, unnest(range(a0, a1)) AS i FROM spans WHERE kind = 0),
+marked AS (SELECT item_id, i, (item_id, i) IN (SELECT (item_id, i) FROM hits WHERE kind = 0) AS good, (item_id, i) IN (SELECT (item_id, i) FROM hits WHERE kind = 1) AS kept FROM inside),
+d AS (SELECT item_id, count(*) FILTER (good) AS correct_tokens, count(*) FILTER (good AND NOT kept) AS false_corr, count(*) FILTER (NOT good) AS wrong, count(*) FILTER (NOT good AND NOT kept) AS touched FROM marked GROUP BY item_id)
+SELECT item_id, correct_tokens, false_corr, false_corr / correct_tokens AS false_corr_rate, CASE WHEN wrong > 0 THEN touched / wrong END AS touched_wrong_rate FROM t LEFT JOIN (SELECT * FROM d WHERE correct_tokens > 0) USING (item_id)"""
+
+
+@query(_EDITED)
 def damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", T.fold_search(F.col("text"), False, True).alias("t"))
     return b.select("item_id", M.damage(F.col("t"), F.regexp_replace("t", "th", "ht"), F.regexp_replace("t", "er ", "re ")).alias("s")).select("item_id", "s.*")
