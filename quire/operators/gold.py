@@ -66,3 +66,16 @@ def safe_threshold(rows: DataFrame, blank: str, value: str) -> DataFrame:
     found = counted.select("t", (F.col("under") + F.coalesce(F.sum(F.col("under") + F.col("at")).over(before), F.lit(0))).alias("found")).where("found > 0")
     best = found.agg(F.coalesce(F.max_by("t", F.struct("found", -F.col("t"))), F.lit(0.0)).alias("threshold"), F.coalesce(F.max("found"), F.lit(0)).alias("found"))
     return best.crossJoin(F.broadcast(rows.agg(F.count_if(blank).alias("blanks"))))
+
+
+def to_reread(readings: DataFrame, limit: str = "MAX_TOKENS") -> DataFrame:
+    """The pages of readings(page, finish) that ended at the token limit: they look clean but lack their end. In order, once each."""
+    return readings.where(F.col("finish") == limit).select("page").distinct().orderBy("page")
+
+
+def reread(readings: DataFrame, again: DataFrame, limit: str = "MAX_TOKENS") -> DataFrame:
+    """readings with those of again in place of the ones that ended at the limit; other pages of again change nothing."""
+    columns = [c for c in readings.columns if c != "page"]
+    new = again.dropDuplicates(["page"]).select("page", F.struct(*columns).alias("__new"))
+    met = readings.join(new, "page", "left").withColumn("__new", F.when(F.col("finish") == limit, F.col("__new")))
+    return met.select("page", *[F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c) for c in columns])

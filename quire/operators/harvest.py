@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 100
@@ -39,10 +39,50 @@ def list_page(books: DataFrame, key: str, sets: str, token: str = "", setspec: s
     size = books.count()
     if start >= size:
         return None
+    return _cut(numbered(books, key), start, size, setspec, chunk)
+
+
+def write_ranks(books: DataFrame, key: str, sets: str, path: str) -> None:
+    """Keep a list's order: books with ``nth`` in the whole list under path/all, and each set's under path/sets with ``spec`` and ``nth`` in the set; sorted, so a page is a few row groups."""
+    numbered(books, key).write.parquet(f"{path}/ranked")  # numbers come with key ranges: read back, they stay as they are
+    ranked = books.sparkSession.read.parquet(f"{path}/ranked")
+    _kept(ranked, ["nth"], f"{path}/all")
+    ranked.select("*", F.explode(sets).alias("spec")).withColumnRenamed("nth", "in_all").write.parquet(f"{path}/exploded")
+    every = books.sparkSession.read.parquet(f"{path}/exploded")
+    # a set's books keep the list's order, so their numbers are places of (set, place in the list) less those of the sets before
+    placed = every.withColumn("at", F.struct("spec", "in_all"))
+    placed = numbered(placed, "at").drop("at")
+    first = placed.groupBy("spec").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("size"))
+    first.write.parquet(f"{path}/sizes")
+    _kept(placed.join(first.select("spec", "first"), "spec").withColumn("nth", F.col("nth") - F.col("first")).drop("first", "in_all"), ["spec", "nth"], f"{path}/sets")
+
+
+def _kept(rows: DataFrame, order: list[str], path: str) -> None:
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**{"parquet.block.size": str(1 << 20), "parquet.page.size": str(1 << 16)}).parquet(path)
+
+
+def ranked_page(spark: SparkSession, path: str, token: str = "", setspec: str = "", chunk: int = CHUNK) -> tuple[DataFrame, str] | None:
+    """list_page() of a list whose order write_ranks() kept: any page reads the rows of its own numbers and ranks nothing."""
+    start = 0
+    if token:
+        found = re.fullmatch(r"(\d+)(?::(.*))?", token, re.S)
+        if not found:
+            return None
+        start, setspec = int(found.group(1)), found.group(2) or setspec
+    if setspec:
+        rows = spark.read.parquet(f"{path}/sets").where(F.col("spec") == setspec).drop("spec")
+        size = spark.read.parquet(f"{path}/sizes").where(F.col("spec") == setspec).agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    else:
+        rows = spark.read.parquet(f"{path}/all")
+        size = rows.count()  # from the files' footers
+    return _cut(rows, start, size, setspec, chunk) if start < size else None
+
+
+def _cut(ranked: DataFrame, start: int, size: int, setspec: str, chunk: int) -> tuple[DataFrame, str]:
     after = start + chunk
     rest = (f"{after}:{setspec}" if setspec else str(after)) if after < size else ""
     head = f'<resumptionToken completeListSize="{size}" cursor="{start}"'
-    return numbered(books, key).where((F.col("nth") >= start) & (F.col("nth") < after)), head + (f">{rest}</resumptionToken>" if rest else "/>")
+    return ranked.where((F.col("nth") >= start) & (F.col("nth") < after)), head + (f">{rest}</resumptionToken>" if rest else "/>")
 
 
 def error_of(verb: str, prefix: str = "", identifier: bool | None = None, token: str = "", found: bool = True) -> str | None:

@@ -32,6 +32,11 @@ def phrases(places: DataFrame, stop: list[str]) -> DataFrame:
     return p.where((F.length(F.replace("phrase", F.lit(" "))) >= 4) & ~F.col("phrase").isin(folded)).distinct()
 
 
+def by_id(merged: DataFrame, wanted: object) -> DataFrame:
+    """The place of a number, or no row; a place that was merged into another is found under that one's number only."""
+    return merged.where(F.col("id") == F.lit(wanted))
+
+
 def place_index(hits: DataFrame) -> DataFrame:
     """(id, pages, books, sample): the sample is the first 200 places of an entry by book and page, found by rank and never from a list of all."""
     from pyspark.sql import Window

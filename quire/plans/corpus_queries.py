@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import metrics as M
 from quire.functions import text as T
+from quire.operators import models, vectors
 from quire.operators import search as S
 from quire.operators.growing import GrowingIndex
 from quire.operators.index import SearchIndex, open_index, shared_root
@@ -144,6 +145,39 @@ def search_page_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search(_index(spark, sf_dir), QUERY, 10, "hybrid", *_vectors(spark, sf_dir))
 
 
+@query(f"WITH {_SEM}, {_snippet_sql('SELECT rank, id, ' + chr(39) + 'semantic' + chr(39) + ' AS mode FROM sem WHERE rank <= 10', QUERY)}")
+def search_page_modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic search with the query's vector from a registered model (here one that knows the query's)."""
+    store, known = _vectors(spark, sf_dir)
+    models.register("known", lambda texts: [known for _ in texts])
+    return models.search(_index(spark, sf_dir), QUERY, 10, "semantic", store, "known")
+
+
+def _fails(texts: list[str]) -> list:
+    raise ConnectionError("no model")
+
+
+@query(f"WITH {_TRI}, {_snippet_sql('SELECT rank, id, ' + chr(39) + S.UNAVAILABLE + chr(39) + ' AS mode FROM tri WHERE rank <= 10', QUERY)}")
+def search_page_failing_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a model that fails: trigram search that says so."""
+    models.register("failing", _fails)
+    return models.search(_index(spark, sf_dir), QUERY, 10, "semantic", _vectors(spark, sf_dir)[0], "failing")
+
+
+@query("""WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings ORDER BY vec_id LIMIT 5)
+SELECT query, vec_id, round(s, 9) AS score FROM (SELECT query, vec_id, list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) AS s FROM embeddings, q) QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 20""")
+def search_semantic_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 20 of five vectors each, from a stored index that reads only lists which can hold them."""
+    store = table(spark, sf_dir, "embeddings")
+    path = f"{shared_root(spark)}/vectors/{uuid.uuid4().hex}"
+    vectors.build(store, "vec_id", path)
+    index, out = vectors.open_index(spark, path), None
+    for q in store.orderBy("vec_id").limit(5).select("vec_id", "embedding").collect():
+        one = vectors.search(index, q["embedding"], 20)[0].select(F.lit(q["vec_id"]).alias("query"), F.col("key").alias("vec_id"), F.round("score", 9).alias("score"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
 SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]), 9) AS score FROM embeddings, q ORDER BY list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id LIMIT 20""")
 def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,3 +224,26 @@ def last_wins_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = d.agg(F.count(F.lit(1)).alias("n"))
     e = table(spark, sf_dir, "events").crossJoin(F.broadcast(n)).groupBy((F.col("event_id") % F.col("n")).alias("doc_id")).agg(F.max("event_id").alias("last_event"))
     return d.join(e, "doc_id")
+
+
+#: Readings of pages whose last ones hit the token limit, and second readings of some of those with a higher one.
+_READ = "SELECT doc_id AS page, CASE WHEN n_chars > 4000 THEN 'MAX_TOKENS' ELSE 'STOP' END AS finish, left(text, 4000) AS text FROM documents"
+_AGAIN = "SELECT doc_id AS page, CASE WHEN n_chars > 12000 THEN 'MAX_TOKENS' ELSE 'STOP' END AS finish, left(text, 12000) AS text FROM documents WHERE n_chars > 4000 AND doc_id % 3 > 0"
+
+
+def _readings(spark, sf_dir, most, where):
+    d = table(spark, sf_dir, "documents").where(where)
+    return d.select(F.col("doc_id").alias("page"), F.when(F.col("n_chars") > most, "MAX_TOKENS").otherwise("STOP").alias("finish"), F.left("text", F.lit(most)).alias("text"))
+
+
+@query(f"SELECT DISTINCT page FROM ({_READ}) WHERE finish = 'MAX_TOKENS'")
+def truncated_pages(spark, sf_dir):
+    """The pages to read again: whose reading ended at the limit."""
+    return G.to_reread(_readings(spark, sf_dir, 4000, "true"))
+
+
+@query(f"SELECT page, coalesce(a.finish, r.finish) AS finish, md5(coalesce(a.text, r.text)) AS text FROM ({_READ}) r LEFT JOIN ({_AGAIN}) a USING (page)")
+def truncated_fixed(spark, sf_dir):
+    """All readings with second ones in their place; a page that wasn't read again keeps its first."""
+    again = _readings(spark, sf_dir, 12000, "n_chars > 4000 AND doc_id % 3 > 0")
+    return G.reread(_readings(spark, sf_dir, 4000, "true"), again).select("page", "finish", F.md5(F.col("text").cast("binary")).alias("text"))

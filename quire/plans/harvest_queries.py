@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from quire.functions import records as R
 from quire.functions import text as T
 from quire.operators import harvest as H
 from quire.operators import search as S
-from quire.operators.index import open_index
+from quire.operators.index import open_index, shared_root
 from quire.plans.corpus_queries import QUERY, _SCORED, _POSTED, _terms
 from quire.plans.registry import query
 from quire.tables import corpus, table
@@ -54,8 +56,13 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("book", _core(b).alias("dc"), R.decade_sets(F.col("lo")).alias("sets"))
 
 
-def _page(spark: SparkSession, sf_dir: str, token: str, setspec: str = "", records: bool = True) -> DataFrame:
-    page = H.list_page(_listed(spark, sf_dir), "book", "sets", token, setspec)
+def _page(spark: SparkSession, sf_dir: str, token: str, setspec: str = "", records: bool = True, ranked: bool = False) -> DataFrame:
+    if ranked:
+        path = f"{shared_root(spark)}/lists/{uuid.uuid4().hex}"
+        H.write_ranks(_listed(spark, sf_dir), "book", "sets", path)
+        page = H.ranked_page(spark, path, token, setspec)
+    else:
+        page = H.list_page(_listed(spark, sf_dir), "book", "sets", token, setspec)
     if page is None:
         return spark.createDataFrame([], "nth long, body string, token string")
     rows, after = page
@@ -82,6 +89,18 @@ def oai_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(spark, sf_dir, "100")
 
 
+@query(_page_sql(1500))
+def oai_page16_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A late page from the list's kept order."""
+    return _page(spark, sf_dir, "1500", ranked=True)
+
+
+@query(_page_sql(100, f"WHERE {_SET} = 'decade:1870'", False, "decade:1870"))
+def oai_set_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set's second page from its kept order."""
+    return _page(spark, sf_dir, "100:decade:1870", records=False, ranked=True)
+
+
 @query(_page_sql(0, f"WHERE {_SET} = 'decade:1870'", False, "decade:1870"))
 def oai_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of one decade's volumes."""

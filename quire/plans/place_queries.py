@@ -65,6 +65,14 @@ def place_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("pages"), "id")))
 
 
+@query(f"WITH {_PLACES} SELECT id, key AS name, array_to_string(variants, '|') AS variants FROM merged WHERE id = (SELECT max(id) FROM merged)")
+def place_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One place by its number."""
+    m = P.merged(_places(spark, sf_dir), ["PPLA", "PPLC"])
+    wanted = m.agg(F.max("id")).first()[0]
+    return P.by_id(m, wanted).select("id", F.col("key").alias("name"), F.array_join("variants", "|").alias("variants"))
+
+
 #: Contributions made from events: corrections, notes and annotations of users, some approved.
 _KIND = "CASE event_id % 3 WHEN 0 THEN 'correction' WHEN 1 THEN 'note' ELSE 'annotation' END"
 _STATUS = "CASE WHEN event_id % 3 = 2 THEN 'private' WHEN event_id % 5 < 2 THEN 'approved' ELSE 'pending' END"
