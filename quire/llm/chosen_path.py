@@ -31,11 +31,11 @@ from quire.llm.confirm import Confirmed, mark, shingles
 PERCENT = 85
 TREES, FAN, TOKENS = 8, 2, 256
 #: Sets outside a node's largest component up to which it is compared exhaustively; members of a node in a task at most (about).
-SMALL, CHUNK = 2048, 4096
+SMALL, CHUNK = 8192, 8192
 #: How often a level's sets offer their best pairs, if each time links come of it, before all pairs meet.
-OFFERS = 3
-#: Equal sketch tokens of 256 that a pair needs to be confirmed: 4.6 standard deviations under what is expected at 0.85.
-AGREE = 204
+OFFERS = 2
+#: Equal sketch tokens of 256 that a pair needs to be confirmed: 3.6 standard deviations under what is expected at 0.85, 4.6 at 0.87.
+AGREE = 209
 #: A node has (sets outside) x (sets) pairs to compare. It is compared, in blocks of SMALL, if its FAN children are likely to have more
 #: than this share of them, going by what itself has of its parent's; and at the deepest level whatever its size.
 WORTH, DEEPEST = 0.9, 24
