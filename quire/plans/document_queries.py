@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import metrics as M
 from quire.functions import text as T
 from quire.operators.align import alignment, anchor_votes, multiset_overlap, with_text
-from quire.plans.corpus_queries import fold_sql
+from quire.plans.corpus_queries import fold_sql, in_bytes
 from quire.plans.registry import query
 from quire.streaming.limits import allowed_hits
 from quire.tables import corpus, table
@@ -82,13 +82,12 @@ def align_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_RECORD}, texts AS (SELECT doc_id, string_agg(tok, ' ' ORDER BY pos) AS a FROM page WHERE doc_id IN (SELECT doc_id FROM tiered WHERE tier <> 'reject') GROUP BY 1),
 editions AS (SELECT doc_id, string_agg(tok, ' ' ORDER BY pos) AS b FROM tiered JOIN edition ON pos BETWEEN start AND start + tokens - 1 WHERE tier <> 'reject' GROUP BY 1)
-SELECT doc_id, tier, md5(a) AS page, md5(b) AS edition, CASE WHEN strlen(a) = length(a) AND strlen(b) = length(b) THEN round(levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS cer FROM tiered JOIN texts USING (doc_id) JOIN editions USING (doc_id)""")
+SELECT doc_id, tier, md5(a) AS page, md5(b) AS edition, round(levenshtein({in_bytes('a', 'kinds')}, {in_bytes('b', 'kinds')}) / greatest(length(a), length(b)), 6) AS cer FROM (SELECT *, list_distinct(string_split(a || b, '')) AS kinds FROM tiered JOIN texts USING (doc_id) JOIN editions USING (doc_id))""")
 def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs for the judge. The distance is given for ASCII texts: the SQL side's counts bytes."""
+    """Pairs for the judge, with their distance."""
     records, pages, stream = _aligned(spark, sf_dir)
-    plain = lambda c: F.length(c) == F.octet_length(c)
     d = with_text(records, pages, stream, "doc_id")
-    return d.select("doc_id", "tier", F.md5(F.col("page_text").cast("binary")).alias("page"), F.md5(F.col("edition_text").cast("binary")).alias("edition"), F.when(plain("page_text") & plain("edition_text"), F.round("cer", 6)).alias("cer"))
+    return d.select("doc_id", "tier", F.md5(F.col("page_text").cast("binary")).alias("page"), F.md5(F.col("edition_text").cast("binary")).alias("edition"), F.round("cer", 6).alias("cer"))
 
 
 _NOISY = "SELECT tok, pos, pos // 300 AS doc_id, pos % 300 AS i FROM edition WHERE pos < 300 * (SELECT (max(pos) + 1) // 300 FROM edition)"

@@ -93,11 +93,11 @@ def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("verdict") == "same") & (F.col("confidence") >= 0.07)).alias("gold"))
 
 
-@query(f"WITH {_JUDGED} SELECT event_id, verdict, round(confidence, 6) AS confidence FROM judged WHERE verdict IN ('uncertain', 'different') ORDER BY confidence DESC, event_id LIMIT 500")
+@query(f"WITH {_JUDGED} SELECT event_id, verdict, round(confidence, 6) AS confidence FROM judged WHERE verdict IN ('uncertain', 'different')")
 def human_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person should look at, the surest first."""
     j = _judged(spark, sf_dir).select("event_id", L.verdict(F.col("reply")).alias("j")).select("event_id", "j.*").where(F.col("verdict").isin("uncertain", "different"))
-    return j.orderBy(F.desc("confidence"), "event_id").limit(500).withColumn("confidence", F.round("confidence", 6))
+    return j.orderBy(F.desc("confidence"), "event_id").withColumn("confidence", F.round("confidence", 6))
 
 
 #: Three layout replies for each user: a class, and as many regions as the event says, one in six without a whole box.
