@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 from quire.functions import layout as L
 from quire.functions import metrics as M
 from quire.operators import gold as G
+from quire.plans.corpus_queries import in_bytes
 from quire.plans.registry import query
 from quire.tables import table
 
-#: Readings of benchmark passages by three readers: as they are, with letters swapped, and cut. ASCII, for the SQL side's distance counts bytes.
-_CLEAN = "trim(regexp_replace(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g'), ' +', ' ', 'g'))"
-_READS = f"""reads AS (SELECT item_id AS key, pos, reader, CASE reader WHEN 'a' THEN t WHEN 'b' THEN replace(t, 'th', 'ht') ELSE CASE WHEN item_id % 5 = 0 THEN '' ELSE left(t, (length(t) * (30 + item_id % 70)) // 100) END END AS t
-FROM (SELECT item_id, {_CLEAN} AS t FROM benchmark), (VALUES (0, 'a'), (1, 'b'), (2, 'c')) v(pos, reader))"""
+#: Readings of benchmark passages by three readers: as they are, with letters swapped, and cut; kinds are their code points, for the SQL side's distance counts bytes.
+_CLEAN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+_READS = f"""reads AS (SELECT item_id AS key, pos, reader, CASE reader WHEN 'a' THEN t WHEN 'b' THEN replace(t, 'th', 'ht') ELSE CASE WHEN item_id % 5 = 0 THEN '' ELSE left(t, (length(t) * (30 + item_id % 70)) // 100) END END AS t, kinds
+FROM (SELECT item_id, {_CLEAN} AS t, list_distinct(string_split({_CLEAN} || 'ht lead and a tail that the reference lacks altogether', '')) AS kinds FROM benchmark), (VALUES (0, 'a'), (1, 'b'), (2, 'c')) v(pos, reader))"""
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.trim(F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z ]", " "), " +", " ")).alias("t"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
     readers = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(r).alias("reader")) for i, r in enumerate("abc")])).alias("v")
     cut = F.expr("left(t, cast(floor(length(t) * (30 + key % 70) / 100) as int))")
     text = F.when(F.col("v.reader") == "a", F.col("t")).when(F.col("v.reader") == "b", F.replace("t", F.lit("th"), F.lit("ht"))).otherwise(F.when(F.col("key") % 5 == 0, "").otherwise(cut))
     return b.select("key", "t", readers).select("key", "v.pos", "v.reader", text.alias("t"))
 
 
-@query(f"""WITH {_READS}, r AS (SELECT * FROM reads WHERE trim(t) <> ''), pairs AS (SELECT a.key, a.reader AS ra, b.reader AS rb, a.t AS ta, b.t AS tb, a.pos AS pa, b.pos AS pb, 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) AS s FROM r a JOIN r b ON a.key = b.key AND a.pos < b.pos),
+@query(f"""WITH {_READS}, r AS (SELECT * FROM reads WHERE trim(t) <> ''), pairs AS (SELECT a.key, a.reader AS ra, b.reader AS rb, a.t AS ta, b.t AS tb, a.pos AS pa, b.pos AS pb, 1 - levenshtein({in_bytes('a.t', 'a.kinds')}, {in_bytes('b.t', 'a.kinds')}) / greatest(length(a.t), length(b.t)) AS s FROM r a JOIN r b ON a.key = b.key AND a.pos < b.pos),
 best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY key ORDER BY s DESC, pa, pb) = 1)
 SELECT key, CASE WHEN s >= 0.9 THEN 'silver' ELSE 'vendor_disagreement' END AS outcome, CASE WHEN s >= 0.9 THEN md5(CASE WHEN length(ta) >= length(tb) THEN ta ELSE tb END) END AS ref, round(s, 6) AS confidence, ra || ',' || rb AS sources FROM best
 UNION ALL SELECT key, 'insufficient_reads', NULL, NULL, NULL FROM (SELECT key, count(*) FILTER (trim(t) <> '') AS n FROM reads GROUP BY key) WHERE n < 2""")
@@ -34,8 +35,8 @@ def silver_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("key", "outcome", F.md5(F.col("ref").cast("binary")).alias("ref"), F.round("confidence", 6).alias("confidence"), F.array_join("sources", ",").alias("sources"))
 
 
-_SCORED = f"""{_READS}, gold AS (SELECT key, t AS ref FROM reads WHERE reader = 'a' AND t <> ''),
-scored AS (SELECT reader, g.key, CASE WHEN g.key % 11 = 0 THEN NULL ELSE levenshtein(left(coalesce(r.t, ''), 8000), left(ref, 8000)) / length(left(ref, 8000)) END AS cer, g.key % 11 = 0 AS failed FROM gold g CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(reader) LEFT JOIN reads r USING (key, reader))"""
+_SCORED = f"""{_READS}, gold AS (SELECT key, t AS ref, kinds FROM reads WHERE reader = 'a' AND t <> ''),
+scored AS (SELECT reader, g.key, CASE WHEN g.key % 11 = 0 THEN NULL ELSE levenshtein({in_bytes("left(coalesce(r.t, ''), 8000)", 'g.kinds')}, {in_bytes('left(ref, 8000)', 'g.kinds')}) / length(left(ref, 8000)) END AS cer, g.key % 11 = 0 AS failed FROM gold g CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(reader) LEFT JOIN reads r USING (key, reader))"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +61,9 @@ def reader_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("reader", F.row_number().over(Window.orderBy(F.col("m").asc_nulls_last(), "reader")).alias("place"))
 
 
-@query(f"""WITH {_READS}, p AS (SELECT a.key, b.t AS pred, a.t AS ref, length(a.t) AS n FROM reads a JOIN reads b ON a.key = b.key AND a.reader = 'a' AND b.reader = 'b'),
-q AS (SELECT key, 'lead ' || pred || ' and a tail that the reference lacks altogether' AS pred, left(ref, n // 2) AS ref FROM p),
-w AS (SELECT key, pred, ref, length(ref) AS n, greatest(1, length(ref) // 8) AS step FROM q)
+@query(f"""WITH {_READS}, p AS (SELECT a.key, b.t AS pred, a.t AS ref, length(a.t) AS n, a.kinds FROM reads a JOIN reads b ON a.key = b.key AND a.reader = 'a' AND b.reader = 'b'),
+q AS (SELECT key, 'lead ' || pred || ' and a tail that the reference lacks altogether' AS pred, left(ref, n // 2) AS ref, kinds FROM p),
+w AS (SELECT key, {in_bytes('pred', 'kinds')} AS pred, {in_bytes('ref', 'kinds')} AS ref, length(ref) AS n, greatest(1, length(ref) // 8) AS step FROM q)
 SELECT key, CASE WHEN n >= 40 AND length(pred) >= 40 THEN round((SELECT min(levenshtein(substr(pred, i + 1, (n * 13) // 10), ref) / n) FROM range(0, greatest(1, length(pred) - n), step) r(i)), 6) END AS cer FROM w""")
 def best_window_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _reads(spark, sf_dir)
