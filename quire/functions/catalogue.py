@@ -34,6 +34,24 @@ def split_script(t: Column) -> Column:
     return F.struct(F.array_join(F.filter(words, arabic), " ").alias("fa"), F.array_join(F.filter(words, lambda w: ~arabic(w)), " ").alias("en"))
 
 
+#: The blocks of Arabic script and its presentation forms.
+ARABIC = "[\u0600-\u06ff\u0750-\u077f\ufb50-\ufdff\ufe70-\ufeff]"
+
+
+def language_map(values: Column) -> Column:
+    """Values by the language of their script: words in Arabic script under fa, the others under en, each value's together; a value without Arabic script stays whole.
+
+    Null and empty values are left out. Where nothing is left the map says ``none`` with an empty list.
+    """
+    kept = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != ""))
+    words = lambda v, keep: F.array_join(F.filter(F.split(v, r"\s+"), lambda w: (w != "") & (w.rlike(ARABIC) if keep else ~w.rlike(ARABIC))), " ")
+    full = lambda a: F.filter(a, lambda v: v != "")
+    fa = full(F.transform(kept, lambda v: F.when(v.rlike(ARABIC), words(v, True)).otherwise("")))
+    en = full(F.transform(kept, lambda v: F.when(v.rlike(ARABIC), words(v, False)).otherwise(v)))
+    parts = F.filter(F.array(F.struct(F.lit("en").alias("key"), en.alias("value")), F.struct(F.lit("fa").alias("key"), fa.alias("value"))), lambda p: F.size(p["value"]) > 0)
+    return F.map_from_entries(F.when(F.size(parts) > 0, parts).otherwise(F.array(F.struct(F.lit("none").alias("key"), kept.alias("value")))))
+
+
 def reading_order(boxes: Column, tolerance: float) -> Column:
     """boxes: array of (x, y, id), x a box's centre. Columns by a walk in order of x, a new one when a box is over the
     tolerance from the column's first; then right to left, and down each column. Returns the ids in order.

@@ -35,6 +35,14 @@ def bench_summary(rows: DataFrame, group: str, cer: str, failed: str) -> DataFra
     return rows.groupBy(group).agg(F.count(cer).alias("n"), F.count_if(failed).alias("errors"), F.avg(cer).alias("cer_mean"), F.median(cer).alias("cer_median"))
 
 
+def bench_counts(rows: DataFrame, group: str, text: str, ref: str, failed: str) -> DataFrame:
+    """(group, n, wer_mean, degenerate, truncated) of readings: failed rows count nowhere; a mean is null where no row has a reference."""
+    good = rows.where(~F.coalesce(F.col(failed), F.lit(False)))
+    t = F.coalesce(F.col(text), F.lit(""))
+    marked = good.select(group, M.wer(t, F.col(ref)).alias("wer"), M.degenerate(t).alias("degenerate"), M.truncated(t).alias("truncated"))
+    return marked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("wer").alias("wer_mean"), F.count_if("degenerate").alias("degenerate"), F.count_if("truncated").alias("truncated"))
+
+
 def best_window(pred: Column, ref: Column) -> Column:
     """The least character error of the reference in windows 1.3 times as long, an eighth of it apart, 9 at most; null if either has under 40 characters."""
     n = F.length(ref)

@@ -20,6 +20,29 @@ def catalog_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", C.years(line).alias("y")).select("p_partkey", "y.year_start", "y.year_hijri_start")
 
 
+@query(r"""WITH n AS (SELECT p_partkey, [900 + p_partkey % 700, 900 + p_partkey % 700 + p_partkey % 3] AS o, CASE WHEN p_partkey % 4 > 0 THEN [1500 + p_partkey % 600, 1500 + p_partkey % 600 + p_partkey % 5] ELSE []::BIGINT[] END AS i FROM part),
+g AS (SELECT p_partkey, list_filter(i, lambda y: y BETWEEN 1600 AND 2029) AS gi, list_filter(o, lambda y: y BETWEEN 1600 AND 2029) AS go, list_filter(list_concat(i, o), lambda y: y >= 1000 AND y NOT BETWEEN 1600 AND 2029) AS h FROM n)
+SELECT p_partkey, list_min(CASE WHEN len(gi) > 0 THEN gi ELSE go END)::INT AS year_start, list_max(CASE WHEN len(gi) > 0 THEN gi ELSE go END)::INT AS year_end, list_min(h)::INT AS year_hijri_start, list_max(h)::INT AS year_hijri_end FROM g""")
+def catalog_year_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both calendars' ranges of date lines with several years, in and out of brackets."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    o, i = 900 + k % 700, 1500 + k % 600
+    bracket = F.when(k % 4 > 0, F.concat(F.lit(" ["), text(i), F.lit(" or "), text(i + k % 5), F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("Kabul "), text(o), F.lit(", "), text(o + k % 3), bracket)
+    return table(spark, sf_dir, "part").select("p_partkey", C.years(line).alias("y")).select("p_partkey", "y.*")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, p_name, p_brand FROM part)
+SELECT p_partkey, CASE WHEN k = 0 THEN 'none=' WHEN k = 1 THEN 'fa=کتاب سراج' WHEN k = 2 THEN 'en=' || p_name || '|' || p_brand || ';fa=کتاب' ELSE 'en=' || p_name END AS languages FROM p""")
+def language_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a manifest's field by the language of their script."""
+    k = F.col("p_partkey") % 5
+    none = F.lit(None).cast("string")
+    values = F.when(k == 0, F.array(F.lit(""), none)).when(k == 1, F.array(F.lit(" کتاب  سراج"))).when(k == 2, F.array(F.col("p_name"), F.concat(F.lit("کتاب "), "p_brand"))).otherwise(F.array(F.col("p_name"), none))
+    entries = F.array_sort(F.map_entries(C.language_map(values)))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))), ";").alias("languages"))
+
+
 @query("SELECT p_partkey, 'کتاب' AS fa, p_name AS en FROM part")
 def title_script_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", C.split_script(F.concat(F.lit("کتاب "), "p_name")).alias("s")).select("p_partkey", "s.*")

@@ -248,3 +248,21 @@ def truncated_fixed(spark, sf_dir):
     """All readings with second ones in their place; a page that wasn't read again keeps its first."""
     again = _readings(spark, sf_dir, 12000, "n_chars > 4000 AND doc_id % 3 > 0")
     return G.reread(_readings(spark, sf_dir, 4000, "true"), again).select("page", "finish", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+#: Readings of which some repeat a line and some end at a mark, and one in eleven failed.
+_MARKED = """(SELECT key, reader, CASE WHEN reader = 'b' AND key % 3 = 0 THEN repeat(t || chr(10), 5) WHEN reader = 'c' AND key % 4 = 1 THEN t || ' [TRUNCATED]' ELSE t END AS t, key % 11 = 0 AS failed FROM reads)"""
+
+
+@query(f"""WITH {_READS}, m AS {_MARKED}, g AS (SELECT key, t AS ref FROM reads WHERE reader = 'a'),
+w AS (SELECT reader, t, list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '') AS x, list_filter(regexp_split_to_array(ref, '\\s+'), lambda w: w <> '') AS y FROM m JOIN g USING (key) WHERE NOT failed),
+k AS (SELECT *, list_distinct(list_concat(x, y)) AS kinds, list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(l)), lambda l: length(l) >= 6) AS l FROM w),
+s AS (SELECT reader, t, CASE WHEN len(y) > 0 THEN levenshtein(array_to_string(list_transform(x, lambda w: chr(list_position(kinds, w)::INT)), ''), array_to_string(list_transform(y, lambda w: chr(list_position(kinds, w)::INT)), '')) / len(y) END AS wer, len(l) >= 4 AND (coalesce(list_max(map_values(list_histogram(l))), 0) >= 4 OR (len(l) - len(list_distinct(l))) / len(l) > 0.30) AS degenerate FROM k)
+SELECT reader, count(*) AS n, round(avg(wer), 6) AS wer_mean, count(*) FILTER (degenerate) AS degenerate, count(*) FILTER (contains(t, '[TRUNCATED')) AS truncated FROM s GROUP BY reader""")
+def bench_counts(spark, sf_dir):
+    """Word errors, and how many readings repeat themselves or break off, by reader."""
+    r = _reads(spark, sf_dir)
+    t = F.when((F.col("reader") == "b") & (F.col("key") % 3 == 0), F.repeat(F.concat("t", F.lit("\n")), F.lit(5))).when((F.col("reader") == "c") & (F.col("key") % 4 == 1), F.concat("t", F.lit(" [TRUNCATED]"))).otherwise(F.col("t"))
+    ref = r.where("reader = 'a'").select("key", F.col("t").alias("ref"))
+    rows = r.select("key", "reader", t.alias("t"), (F.col("key") % 11 == 0).alias("failed")).join(ref, "key")
+    return G.bench_counts(rows, "reader", "t", "ref", "failed").withColumn("wer_mean", F.round("wer_mean", 6))
