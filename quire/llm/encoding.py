@@ -117,8 +117,8 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file in a Python worker; its memo outlives a task."""
+def encoder(path: str, most: int = 600_000) -> Encoder:
+    """One encoder for each vocabulary file in a Python worker; its memo outlives a task, and so stays beside what later stages hold."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most)
     return _encoders[path]
