@@ -97,7 +97,7 @@ def pieces(df: DataFrame, key: str, text: str, vocabulary: str, tokens: int, end
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(vocabulary, 200_000), TaskContext.get().partitionId(), [0] * (tokens + 1)
+        enc, part, seen = encoder(vocabulary, 80_000), TaskContext.get().partitionId(), [0] * (tokens + 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows: list[tuple] = []
