@@ -9,18 +9,28 @@ from pyspark.sql import functions as F
 
 CHUNK = 100
 PARTS = 64
+#: Keys that ranges' edges are chosen from, about; edges only share out the work.
+DRAWN = 100 * PARTS
 
 
 def numbered(books: DataFrame, key: str) -> DataFrame:
-    """books with ``nth`` from 0 in order of key: places within key ranges, and ranges' bases by prefix sums, so no task holds all."""
-    ranged = books.repartitionByRange(PARTS, key).withColumn("part", F.spark_partition_id())
-    return _ranked(ranged, key)
+    """books with ``nth`` from 0 in order of key: places within key ranges, and ranges' bases by prefix sums, so no task holds all.
+
+    The ranges' edges are found once and are values of the plan: where each run of an exchange by ranges draws its own edges, places and bases are of different ranges.
+    """
+    keys = books.select(key).where(F.col(key).isNotNull())
+    drawn = sorted(r[0] for r in keys.sample(min(1.0, DRAWN / max(keys.count(), 1)), seed=7).collect())
+    edges = sorted({drawn[len(drawn) * i // PARTS] for i in range(1, PARTS)}) if drawn else []
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(key))) if edges else F.lit(0)
+    return _ranked(books.withColumn("part", F.coalesce(part, F.lit(0))), key)
 
 
-def _ranked(ranged: DataFrame, key: str) -> DataFrame:
-    own = ranged.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1)
-    base = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return own.join(F.broadcast(base), "part").withColumn("nth", F.col("base") + F.col("i")).drop("part", "i", "base")
+def _ranked(parted: DataFrame, key: str, *group: str) -> DataFrame:
+    """parted with ``nth`` from 0 in order of key, in each group; part: of a row's key, no less for a larger key."""
+    own = parted.withColumn("i", F.row_number().over(Window.partitionBy(*group, "part").orderBy(key)) - 1)
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parted.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("n")).select(*group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return own.join(F.broadcast(base), [*group, "part"]).withColumn("nth", F.col("base") + F.col("i")).drop("part", "i", "base")
 
 
 def list_page(books: DataFrame, key: str, sets: str, token: str = "", setspec: str = "", chunk: int = CHUNK) -> tuple[DataFrame, str] | None:
@@ -44,17 +54,13 @@ def list_page(books: DataFrame, key: str, sets: str, token: str = "", setspec: s
 
 def write_ranks(books: DataFrame, key: str, sets: str, path: str) -> None:
     """Keep a list's order: books with ``nth`` in the whole list under path/all, and each set's under path/sets with ``spec`` and ``nth`` in the set; sorted, so a page is a few row groups."""
-    numbered(books, key).write.parquet(f"{path}/ranked")  # numbers come with key ranges: read back, they stay as they are
+    numbered(books, key).write.parquet(f"{path}/ranked")
     ranked = books.sparkSession.read.parquet(f"{path}/ranked")
     _kept(ranked, ["nth"], f"{path}/all")
-    ranked.select("*", F.explode(sets).alias("spec")).withColumnRenamed("nth", "in_all").write.parquet(f"{path}/exploded")
-    every = books.sparkSession.read.parquet(f"{path}/exploded")
-    # a set's books keep the list's order, so their numbers are places of (set, place in the list) less those of the sets before
-    placed = every.withColumn("at", F.struct("spec", "in_all"))
-    placed = numbered(placed, "at").drop("at")
-    first = placed.groupBy("spec").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("size"))
-    first.write.parquet(f"{path}/sizes")
-    _kept(placed.join(first.select("spec", "first"), "spec").withColumn("nth", F.col("nth") - F.col("first")).drop("first", "in_all"), ["spec", "nth"], f"{path}/sets")
+    width = max(1, -(-ranked.count() // PARTS))
+    every = ranked.select("*", F.explode(sets).alias("spec")).withColumnRenamed("nth", "in_all").withColumn("part", F.floor(F.col("in_all") / width))
+    every.groupBy("spec").agg(F.count(F.lit(1)).alias("size")).write.parquet(f"{path}/sizes")
+    _kept(_ranked(every, "in_all", "spec").drop("in_all"), ["spec", "nth"], f"{path}/sets")  # a set's books keep the list's order
 
 
 def _kept(rows: DataFrame, order: list[str], path: str) -> None:

@@ -52,6 +52,16 @@ def test_kept_order_gives_the_same_pages(spark, tmp_path):
             assert sorted((r["nth"], r["book"]) for r in want[0].collect()) == sorted((r["nth"], r["book"]) for r in got[0].collect())
 
 
+def test_numbers_of_a_long_list_have_no_gaps(spark, tmp_path):
+    third = F.when(F.col("id") % 3 == 0, F.array(F.lit("all"), F.lit("third"))).otherwise(F.array(F.lit("all")))
+    books = spark.range(0, 60_000, 1, 5).select(F.format_string("v%07d", F.col("id") * 7919 % 60_000).alias("book"), third.alias("sets"))
+    harvest.write_ranks(books, "book", "sets", f"{tmp_path}/r")
+    whole, kept = spark.read.parquet(f"{tmp_path}/r/all"), spark.read.parquet(f"{tmp_path}/r/sets")
+    for name, rows in (("list", whole), ("paged", harvest.numbered(books, "book")), ("all", kept.where("spec = 'all'")), ("third", kept.where("spec = 'third'"))):
+        got = [r[0] for r in rows.orderBy("book").select("nth").collect()]
+        assert got == list(range(20_000 if name == "third" else 60_000)), name
+
+
 def test_ordered_rows_come_a_range_at_a_time(spark):
     seen = spark.sparkContext.accumulator(0)
 
