@@ -44,6 +44,12 @@ def test_sign_test_has_two_sides(spark, n, w):
     assert spark.range(1).select(M.sign_test(F.lit(n), F.lit(w)).alias("p")).first()["p"] == pytest.approx(want)
 
 
+def test_sign_test_adds_the_whole_of_a_long_tail(spark):
+    n, w = 80_486, 39_936
+    want = 2 * math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(w + 1))
+    assert spark.range(1).select(M.sign_test(F.lit(n), F.lit(w)).alias("p")).first()["p"] == pytest.approx(want, abs=1e-7)
+
+
 def test_limiter_and_breaker():
     assert admit([0, 1, 2, 3, 11], [], 2, 10)[0] == [True, True, False, False, True]
     b = Breaker()
