@@ -119,16 +119,17 @@ def _apply_edits(raw: pd.Series, payload: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "applied"])
 
 
-def _increasing_length(values: pd.Series) -> pd.Series:
+def longest_increasing(row: list) -> int:
+    """Length of the longest strictly increasing subsequence."""
+    tops: list = []
+    for v in row:
+        i = bisect.bisect_left(tops, v)
+        tops[i : i + 1] = [v]
+    return len(tops)
 
-    def length(row) -> int:
-        tops: list = []
-        for v in row if row is not None else []:
-            i = bisect.bisect_left(tops, v)
-            tops[i : i + 1] = [v]
-        return len(tops)
 
-    return values.map(length)
+def _increasing_length(values: pd.Series) -> pd.Series:
+    return values.map(lambda row: longest_increasing(row if row is not None else []))
 
 
 def sign_test(n: Column, wins: Column) -> Column:

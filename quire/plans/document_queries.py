@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import metrics as M
 from quire.functions import text as T
 from quire.operators.align import alignment, anchor_votes, multiset_overlap, with_text
+from quire.operators.index import shared_root
+from quire.operators.search import spread
 from quire.plans.corpus_queries import fold_sql, in_bytes
 from quire.plans.registry import query
 from quire.streaming.limits import allowed_hits
@@ -25,8 +29,15 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(base, "item_id").select("base", F.posexplode("w").alias("i", "tok")).select("tok", (F.col("base") + F.col("i")).alias("pos"))
 
 
-def _page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(T.fold_search(F.col("text"), False, True), " "), lambda x: F.length(x) > 0).alias("w"))
+def _page_tokens(spark: SparkSession, sf_dir: str, kept: bool = False) -> DataFrame:
+    """Pages' tokens and places. Texts are folded once: in one pass, or, for many passes, kept in files first."""
+    w = F.filter(F.split(T.fold_search(F.col("text"), False, True), " "), lambda x: F.length(x) > 0)
+    # A generator of one row: Catalyst would otherwise fold again to see whether there is anything to explode.
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.array(w)).alias("w"))
+    if kept:
+        path = f"{shared_root(spark)}/tokens/{uuid.uuid4().hex}"
+        d.write.parquet(path)
+        d = spark.read.parquet(path)
     return d.select("doc_id", F.posexplode("w").alias("pos", "tok"))
 
 
@@ -64,7 +75,7 @@ tiered AS (SELECT *, CASE WHEN vote_ratio >= 0.20 AND jaccard >= 0.15 AND types
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pages, stream = _page_tokens(spark, sf_dir), _stream(spark, sf_dir)
+    pages, stream = _page_tokens(spark, sf_dir, kept=True), _stream(spark, sf_dir)
     return alignment(pages, stream, "doc_id"), pages, stream
 
 
