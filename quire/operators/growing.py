@@ -74,7 +74,8 @@ class GrowingIndex:
 
     def _live(self, segments: list[dict], what: str, columns: list[str]) -> DataFrame:
         """Rows of the segments that no later segment replaces. The last segment's rows need no look at tombstones."""
-        read = lambda s: self.spark.read.parquet(f"{self.path}/{s['name']}/{what}").select(*columns, F.lit(s["born"]).cast("long").alias("born"))
+        stored = lambda s: self.spark.read.parquet(f"{self.path}/{s['name']}/{what}")
+        read = lambda s: (S.unblocked(stored(s)) if what == "postings" else stored(s)).select(*columns, F.lit(s["born"]).cast("long").alias("born"))
         held = [s for s in segments if s["pages"]]
         if not held:
             return self.spark.createDataFrame([], "id long, book string, page long, raw string, txt string" if what == "pages" else "term string, id long, tf long, dl int").select(*columns)

@@ -1,6 +1,6 @@
 """The stored search index: postings, vocabulary, pages with their folded text and page lengths, written once and opened many times.
 
-Postings are sorted by term and pages by id, in small row groups, so a search's few terms and results prune nearly all of a
+Postings, in lists of a term's over a run of pages, are sorted by term and pages by id, in small row groups, so a search's few terms and results prune nearly all of a
 scan. An index is named after its pages' files and their times: other files give another index.
 """
 
@@ -67,8 +67,8 @@ def build(pages: DataFrame, path: str) -> None:
     stored = write(S.index_pages(pages).select("id", "book", "page", "raw", "txt"), "id", "pages", max(cores, pages.rdd.getNumPartitions()))
     terms = stored.select(F.sum(F.least(F.length("txt"), F.lit(2000)))).first()[0] or 0  # a page's distinct terms, at most about
     parts = max(1, terms // PARTITION)
-    posted = write(S.counted(S.spread(stored)), "term", "postings", parts)
-    write(S.vocabulary(posted), "term", "vocabulary", max(1, parts // 8))
+    blocks = write(S.blocked(S.spread(stored)), "term", "postings", parts)
+    write(blocks.groupBy("term").agg(F.sum(F.size("id")).alias("doc")), "term", "vocabulary", max(1, parts // 8))
     S.lengths(stored).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")  # written last: it marks the index as whole
 
 
@@ -81,4 +81,4 @@ def open_index(pages: DataFrame, path: str | None = None) -> SearchIndex:
         build(pages, path)
     stats = spark.read.parquet(f"{path}/stats").first()
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return SearchIndex(read("pages"), read("postings"), read("vocabulary"), stats["n"], stats["avgdl"] or 0.0)
+    return SearchIndex(read("pages"), S.unblocked(read("postings")), read("vocabulary"), stats["n"], stats["avgdl"] or 0.0)

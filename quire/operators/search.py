@@ -42,31 +42,55 @@ def counted(indexed: DataFrame) -> DataFrame:
     """postings() of all terms without a shuffle: a page's terms are numbers of 63 bits, three code points each, sorted and counted by page over an Arrow batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), [(t or "").replace(" ", "_") for t in batch.column(1).to_pylist()]
-            size = np.array([len(t) for t in texts], np.int64)
-            for first, last in _runs(size):
-                some, own = texts[first:last], size[first:last]
-                points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-                ends = np.cumsum(own)
-                page = np.repeat(np.arange(len(some)), own)
-                whole = np.flatnonzero(np.arange(len(points)) + 2 < ends[page])  # where a run of three begins
-                code = points[whole] << 42 | points[whole + 1] << 21 | points[whole + 2]
-                order = np.lexsort((code, page[whole]))
-                code, at = code[order], page[whole][order]
-                edges = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])]) if len(code) else np.empty(0, np.int64)
-                tf = np.diff(np.r_[edges, len(code)])
-                names, of = np.unique(code[edges], return_inverse=True)
-                terms = pa.array([chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in names.tolist()], pa.string()).take(pa.array(of))
-                rows = pa.array(at[edges] + first)
-                yield pa.RecordBatch.from_arrays([terms, ids.take(rows), pa.array(tf), pa.array(own[at[edges]] - 2, pa.int32())], ["term", "id", "tf", "dl"])
-                short = np.flatnonzero(own < 3)
-                yield pa.RecordBatch.from_arrays([pa.array([some[i] for i in short.tolist()], pa.string()), ids.take(pa.array(short + first)), pa.array(np.ones(len(short), np.int64)), pa.array(np.ones(len(short), np.int32))], ["term", "id", "tf", "dl"])
+        for names, of, ids, tf, dl in _counts(batches):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), ids, pa.array(tf), pa.array(dl)], ["term", "id", "tf", "dl"])
 
     kind = indexed.schema["id"].dataType.simpleString()
     return indexed.select("id", "txt").mapInArrow(count, f"term string, id {kind}, tf long, dl int")
 
 
+def blocked(indexed: DataFrame) -> DataFrame:
+    """counted() with a term's postings of a run of pages as one row of lists, (term, id, tf, dl): what is shuffled and sorted is a term of a run, not a posting."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, of, ids, tf, dl in _counts(batches):
+            order = np.argsort(of, kind="stable")
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=len(names)))].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (ids.take(pa.array(order)), pa.array(tf[order]), pa.array(dl[order]))]
+            yield pa.RecordBatch.from_arrays([names, *lists], ["term", "id", "tf", "dl"])
+
+    kind = indexed.schema["id"].dataType.simpleString()
+    return indexed.select("id", "txt").mapInArrow(count, f"term string, id array<{kind}>, tf array<bigint>, dl array<int>")
+
+
+def unblocked(blocks: DataFrame) -> DataFrame:
+    """The postings of blocked(), or postings as they are. A filter by term reaches the blocks."""
+    return blocks.select("term", F.inline(F.arrays_zip("id", "tf", "dl"))) if blocks.schema["id"].dataType.typeName() == "array" else blocks
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(terms, and of each posting its term's number, id, tf, dl) for runs of pages (id, txt)."""
+    for batch in batches:
+        ids, texts = batch.column(0), [(t or "").replace(" ", "_") for t in batch.column(1).to_pylist()]
+        size = np.array([len(t) for t in texts], np.int64)
+        for first, last in _runs(size):
+            some, own = texts[first:last], size[first:last]
+            points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            ends = np.cumsum(own)
+            page = np.repeat(np.arange(len(some)), own)
+            whole = np.flatnonzero(np.arange(len(points)) + 2 < ends[page])  # where a run of three begins
+            code = points[whole] << 42 | points[whole + 1] << 21 | points[whole + 2]
+            order = np.lexsort((code, page[whole]))
+            code, at = code[order], page[whole][order]
+            edges = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])]) if len(code) else np.empty(0, np.int64)
+            tf = np.diff(np.r_[edges, len(code)])
+            names, of = np.unique(code[edges], return_inverse=True)
+            terms = pa.array([chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in names.tolist()], pa.string())
+            yield terms, of, ids.take(pa.array(at[edges] + first)), tf, (own[at[edges]] - 2).astype(np.int32)
+            short = np.flatnonzero(own < 3)
+            yield pa.array([some[i] for i in short.tolist()], pa.string()), np.arange(len(short)), ids.take(pa.array(short + first)), np.ones(len(short), np.int64), np.ones(len(short), np.int32)
+
+
 def _runs(size: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Pages of a batch in runs of few characters, so that memory stays flat; a longer page is a run of its own."""
     start = held = 0

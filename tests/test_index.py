@@ -2,6 +2,8 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 from quire.operators import search as S
 
 
@@ -19,6 +21,20 @@ def test_counted_postings(spark):
     assert S.counted(df.limit(0)).count() == 0
 
 
+def test_stored_postings_are_blocks(spark, tmp_path):
+    from quire.operators import index
+
+    pages = spark.range(0, 600, 1, 2).select("id", F.lit("b").alias("book"), F.col("id").alias("page"), F.concat(F.lit("the same words "), F.col("id") % 7).alias("raw"))
+    index.build(pages, f"{tmp_path}/i")
+    stored = spark.read.parquet(f"{tmp_path}/i/postings")
+    want = S.counted(S.index_pages(pages))
+    assert stored.count() < want.count() / 20
+    assert sorted(map(tuple, S.unblocked(stored).collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/i/vocabulary").collect())) == sorted(map(tuple, S.vocabulary(want).collect()))
+    plan = S.unblocked(stored).where("term = 'the'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,the)" in plan.split("PushedFilters")[1]
+
+
 def test_growing_index_searches_as_a_fresh_one(spark, tmp_path, monkeypatch):
     from quire.operators import growing
     from quire.operators.index import open_index
