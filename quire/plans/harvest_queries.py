@@ -155,7 +155,7 @@ def html_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record pages parsed into fields, with the years of their publishers."""
     from quire.functions import catalogue as C
 
-    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(_HTML.replace("chr(8207)", "'‏'")).alias("html"))
+    pages = S.spread(table(spark, sf_dir, "part")).select("p_partkey", F.expr(_HTML.replace("chr(8207)", "'‏'")).alias("html"))
     r = R.with_record(pages, "html", "r")
     one = lambda k: R.first(F.col("r")[k]).alias(k)
     return r.select("p_partkey", one("title"), one("title_original"), F.array_join(F.col("r")["subjects"], "|").alias("subjects"), one("publisher"), one("handle"), one("shelf_mark"), C.years(R.first(F.col("r")["publisher"]))["year_start"].alias("year_start"))
@@ -169,7 +169,7 @@ CASE WHEN p_partkey % 4 = 1 OR p_partkey % 8 = 3 THEN '<tr><td class="label">Oth
 SELECT p_partkey, own || coalesce(' ' || original, '') AS title, own AS title_romanized, original AS title_original, CASE WHEN p_partkey % 4 = 1 THEN 'other_titles' END AS title_source, CASE WHEN own IS NULL THEN 'no title' END AS problem, coalesce(own, '') AS romanized FROM t""")
 def html_record_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of record pages, from the other titles where a page has none; a page with neither is told by its problem, and stays."""
-    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(_THIN).alias("html"))
+    pages = S.spread(table(spark, sf_dir, "part")).select("p_partkey", F.expr(_THIN).alias("html"))
     t = R.with_record(pages, "html", "r").select("p_partkey", R.titled(F.col("r")).alias("t"))
     return t.select("p_partkey", "t.*", R.title_parts(F.col("t.title"), F.col("t.title_romanized"), F.col("t.title_original"))["romanized"].alias("romanized"))
 

@@ -77,3 +77,10 @@ def test_ordered_rows_come_a_range_at_a_time(spark):
     first = [next(marked)["k"] for _ in range(10)]
     assert first == [next(lazy)["k"] for _ in range(10)] == sorted(first)
     assert seen.value <= 4 * 10_000 // 20  # a range, the next one, and little more
+
+
+def test_record_pages_of_one_file_are_dealt_over_the_cores(spark):
+    from quire.plans import harvest_queries as Q
+
+    for query in (Q.html_record, Q.html_record_titles):
+        assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, query
