@@ -104,19 +104,20 @@ def _damage(raw: pd.Series, corrected: pd.Series, edition: pd.Series) -> pd.Data
     return pd.DataFrame(out, columns=["correct_tokens", "false_corr", "false_corr_rate", "touched_wrong_rate"]).astype({"correct_tokens": "Int64", "false_corr": "Int64", "false_corr_rate": "float64", "touched_wrong_rate": "float64"})
 
 
-def _apply_edits(raw: pd.Series, payload: pd.Series) -> pd.DataFrame:
+def _edits(payload: pd.Series) -> pd.Series:
+    """The payloads' edits that can change a text, as (old, new)."""
     out = []
-    for text, body in zip(raw, payload, strict=True):
-        n, found = 0, re.search(r"\[.*\]", body or "", re.S)
+    for body in payload:
+        found = re.search(r"\[.*\]", body or "", re.S)
         try:
             edits = json.loads(found.group()) if found else []
         except ValueError:
             edits = []
-        for e in edits if isinstance(edits, list) else []:
-            if isinstance(e, dict) and isinstance(e.get("old"), str) and isinstance(e.get("new"), str) and e["old"] and e["old"] != e["new"] and text and e["old"] in text:
-                text, n = text.replace(e["old"], e["new"]), n + 1
-        out.append((text, n))
-    return pd.DataFrame(out, columns=["text", "applied"])
+        pairs = [(e.get("old"), e.get("new")) for e in edits if isinstance(e, dict)] if isinstance(edits, list) else []
+        pairs = [(o, n) for o, n in pairs if isinstance(o, str) and isinstance(n, str) and o and o != n]
+        # Half a surrogate pair is in no text, and no text can hold it.
+        out.append([{"old": o, "new": n.encode("utf-8", "replace").decode()} for o, n in pairs if not re.search("[\ud800-\udfff]", o)])
+    return pd.Series(out, dtype="object")
 
 
 def longest_increasing(row: list) -> int:
@@ -168,8 +169,13 @@ def damage(raw: Column, corrected: Column, edition: Column) -> Column:
 
 
 def apply_edits(raw: Column, payload: Column) -> Column:
-    """Apply a model's list of {old, new} edits in turn; a payload that isn't one leaves the text and counts 0."""
-    return pandas_udf(_apply_edits, "text string, applied int")(raw, payload)
+    """Apply a model's list of {old, new} edits in turn; a payload that isn't one leaves the text and counts 0. Only payloads pass through Python."""
+    start = F.struct(raw.alias("text"), F.lit(0).alias("applied"))
+
+    def edit(s: Column, e: Column) -> Column:
+        return F.when(F.contains(s["text"], e["old"]), F.struct(F.replace(s["text"], e["old"], e["new"]).alias("text"), (s["applied"] + 1).alias("applied"))).otherwise(s)
+
+    return F.aggregate(pandas_udf(_edits, "array<struct<old: string, new: string>>")(payload), start, edit)
 
 
 def increasing_length(values: Column) -> Column:
