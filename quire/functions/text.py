@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 #: What the search and alignment folds drop, map and mark.
 SEARCH_DROP = "«»؛،؟!?.,:;()[]{}\"'’‘—–-*/\\|_=+<>#%&@~`^$"
@@ -22,13 +23,23 @@ TAG = r"^\s*\[[^\]]{0,40}\]\s*"
 ZWNJ = "‌"
 
 
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """A batch is taken in runs of few bytes, so that no more than one run of its texts is held as Python strings."""
+    for batch in batches:
+        start = size = 0
+        runs = []
+        for i, n in enumerate(pc.binary_length(batch).to_pylist()):
+            if size and size + (n or 0) > 1_000_000:
+                runs.append((start, i))
+                start, size = i, 0
+            size += n or 0
+        for a, b in [*runs, (start, len(batch))]:
+            yield pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in batch.slice(a, b - a).to_pylist()], batch.type)
 
 
 def nfkc(t: Column) -> Column:
     """Unicode compatibility composition; ASCII text passes at once."""
-    return pandas_udf(_nfkc, "string")(t)
+    return arrow_udf(_nfkc, "string")(t)
 
 
 def _class(chars: str) -> str:
