@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,28 +31,34 @@ class Limiter(StatefulProcessor):
         self.kept = handle.getValueState("kept", "hits array<double>, timer long")
 
     def _held(self) -> tuple[list[float], int | None]:
-        got = self.kept.get() if self.kept.exists() else None
+        got = self.kept.get()  # None where there is none
         return (list(got[0]), got[1]) if got else ([], None)
 
     def _hold(self, hits: list[float], timer: int | None, watermark: int) -> None:
-        """Keep hits, with one timer at the end of the oldest one's window."""
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        if not hits:
+        """Keep hits, with one timer at the end of the oldest one's window. Each call of the store waits for an answer, so none is made for nothing."""
+        due = max(int((hits[0] + self.seconds) * 1000) + 1, watermark + 1) if hits else None
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if hits:
+            self.kept.update((hits, due))
+        else:
             self.kept.clear()
-            return
-        timer = max(int((hits[0] + self.seconds) * 1000) + 1, watermark + 1)
-        self.handle.registerTimer(timer)
-        self.kept.update((hits, timer))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        every = pd.concat(list(rows)).dropna(subset=["ts"]).sort_values(["ts", self.hit])  # a key's rows of one batch
-        if every.empty:
+        parts = [(p["ts"].to_numpy("datetime64[us]"), p[self.key].array, p[self.hit].array) for p in rows]  # a key's rows of one batch
+        at = np.concatenate([t for t, *_ in parts])
+        keys, own = (pd.concat([pd.Series(p[i]) for p in parts], ignore_index=True) if len(parts) > 1 else pd.Series(parts[0][i]) for i in (1, 2))
+        order = np.lexsort((own.argsort().argsort().to_numpy() if own.dtype == object else own.to_numpy(), at))
+        order = order[~np.isnat(at[order])]
+        if not len(order):
             return
         hits, timer = self._held()
-        allowed, hits = admit([t.timestamp() for t in every["ts"]], hits, self.limit, self.seconds)
+        allowed, hits = admit((at[order].astype(np.int64) / 1e6).tolist(), hits, self.limit, self.seconds)
         self._hold(hits, timer, timerValues.getCurrentWatermarkInMs())
-        yield every.assign(allowed=allowed)[[self.key, self.hit, "allowed"]]
+        yield pd.DataFrame({self.key: keys.array[order], self.hit: own.array[order], "allowed": allowed})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         hits, timer = self._held()
