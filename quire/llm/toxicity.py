@@ -17,12 +17,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import documents, materialise, residue, slices
+from quire.llm._common import documents, fit_logistic, materialise, nth_smallest, residue, slices
 
 THRESHOLD = 0.3
 #: What a sign may stand for.
@@ -38,16 +37,15 @@ _SPELT = re.compile(r"(?<!\S)\S(?: {1,2}\S){3,}(?!\S)")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled texts to learn from at most (those whose ids hash lowest). least: toxic texts that must hold a feature.
+    """least: toxic texts that must hold a feature.
 
     features, words: the strongest features kept, and the most frequent words that train the character model, at most.
-    These bound the model, which is learned from a bounded sample; every text is scored on all its words.
+    These bound the model, whose counts are of all labelled texts; every text is scored on all its words.
     sure: standard errors by which a feature's log odds are lowered. strongest: the evidence is the sum of so many largest
     weights, so that a long text isn't toxic by its length. beam: states that decoding keeps; 0 keeps all and is exact
     (on the fixtures' disguised tokens both give the same words).
     """
 
-    sample: int = 20_000
     least: int = 3
     features: int = 20_000
     words: int = 30_000
@@ -139,11 +137,14 @@ def word_features(word: str) -> list[str]:
 
 @dataclass
 class Model:
+    """texts: how many it learned from."""
+
     weights: dict[str, float]
     characters: CharacterModel
     slope: float
     bias: float
     settings: Settings
+    texts: int = 0
     kept: dict[str, tuple[float, str] | None] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -181,15 +182,12 @@ class Model:
 _LETTERS_RUN = re.compile(r"[^\W\d_]+")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and bias of a ridge logistic fit by Newton steps."""
-    a = np.stack([x, np.ones_like(x)], axis=1)
-    w, ridge = np.zeros(2), np.diag([1e-2, 1e-2])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + ridge, a.T @ (y - p) - ridge @ w)
-        w += np.clip(step, -2, 2)
-    return max(float(w[0]), 0.0), float(w[1])
+class _Features(dict):
+    """A word to its features."""
+
+    def __missing__(self, word: str) -> list[str]:
+        self[word] = got = word_features(word)
+        return got
 
 
 def _without_echoes(rows: list) -> list:
@@ -202,44 +200,53 @@ def _without_echoes(rows: list) -> list:
     return [r for r in rows if 2 * most.get(r["feature"], 0) < r["t"]]
 
 
+def _highest(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with the highest values, and those as high as the last of them: so each task sends the driver only what may be among the most."""
+    n = df.count()
+    return df if n <= most else df.where(F.col(column) >= nth_smallest(df, column, n - most))
+
+
 def fit(labelled: DataFrame, key: str, text: str, label: str, s: Settings = Settings()) -> Model:
-    """Learn from labelled texts (label 1: toxic), s.sample at most. Rows without a label are left out; no rows give a model that says 0.5 at most."""
+    """Learn from all labelled texts (label 1: toxic). Rows without a label are left out; no rows give a model that says 0.5 at most."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(label) > 0).cast("int").alias("y"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(2)).cast("int").alias("half"))
-    rows = materialise(rows, "labelled")
+    rows = materialise(rows, "labelled", compression="zstd")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features: Counter = Counter()
+        features: list[Counter] = [Counter() for _ in range(4)]
         words: Counter = Counter()
+        of = _Features()
 
         def out() -> Iterator[pa.RecordBatch]:
-            flat = [(f, k, n) for (f, k), n in features.items()] + [(" " + w, 0, n) for w, n in words.items()]
-            for at in range(0, len(flat), 50_000):
-                f, k, n = zip(*flat[at : at + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(k, pa.int32()), pa.array(n, pa.int64())], ["feature", "kind", "n"])
-            features.clear()
-            words.clear()
+            for kind, counter, sign in (*((k, c, "") for k, c in enumerate(features)), (0, words, " ")):
+                f, n = list(counter), list(counter.values())
+                for at in range(0, len(f), 50_000):
+                    some = [sign + x for x in f[at : at + 50_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([kind] * len(some), pa.int32()), pa.array(n[at : at + 50_000], pa.int64())], ["feature", "kind", "n"])
+                counter.clear()
+            of.clear()
 
         for batch in slices(batches):
             for body, y, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found = _LETTERS_RUN.findall(body.lower())
                 words.update(found)
-                features.update((f, 2 * half + y) for f in {f for w in set(found) for f in word_features(w)})
-            if len(features) > 600_000:
+                features[2 * half + y].update(set().union(*map(of.__getitem__, set(found))))
+            if sum(map(len, features)) > 600_000:
                 yield from out()
         yield from out()
 
-    counts = materialise(rows.mapInArrow(count, "feature string, kind int, n long").groupBy("feature").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)], F.sum("n").alias("n")), "features")
+    counts = rows.mapInArrow(count, "feature string, kind int, n long").groupBy("feature").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)], F.sum("n").alias("n"))
+    t, c = F.col("n1") + F.col("n3"), F.col("n0") + F.col("n2")
+    counts = materialise(counts.where(F.col("feature").startswith(" ") | (t >= s.least)), "features")
     of = {(r["half"], r["y"]): r["count"] for r in rows.groupBy("half", "y").count().collect()}
     total = {y: of.get((0, y), 0) + of.get((1, y), 0) for y in (0, 1)}
 
     def odds(t: Column, c: Column, nt: int, nc: int) -> Column:
         return F.log((t + 0.5) / (nt + 1) * (nc + 1) / (c + 0.5)) - s.sure * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
 
-    t, c = F.col("n1") + F.col("n3"), F.col("n0") + F.col("n2")
-    chosen = counts.where(~F.col("feature").startswith(" ") & (t >= s.least)).select("feature", t.alias("t"), odds(t, c, total[1], total[0]).alias("w"), odds(F.col("n1"), F.col("n0"), of.get((0, 1), 0), of.get((0, 0), 0)).alias("w0"), odds(F.col("n3"), F.col("n2"), of.get((1, 1), 0), of.get((1, 0), 0)).alias("w1")).where("w > 0.5")
-    best = chosen.orderBy(F.desc("w"), "feature").limit(s.features).collect()
+    chosen = counts.where(~F.col("feature").startswith(" ")).select("feature", t.alias("t"), odds(t, c, total[1], total[0]).alias("w"), odds(F.col("n1"), F.col("n0"), of.get((0, 1), 0), of.get((0, 0), 0)).alias("w0"), odds(F.col("n3"), F.col("n2"), of.get((1, 1), 0), of.get((1, 0), 0)).alias("w1")).where("w > 0.5")
+    best = _highest(chosen, "w", s.features).orderBy(F.desc("w"), "feature").limit(s.features).collect()
     best = _without_echoes(best)
-    words = {r["feature"][1:]: r["n"] for r in counts.where(F.col("feature").startswith(" ")).orderBy(F.desc("n"), "feature").limit(s.words).collect()}
+    words = {r["feature"][1:]: r["n"] for r in _highest(counts.where(F.col("feature").startswith(" ")), "n", s.words).orderBy(F.desc("n"), "feature").limit(s.words).collect()}
     for r in best:  # the character model must know the words that count
         if r["feature"][0] == "=":
             words[r["feature"][1:]] = max(words.get(r["feature"][1:], 0), 50)
@@ -252,9 +259,8 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, s: Settings = Sett
             got = [(shared.value[1 - half].evidence(body), y) for body, y, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in got], pa.float64()), pa.array([y for _, y in got], pa.int32())], ["e", "y"])
 
-    seen = rows.mapInArrow(unseen, "e double, y int").toPandas()
-    slope, bias = _logistic(seen["e"].to_numpy(float), seen["y"].to_numpy(float)) if len(seen) else (0.0, 0.0)
-    return Model({r["feature"]: r["w"] for r in best}, characters, slope, bias, s)
+    slope, bias = fit_logistic(materialise(rows.mapInArrow(unseen, "e double, y int"), "seen"), "e", "y")
+    return Model({r["feature"]: r["w"] for r in best}, characters, slope, bias, s, sum(of.values()))
 
 
 def score(df: DataFrame, text: str, keep: list[Column], model: Model) -> DataFrame:
@@ -277,16 +283,27 @@ def score(df: DataFrame, text: str, keep: list[Column], model: Model) -> DataFra
     return kept.mapInArrow(run, f"{schema}, score double")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, text, toxic) of the training fold's labelled rows: s.sample at most, hence broadcast."""
-    some = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (residue("doc_id", 4) != 2)).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of all the training fold's labelled rows. Of an id's several labels a toxic one counts.
+
+    Neither side is bounded, so they meet by a shuffle. What crosses it are texts whose id's hash is among the labelled ids'
+    hashes, by bitmaps of 16 bits a label: those with a label, and a sixteenth of the others.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (residue("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = materialise(known, "labels")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(16 * max(known.count(), 1)))
+    bits = known.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    holds = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    some = docs.select("doc_id", "text", F.bitmap_bucket_number(place).alias("bucket")).join(F.broadcast(bits), "bucket").where(holds)
+    return some.select("doc_id", "text").join(known.hint("merge"), "doc_id")
 
 
 def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score by a model of the labelled training fold; null texts count as empty, repeated rows get equal scores."""
     docs = documents(spark, sf_dir)
-    model = fit(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id", "text", "toxic")
+    model = fit(labelled_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id", "text", "toxic")
     out = score(docs, "text", [F.col("doc_id"), (residue("doc_id", 4) == 2).alias("held_out")], model)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -297,10 +314,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) ->
     Null and empty texts have no evidence and stay; repeated rows go or stay together; without labels all stay that score
     under the threshold by a model that knows nothing (a half at no evidence would drop all, so then nothing is dropped).
     """
-    known = labelled_sample(docs, labels, s)
-    if not known.limit(1).count():
+    model = fit(labelled_texts(docs, labels), "doc_id", "text", "toxic", s)
+    if not model.texts:
         return docs
-    model = fit(known, "doc_id", "text", "toxic", s)
     names = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     out = score(own, f"c{names.index('text')}", [F.col(c) for c in own.columns], model)

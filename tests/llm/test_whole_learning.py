@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import secrets
+from quire.llm import secrets, toxicity
 from quire.llm._common import fit_logistic, logistic_steps, logistic_sums, materialise, nth_smallest
 
 
@@ -30,3 +30,25 @@ def test_secret_network_learns_from_every_text(spark):
     assert np.array_equal(nets[0].vector(), nets[1].vector()) and nets[0].threshold == nets[1].threshold
     scan = secrets.scan("see token = 0123456789abcdef0123456789abcd or reportsectionchapterhouse ", nets[0], s)[1]
     assert [k for *_, k in scan if k < 3] == [0, 2] and all(k < 3 for *_, k in scan)
+
+
+def test_toxicity_learns_from_every_labelled_text(spark):
+    """24,000 labelled texts of the training fold: the model counts each, and a word that only the last thousand of a sample's order hold is learned."""
+    ids = spark.range(45_000).select(F.col("id").alias("doc_id"))
+    fold = ids.where(toxicity.residue("doc_id", 4) != 2)
+    order = [r[0] for r in fold.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect()]
+    late = spark.createDataFrame([(i,) for i in order[24_000:]], "late long")
+    rows = materialise(ids.join(late, F.col("doc_id") == F.col("late"), "left").select("doc_id", F.when(F.col("late").isNotNull(), "a quaglot on the river").otherwise("a stone by the river").alias("text"), F.col("late").isNotNull().cast("int").alias("toxic")), "docs")
+    labels = rows.where("doc_id % 7 <> 3").select("doc_id", "toxic").union(rows.where("doc_id = 4").select("doc_id", F.lit(None).cast("int")))
+    known = toxicity.labelled_texts(rows.select("doc_id", "text"), labels)
+    wanted = fold.where("doc_id % 7 <> 3").count()
+    assert wanted > 24_000 and known.count() == wanted == known.select("doc_id").distinct().count()
+    model = toxicity.fit(known, "doc_id", "text", "toxic")
+    assert model.texts == wanted and model.weights["=quaglot"] > 0.5
+    assert model.score(model.evidence("a quaglot")) >= 0.3 > model.score(model.evidence("a stone"))
+
+
+def test_highest_rows_are_all_there(spark):
+    rows = materialise(spark.range(5000).select((F.col("id") * 37 % 1000).alias("n")).repartition(5), "n")
+    assert sorted(r[0] for r in toxicity._highest(rows, "n", 12).collect()) == [997] * 5 + [998] * 5 + [999] * 5
+    assert toxicity._highest(rows, "n", 5000).count() == 5000
