@@ -118,7 +118,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str, most: int = 600_000) -> Encoder:
-    """One encoder for each vocabulary file in a Python worker; its memo outlives a task, and so stays beside what later stages hold."""
+    """One encoder for each vocabulary file in a Python worker; its memo outlives a task, and so stays beside what later stages hold. The last caller's most holds."""
     if path not in _encoders:
         _encoders[path] = Encoder(path, most)
+    _encoders[path].most = most
     return _encoders[path]

@@ -523,6 +523,21 @@ def test_suffix_tree_splits_hot_words_and_sends_rare_ones_to_a_join(chains):
     assert all(abs(few[i] / whole[i] - 1) < 0.2 for i in whole)
 
 
+def test_packing_keeps_the_ids_of_a_varied_vocabulary():
+    """100,000 distinct words are encoded once, however often they recur, and the last caller's bound holds."""
+    path, texts = encoding.tokenizer_path(encoding.WORD_BPE), [" ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(at, at + 10_000)) for at in range(0, 100_000, 10_000)]
+    e = encoding.encoder(path, packing.MEMO)
+    once = [e.encode_bytes(t) for t in texts]
+    held, made = len(e.memo), []
+    e.memo.tokenize = lambda letters, f=e.memo.tokenize: made.append(letters) or f(letters)
+    try:
+        assert [e.encode_bytes(t) for t in texts] == once and held >= 100_000 and not made
+        assert once[0] == e.whole(texts[0])
+        assert encoding.encoder(path, 80_000) is e and e.encode_bytes("qaaaa") == e.whole("qaaaa") and len(e.memo) == 1
+    finally:
+        encoding._encoders.clear()
+
+
 def test_packed_rows_come_back():
     r = np.random.default_rng(1)
     a = np.where(r.random(500) < 0.5, r.integers(0, 1000, 500), r.integers(1 << 33, 1 << 62, 500)).astype(np.uint64)
