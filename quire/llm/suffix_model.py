@@ -8,9 +8,10 @@ smoothed (Witten-Bell) through its shorter contexts down to the unigrams, whose
 Turing's; so every state's probabilities, unknown words included, sum to one. The longest retained suffix scores a symbol.
 
 Nothing of the tree stands in one place: contexts that end in one word are one task's, so a context, its suffixes and
-all symbols it scores meet there, and further depth costs no further shuffle. A word with more than ``hot``
-occurrences is split by the word before it, as if the two made one longer word: its contexts of length one are then
-(word, group of the word before). Equal texts of a slice are scored once.
+all symbols it scores meet there, and further depth costs no further shuffle. A word with more than ``spread``
+occurrences is dealt over several tasks by the word before it: its longer contexts are whole there, and what follows the
+word alone is counted beforehand, over all tasks, so that the tree is the same wherever that bound lies. Equal texts of a
+slice are scored once.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import ASCII_LOWER, documents, materialise, residue, slices, text_bytes
+from quire.llm._common import ASCII_LOWER, documents, materialise, new_path, residue, slices, text_bytes
+from quire.llm.token_files import _filesystem
 
 _SHORT = np.uint64(1 << 40)
 _NONE = np.uint64((1 << 41) - 1)  # what stands before a text
@@ -42,14 +45,17 @@ class Settings:
 
     head: part of all tokens from which a word's count goes to every task (1 / head words at most, 20 bytes each); other
     words' counts meet their tokens in a join. The divergence test of one-word contexts takes no word's share to be less.
-    block: tokens of a task of the tree, about. hot: occurrences from which a word is split by the word before it.
+    block: tokens of a task of the tree, about. spread: occurrences from which a word's rows are dealt over several tasks; no score
+    depends on it. hot: occurrences from which a word is split by the word before it, as if the two made one longer word, which
+    makes another model: its contexts of length one are then (word, group of the word before). 0: never.
     """
 
     depth: int = 2
     least: int = 2
     head: float = 1e-6
     block: int = 1_200_000
-    hot: int = 500_000
+    spread: int = 500_000
+    hot: int = 0
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -145,7 +151,7 @@ def _contexts(codes: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarr
 def _split_hot(contexts: list[np.ndarray], root: Root) -> np.ndarray:
     """The nearest words, hot ones (head words by their kind) with their group of the word before as one number beyond all ranks."""
     near = contexts[0]
-    if not len(root.c) or root.c[0] <= root.settings.hot or len(contexts) < 2:
+    if not root.settings.hot or not len(root.c) or root.c[0] <= root.settings.hot or len(contexts) < 2:
         return near
     groups = np.ceil(root.c / root.settings.hot).astype(np.uint64)
     hot = near < _CODES
@@ -156,6 +162,116 @@ def _split_hot(contexts: list[np.ndarray], root: Root) -> np.ndarray:
     return out
 
 
+def _spread(contexts: list[np.ndarray], root: Root) -> np.ndarray:
+    """What deals each symbol to a task: its nearest word, and of words with more than spread occurrences the group of the word before."""
+    near = contexts[0]
+    often = near < np.uint64(spread_words(root))
+    if not often.any():
+        return near
+    groups = np.ceil(root.c[near[often].astype(np.int64)] / root.settings.spread).astype(np.uint64)
+    out = near.copy()
+    out[often] = near[often] + (contexts[1][often] * _ODD >> np.uint64(33)) % groups * _CODES
+    return out
+
+
+def spread_words(root: Root) -> int:
+    """How many words are dealt over several tasks: the first by rank. For contexts of up to two words only, for it's these that whole() tests."""
+    return int((root.c > root.settings.spread).sum()) if root.settings.depth == 2 and not root.settings.hot else 0
+
+
+@dataclass
+class Whole:
+    """What follows words that several tasks share. path: of a table (w, n) for each such word; of: a word's rank to its occurrences, its followers' number, and whether it is retained; the end, which nothing follows, isn't among them."""
+
+    path: str
+    of: dict[int, tuple[int, int, bool]]
+
+    def counts(self, x: int, codes: np.ndarray) -> np.ndarray:
+        """How often the words of these codes follow word x in training."""
+        files, root = _filesystem(self.path)
+        table = pq.read_table(f"{root}/x={x}", columns=["w", "n"], filesystem=files, partitioning=None)
+        w, n = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+        order = np.argsort(w)
+        w, n = w[order], n[order]
+        at = np.minimum(np.searchsorted(w, codes), len(w) - 1)
+        return np.where(w[at] == codes, n[at], 0)
+
+
+def _followers(df: DataFrame, text: str, root: Root, share: tuple[int, int] | None = None, only: list[int] | None = None) -> DataFrame:
+    """(x, before, w, c, n): how often w follows x, a word that several tasks share, and w's count if it is a head word, else 0.
+
+    share (i, k): by the word before x too (its context code, else 0), of the words before the i-th of k parts. only: these x.
+    """
+    shared, most = df.sparkSession.sparkContext.broadcast(root), spread_words(root)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = shared.value
+        wanted = np.zeros(most + 1, bool)
+        wanted[list(range(most)) if only is None else only] = True
+        for batch in slices(batches):
+            seen: dict[bytes, int] = {b"": 0}
+            size, ids = [], []
+            for t in batch.column(0).to_pylist():
+                found = words_of(t)
+                size.append(len(found) + 1)
+                ids += [seen.setdefault(w, len(seen)) for w in found]
+                ids.append(0)
+            ids, size = np.array(ids, np.int64), np.array(size, np.int64)
+            codes = root.codes(_hashed(list(seen)))
+            first = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+            near, *further = _contexts(_short(codes)[ids], first, 2 if share else 1)
+            mine = wanted[np.minimum(near, np.uint64(most)).astype(np.int64)]
+            before = further[0] if share else np.zeros(len(ids), np.uint64)
+            if share:
+                mine &= ((before * _ODD >> np.uint64(40)) % np.uint64(share[1]) == share[0]) & (before != _NONE)
+            x, before, w = near[mine].astype(np.int32), before[mine], ids[mine]
+            order = np.lexsort((w, before, x))
+            x, before, w = x[order], before[order], w[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (before[1:] != before[:-1]) | (w[1:] != w[:-1])
+            at = np.flatnonzero(new)
+            n, code = np.diff(np.r_[at, len(x)]), codes[w[at]]
+            c = np.zeros(len(at), np.int64)
+            c[code < _CODES] = root.c[code[code < _CODES].astype(np.int64)]
+            for i in range(0, len(at), 50_000):
+                some = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at[some]]), pa.array(before[at[some]].view(np.int64)), pa.array(code[some].view(np.int64)), pa.array(c[some]), pa.array(n[some])], ["x", "before", "w", "c", "n"])
+
+    rows = df.select(text_bytes(text).alias("text")).mapInArrow(count, "x int, before long, w long, c long, n long")
+    return rows.groupBy("x", "before", "w").agg(F.first("c").alias("c"), F.sum("n").alias("n"))
+
+
+#: Words before in so many parts: one after another is looked through until each shared word has a retained longer context.
+SHARES = 16
+
+
+def whole(df: DataFrame, text: str, root: Root) -> Whole | None:
+    """What follows the words that several tasks share, over all rows of df, which are training's; None if there are no such words.
+
+    A word is retained for its own followers' sake or for a longer context's. The former is seen from what follows it; where that doesn't
+    do, contexts with the word before are tested, those of a sixteenth of the words before at a time, until one is found or none is left.
+    """
+    if not spread_words(root):
+        return None
+    s, total = root.settings, max(root.total, 1)
+    path = new_path(df.sparkSession, "followers")
+    _followers(df, text, root).select("x", "w", "c", "n").repartition("x", F.pmod("w", F.lit(8))).write.partitionBy("x").parquet(path)
+    pairs = df.sparkSession.read.schema("w long, c long, n long, x int").parquet(path)
+    costs = 0.5 * math.log(max(root.total, 2))
+    gain = F.sum(F.col("n") * F.log(F.col("n") / F.greatest(F.col("c") / total, F.lit(s.head))))
+    found = {r["x"]: r for r in pairs.groupBy("x").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), gain.alias("gain")).collect()}
+    retained = {x for x, r in found.items() if r["n"] >= s.least and r["gain"] - r["n"] * math.log(r["n"]) > costs * r["kinds"]}
+    for share in range(SHARES):
+        rest = sorted(found.keys() - retained)
+        if not rest:
+            break
+        sizes = df.sparkSession.createDataFrame([(x, found[x]["n"]) for x in rest], "x int, whole long")
+        longer = _followers(df, text, root, (share, SHARES), rest).drop("c").join(pairs.select("x", "w", F.col("n").alias("up")), ["x", "w"]).join(F.broadcast(sizes), "x")
+        own = longer.groupBy("x", "before").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") * F.col("whole") / F.col("up"))).alias("gain"))
+        retained |= {r["x"] for r in own.where((F.col("n") >= s.least) & (F.col("gain") - F.col("n") * F.log("n") > costs * F.col("kinds"))).select("x").distinct().collect()}
+    return Whole(path, {x: (r["n"], r["kinds"], x in retained) for x, r in found.items()})
+
+
 def _planes(a: np.ndarray, width: int) -> bytes:
     """The low bytes of numbers, those of equal weight together."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize)[:, :width].T).tobytes()
@@ -205,10 +321,10 @@ def _kinds(depth: int) -> list[str]:
     return ["context"] * depth + ["word"] + ["u4"] * 3
 
 
-def _dealt(contexts: list[np.ndarray], w: np.ndarray, rep: np.ndarray, weight: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, packed rows): a row is a context, its symbol, the text, how often that text has it, and how many training texts are equal to it."""
+def _dealt(contexts: list[np.ndarray], by: np.ndarray, w: np.ndarray, rep: np.ndarray, weight: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed rows), dealt by the numbers given: a row is a context, its symbol, the text, how often that text has it, and how many training texts are equal to it."""
     near = contexts[0]
-    part = ((near * _ODD) >> np.uint64(20)) % np.uint64(parts)
+    part = ((by * _ODD) >> np.uint64(20)) % np.uint64(parts)
     rest = w * _ODD
     for c in contexts[1:]:
         rest = (rest ^ c) * _ODD
@@ -249,8 +365,8 @@ def _numbers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], out
 
 
-def states(contexts: list[np.ndarray], w: np.ndarray, weight: np.ndarray, root: Root) -> States:
-    """Count, test and smooth. contexts: nearest first, whole for their nearest words; weight: training occurrences of each row."""
+def states(contexts: list[np.ndarray], w: np.ndarray, weight: np.ndarray, root: Root, whole: Whole | None = None) -> States:
+    """Count, test and smooth. contexts: nearest first, whole for their nearest words but those of ``whole``; weight: training occurrences of each row."""
     s = root.settings
     symbols, wi = _numbers(w)
     share = np.full(len(symbols), s.head)
@@ -270,10 +386,16 @@ def states(contexts: list[np.ndarray], w: np.ndarray, weight: np.ndarray, root:
         n_pair = np.bincount(pair, weights=weight, minlength=len(at))
         of = now[at]
         n, kinds = np.bincount(of, weights=n_pair, minlength=len(first)), np.bincount(of, weights=n_pair > 0, minlength=len(first))
+        elsewhere = {}
+        for i in np.flatnonzero(np.isin(context[first], np.array(list(whole.of), np.uint64))).tolist() if whole and not levels else ():  # pairs stand in order of their contexts
+            x, mine = int(context[first[i]]), slice(*np.searchsorted(of, [i, i + 1]))
+            n[i], kinds[i], elsewhere[i] = whole.of[x]
+            n_pair[mine] = whole.counts(x, symbols[wi[at[mine]]])
         expected = share[wi[at]] if parent_n is None else parent_pair[at] / np.maximum(parent_n[at], 1)
         seen = n_pair > 0
         gain = np.bincount(of[seen], weights=n_pair[seen] * np.log(n_pair[seen] / n[of[seen]] / expected[seen]), minlength=len(first))
         keep = (n >= s.least) & (gain > 0.5 * kinds * math.log(max(root.total, 2))) & (context[first] != _NONE)
+        keep[list(elsewhere)] = list(elsewhere.values())
         levels.append((now, first, pair, n_pair, n, kinds, keep))
         parent_n, parent_pair, state = n[now], n_pair[pair], now
     for upper, lower in zip(levels[-2::-1], levels[:0:-1], strict=True):  # with a context, its suffixes
@@ -298,7 +420,7 @@ def score(df: DataFrame, text: str, keep: list[Column], counts: DataFrame, train
     spark = df.sparkSession
     root = fit_root(counts, s)
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(1.2 * root.total / s.block))
-    shared = spark.sparkContext.broadcast(root)
+    shared, common = spark.sparkContext.broadcast(root), whole(df.where(train), text, root)
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     every = zip(keep, df.select(*keep).columns, strict=True)
     kept = df.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(x for x in every if x[1] not in added)], F.coalesce(train, F.lit(False)).alias("train"), text_bytes(text).alias("text"))
@@ -351,7 +473,7 @@ def score(df: DataFrame, text: str, keep: list[Column], counts: DataFrame, train
             contexts = _contexts(_short(codes)[ids], first, s.depth)
             contexts[0] = _split_hot(contexts, root)
             inner = ~start
-            blobs = list(_dealt([x[inner] for x in contexts], code[inner], lead[of[inner]], weight[rep], parts)) if inner.any() else []
+            blobs = list(_dealt([x[inner] for x in contexts], _spread(contexts, root)[inner], code[inner], lead[of[inner]], weight[rep], parts)) if inner.any() else []
             for i in range(0, len(blobs), 200):
                 some = blobs[i : i + 200]
                 m = len(some)
@@ -377,7 +499,7 @@ def score(df: DataFrame, text: str, keep: list[Column], counts: DataFrame, train
             return
         *contexts, w, gid, tf, weight = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        got = states(contexts, w, weight, root)
+        got = states(contexts, w, weight, root, common)
         head = w < _CODES
         rank = w[head].astype(np.int64)
         ids, of = np.unique(gid[head], return_inverse=True)

@@ -523,6 +523,31 @@ def test_suffix_tree_splits_hot_words_and_sends_rare_ones_to_a_join(chains):
     assert all(abs(few[i] / whole[i] - 1) < 0.2 for i in whole)
 
 
+@pytest.mark.parametrize("noise", [0, 40])
+def test_suffix_tree_is_the_same_wherever_words_are_dealt_over_tasks(chains, noise):
+    """Scores equal those of the slow tree with all frequent words spread. noise: words that follow all others alike, so that some words are retained for longer contexts' sake only."""
+    r = np.random.default_rng(8)
+    more = [" ".join(f"n{r.integers(noise)} b{i % 2} a c{i % 2}" for i in range(300)) for _ in range(4)] if noise else []
+    docs = chains.union(chains.sparkSession.createDataFrame([(200 + i, t, "en", "s", len(t), 7, "k") for i, t in enumerate(more)], SCHEMA))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    slow = SlowTree([r["text"] for r in docs.collect()], 2)
+    counts = materialise(suffix_model.word_counts(docs, "text"), "w")
+    found = []
+    for spread in (10**9, 100, 20):
+        s = suffix_model.Settings(block=500, spread=spread)
+        root = suffix_model.fit_root(counts, s)
+        met = suffix_model.whole(docs, "text", root)
+        assert (met is None) == (spread == 10**9) and (not met or met.of.keys() | {int(root.ranks[np.searchsorted(root.hashes, np.uint64(xxhash.xxh64_intdigest(b"", 42)))])} >= set(range((root.c > spread).sum())) and len(met.of) > 5)
+        if met:
+            words = {int(root.ranks[np.searchsorted(root.hashes, h)]): w for w in slow.c for h in [np.uint64(xxhash.xxh64_intdigest(w.encode(), 42))]}
+            assert {words[x] for x, (_, _, kept) in met.of.items() if kept} == {w for x in met.of for w in [words[x]] if (w,) in slow.kept}
+        found.append({r["doc_id"]: r["score"] for r in suffix_model.score(docs, "text", [F.col("doc_id")], counts, F.lit(True), s).collect()})
+    for i, t in texts.items():
+        w = tokens_of(t)
+        want = sum(math.log10(slow.p(w[:j], x)) for j, x in enumerate(w))
+        assert all(abs(f[i] - want) < 1e-5 * len(w) for f in found)
+
+
 def test_packing_keeps_the_ids_of_a_varied_vocabulary():
     """100,000 distinct words are encoded once, however often they recur, and the last caller's bound holds."""
     path, texts = encoding.tokenizer_path(encoding.WORD_BPE), [" ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(at, at + 10_000)) for at in range(0, 100_000, 10_000)]
