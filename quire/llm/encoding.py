@@ -20,6 +20,9 @@ _BYTE_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_W
 _WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_W}{_L}{_N}]+")
 
 
+_SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -45,10 +48,12 @@ class _Memo(dict):
         self.tokenize, self.letters = model.tokenize, _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        self[piece] = got = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        self[piece] = got = self.ids(piece.encode("utf-8").decode("latin-1").translate(self.letters))
         return got
 
+    def ids(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
 
 class _Apart(Exception):
     """A text whose white space doesn't let it be cut at spaces."""
@@ -59,11 +64,16 @@ class _Chunks(dict):
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
-        self.pieces, self.folds = encoder.pieces, encoder.folds
+        self.pieces, self.folds, self.memo = encoder.pieces, encoder.folds, encoder.memo
+        self.space = encoder.memo.letters[32]
 
     def __missing__(self, chunk: str) -> bytes:
         if self.folds:
             got = self.pieces(chunk)
+        elif chunk.isalpha() and (chunk.isascii() or max(chunk) <= "ÿ"):  # one pre-token, which needn't be kept twice
+            got = self.memo.ids(self.space + chunk.encode("utf-8").decode("latin-1").translate(self.memo.letters))
+        elif chunk[-1:] in _SIGNS and chunk[:-1].isalpha() and (chunk.isascii() or max(chunk) <= "ÿ"):
+            got = self[chunk[:-1]] + self.memo[chunk[-1]]
         elif not chunk or chunk[0].isspace():
             raise _Apart
         else:
@@ -73,7 +83,7 @@ class _Chunks(dict):
 
 
 class Encoder:
-    """encode_bytes(text): the library's ids. most: entries after which a memo starts anew.
+    """encode_bytes(text): the library's ids. most: entries of its two memos on average, after which both start anew.
 
     A pre-token never reaches past white space into what precedes it, so a space between two other
     characters always begins one, and a text's ids are those of its chunks between spaces.
@@ -102,9 +112,9 @@ class Encoder:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as native unsigned 32-bit integers, in a byte string."""
-        for kept in (self.memo, self.chunks):
-            if len(kept) > self.most:
-                kept.clear()
+        if len(self.memo) + len(self.chunks) > 2 * self.most:
+            self.memo.clear()
+            self.chunks.clear()
         first, *rest = text.split(" ")
         if rest and not first and not self.folds:
             return self.pieces(text)

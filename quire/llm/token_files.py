@@ -24,6 +24,8 @@ from quire.llm.encoding import BYTE_BPE, encoder, tokenizer_path
 
 #: Texts' characters that one part takes, at most by the key ranges' evenness.
 PART_CHARS = 16_000_000
+#: Entries of each of the encoder's two memos in a worker, some 200 bytes each.
+MEMO = 1_000_000
 _RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -63,7 +65,7 @@ def write(df: DataFrame, key: str, text: str, path: str, vocabulary: str, end_id
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(vocabulary), TaskContext.get()
+        enc, task = encoder(vocabulary, MEMO), TaskContext.get()
         kind = "<u2" if enc.library.get_vocab_size() <= 65536 else "<u4"
         end, k = np.array([end_id], "<u4").tobytes(), task.partitionId()
         files, root = _filesystem(path)

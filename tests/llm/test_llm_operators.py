@@ -632,3 +632,14 @@ def test_pipeline_on_the_small_tables(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "dedup", "decontamination", "secrets", "packing"]
+
+
+def test_byte_level_memos_share_what_they_hold():
+    """Plain words stand in one of the two memos only, so words beyond one memo's bound are still encoded once, with and without a sign after them."""
+    e = encoding.Encoder(encoding.tokenizer_path(encoding.BYTE_BPE), most=1000)
+    words = [f"{x}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(650) for x in ("q", "é")]
+    texts = [" ".join(["a", *(w + end for w in words[at : at + 100])]) for end, n in (("", 1300), (",", 500)) for at in range(0, n, 100)]
+    once = [e.encode_bytes(t) for t in texts]
+    made = []
+    e.memo.tokenize = lambda letters, f=e.memo.tokenize: made.append(letters) or f(letters)
+    assert [e.encode_bytes(t) for t in texts] == once == [e.whole(t) for t in texts] and not made
