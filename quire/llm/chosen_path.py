@@ -11,7 +11,8 @@ offer the pair with the set that they are most like, and the confirmed pairs joi
 that still hold several components each set outside the largest then meets all others. A node is small if few sets are outside
 it, whatever its size. A node of alike sets that further tokens don't part is compared at once, in blocks. Comparing is dealt over
 chunks of a node and blocks of those outside, so no task gets a whole hot node. Sketches of two bits a token decide which pairs are
-worth confirming on the whole sets.
+worth confirming on the whole sets, of those that parities don't rule out: the bits at which two sets' parities of shingles in 2048 bins
+differ are never more than the shingles that one of them lacks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from quire.llm.confirm import Confirmed, mark, shingles
 
 #: Two sets are linked if 100 times their intersection is at least 85 times their union.
 PERCENT = 85
-TREES, FAN, TOKENS = 8, 2, 256
+TREES, FAN, TOKENS, BINS = 8, 2, 256, 2048
 #: Sets outside a node's largest component up to which it is compared exhaustively; members of a node in a task at most (about).
 SMALL, CHUNK = 8192, 8192
 #: How often a level's sets offer their best pairs, if each time links come of it, before all pairs meet.
@@ -43,25 +44,37 @@ _FACTORS = np.random.default_rng(13).integers(1 << 62, 1 << 63, TOKENS, dtype=np
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def signature(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """256 minwise tokens of 16 bits, and their sketch: the first bits of all, then the second ones."""
+def signature(data: np.ndarray, trees: int = TREES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """256 minwise tokens of 16 bits; a sketch: the first bits of all, then the second ones, then the parities of the shingles in each bin; and the trees' first tokens in full, which sets don't share by chance."""
     least = np.full(TOKENS, np.uint64(2**64 - 1))
     for at in range(0, len(data), 512):
         np.minimum(least, (data[at : at + 512, None] * _FACTORS).min(axis=0), out=least)
     tokens = (least * _MIX) >> np.uint64(46)
-    return (tokens >> np.uint64(2)).astype("<u2"), np.packbits([tokens & np.uint64(1), tokens >> np.uint64(1) & np.uint64(1)], axis=1).ravel()
+    odd = np.bincount((data * _MIX >> np.uint64(53)).astype(np.int64), minlength=BINS) & 1
+    sketch = np.concatenate([np.packbits([tokens & np.uint64(1), tokens >> np.uint64(1) & np.uint64(1)], axis=1).ravel(), np.packbits(odd.astype(np.uint8))])
+    return (tokens >> np.uint64(2)).astype("<u2"), sketch, least[: TOKENS // trees * trees : TOKENS // trees].astype("<u8")
 
 
 def agreeing(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """How many tokens sketches p agree on with sketches q, each a row of 8 words."""
+    """How many tokens sketches p agree on with sketches q, each a row of words whose first 8 are the tokens' bits."""
     apart = np.zeros((len(p), len(q)), np.int16)
     for w in range(4):
         apart += np.bitwise_count((p[:, w, None] ^ q[None, :, w]) | (p[:, 4 + w, None] ^ q[None, :, 4 + w]))
     return TOKENS - apart
 
 
-def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A written table (key, mark, fp, n, tokens, sketch): fp names the set; a task gives a set's signature once, its further copies have null; empty sets have no fp."""
+def beyond(p: np.ndarray, q: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches (p[i], q[i]) can't be of linked sets, sizes being the two sets' together. Never true of linked ones."""
+    out = np.zeros(len(p), bool)
+    for at in range(0, len(p), 20_000):
+        some = slice(at, at + 20_000)
+        lacking = np.bitwise_count(p[some, 8:] ^ q[some, 8:]).sum(axis=1, dtype=np.int64)
+        out[some] = (100 + percent) * lacking > (100 - percent) * sizes[some]
+    return out
+
+
+def _sets(df: DataFrame, key: str, text: str, trees: int) -> DataFrame:
+    """A written table (key, mark, fp, n, tokens, sketch, heads): fp names the set; a task gives a set's signature once, its further copies have null; empty sets have no fp."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = df.schema[key].dataType
@@ -70,22 +83,23 @@ def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
-            fps, sizes, tokens, sketches = [], [], [], []
+            fps, sizes, tokens, sketches, heads = [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 data = np.unique(shingles(t))
                 sizes.append(len(data))
                 fp = xxhash.xxh64_intdigest(data.tobytes(), 13) if len(data) else None
                 fps.append(None if fp is None else fp - (fp >> 63 << 64))
-                new = signature(data) if fp is not None and fp not in seen else None
+                new = signature(data, trees) if fp is not None and fp not in seen else None
                 tokens.append(new and new[0].tobytes())
                 sketches.append(new and new[1].tobytes())
+                heads.append(new and new[2].tobytes())
                 seen.add(fp)
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow), batch.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary())], ["key", "mark", "fp", "n", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow), batch.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (tokens, sketches, heads))], ["key", "mark", "fp", "n", "tokens", "sketch", "heads"])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), mark(text).alias("mark"), text_bytes(f"`{text}`").alias("text"))
-    return materialise(rows.mapInArrow(compute, f"key {kind.simpleString()}, mark long, fp long, n long, tokens binary, sketch binary"), "sets")
+    return materialise(rows.mapInArrow(compute, f"key {kind.simpleString()}, mark long, fp long, n long, tokens binary, sketch binary, heads binary"), "sets")
 
 
 class _Chunk:
@@ -105,7 +119,7 @@ class _Chunk:
     def _begin(self) -> Iterator[tuple[int, int]]:
         if not self.members:
             self.members = True
-            self.fps, self.roots, self.sketches = np.array(self.lead[0], np.int64), np.array(self.lead[1], np.int64), np.frombuffer(b"".join(self.lead[2]), "<u8").reshape(-1, 8)
+            self.fps, self.roots, self.sketches = np.array(self.lead[0], np.int64), np.array(self.lead[1], np.int64), np.frombuffer(b"".join(self.lead[2]), "<u8").reshape(-1, 8 + BINS // 64)
             self.sizes = np.array(self.lead[3], np.int64)
             self.top = np.full(len(self.fps), self.most - 1, np.int16), np.zeros(len(self.fps), np.int64)
             if self.alone:  # leaders aren't dealt again as members
@@ -114,20 +128,22 @@ class _Chunk:
     def _compare(self, fps: list, roots: list, sketches: list, sizes: list) -> Iterator[tuple[int, int]]:
         if not len(self.fps):
             return
-        q, f, r, n = np.frombuffer(b"".join(sketches), "<u8").reshape(-1, 8), np.array(fps, np.int64), np.array(roots, np.int64), np.array(sizes, np.int64)
+        q, f, r, n = np.frombuffer(b"".join(sketches), "<u8").reshape(-1, 8 + BINS // 64), np.array(fps, np.int64), np.array(roots, np.int64), np.array(sizes, np.int64)
         step = max(1, 500_000 // len(self.fps))  # some megabytes of comparisons at once
         for i in range(0, len(f), step):
             agree = agreeing(self.sketches, q[i : i + step])
             own, other = self.sizes[:, None], n[None, i : i + step]  # sizes alone rule out some
             agree[(self.roots[:, None] == r[None, i : i + step]) | (100 * np.minimum(own, other) < self.percent * np.maximum(own, other))] = -1
+            x, y = np.nonzero(agree >= self.most)
+            out = beyond(self.sketches[x], q[i + y], self.sizes[x] + n[i + y], self.percent)
+            agree[x[out], y[out]] = -1
             if self.best:
                 at = agree.argmax(axis=1)
                 value = agree[np.arange(len(at)), at]
                 better = value > self.top[0]
                 self.top[0][better], self.top[1][better] = value[better], f[i + at[better]]
             else:
-                x, y = np.nonzero(agree >= self.most)
-                yield from zip(self.fps[x].tolist(), f[i + y].tolist(), strict=True)
+                yield from zip(self.fps[x[~out]].tolist(), f[i + y[~out]].tolist(), strict=True)
 
     def end(self) -> Iterator[tuple[int, int]]:
         yield from self._begin()
@@ -191,13 +207,13 @@ def classes(df: DataFrame, key: str, text: str, percent: int = PERCENT, trees: i
     white space have empty sets, linked with nothing: each row is a component of its own. Repeated rows and equal texts are linked, by one set.
     Null keys name no component but where a class has no other. An empty table gives an empty one.
     """
-    sets = _sets(df, key, text)
-    sigs = materialise(sets.where("sketch IS NOT NULL").groupBy("fp").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "signatures")
+    sets = _sets(df, key, text, trees)
+    sigs = materialise(sets.where("sketch IS NOT NULL").groupBy("fp").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.first("heads").alias("heads"), F.first("n").alias("n")), "signatures")
     sketches = sigs.select("fp", "sketch", F.col("n").alias("size"))
     alike = lambda rows, best: _alike(rows.join(sketches, "fp").select("node", "fp", "root", "leads", "chunks", "sketch", F.col("size").alias("n")), agree, best, percent)
     confirmed = Confirmed(df, key, text, sets, percent)
     token = lambda i: F.substring("tokens", 2 * i + 1, 2)
-    start = F.explode(F.array(*[F.xxhash64(F.lit(t), token(F.lit(t * (TOKENS // trees)))) for t in range(trees)]))
+    start = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("heads", 8 * t + 1, 8)) for t in range(trees)]))
     rows = materialise(sigs.select(start.alias("node"), "fp", F.lit(None).cast("double").alias("before")), "level")
     joined, depth = None, 0
     while True:

@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 from quire.llm import chosen_path, confirm, registry
@@ -97,3 +98,29 @@ def test_border(n, good):
     import numpy as np
 
     assert confirm.linked(np.arange(n), np.arange(1000), chosen_path.PERCENT) is good
+
+
+def test_parities_rule_out_near_misses_and_no_link():
+    r = np.random.default_rng(3)
+    for n in (1, 7, 60, 400, 3000):
+        for changed in (0, 1, n // 20, n // 13, n // 12, n // 11, n // 5):
+            a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[changed:], r.integers(0, 2**64, changed, dtype=np.uint64)]))
+            p, q = (chosen_path.signature(x)[1].view("<u8")[None] for x in (a, b))
+            both = len(np.intersect1d(a, b))
+            linked = 100 * both >= 85 * (len(a) + len(b) - both)
+            out = bool(chosen_path.beyond(p, q, np.array([len(a) + len(b)]), 85)[0])
+            assert not (linked and out)
+            if n in (60, 400) and changed == n // 5:
+                assert out
+
+
+def test_a_group_of_near_misses_makes_few_pairs(spark, monkeypatch):
+    """60 texts that overlap by 0.8: none of their 1,770 pairs needs the whole sets, but the group's linked pair is found."""
+    core = " ".join(f"c{i}" for i in range(400))
+    rows = [(k, core + " " + " ".join(f"t{k}x{i}" for i in range(45))) for k in range(60)] + [(60, core + " " + " ".join(f"t59x{i}" for i in range(40)))]
+    asked = []
+    links_of = confirm.Confirmed.links_of
+    monkeypatch.setattr(confirm.Confirmed, "links_of", lambda self, pairs: asked.append(pairs.count()) or links_of(self, pairs))
+    got = {r["key"]: r["component"] for r in chosen_path.classes(spark.createDataFrame(rows, "id long, body string"), "id", "body").collect()}
+    assert got == {k: k for k in range(60)} | {60: 59} and sum(asked) <= 20
