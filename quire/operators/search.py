@@ -139,8 +139,8 @@ def rarest(terms: Sequence[str], doc: DataFrame | dict[str, int], most: int = MO
 def bm25(postings: DataFrame, terms: Sequence[str], n: int, avgdl: float, doc: dict[str, int] | None = None) -> DataFrame:
     """(id, score) for pages that hold a term; the lower the better, as in SQLite's bm25(). A repeated query term counts each time.
 
-    The terms are literals, so stored postings are pruned where they are scanned; partial sums go to a page before any shuffle. doc: page_counts(),
-    else counted among the same rows.
+    The terms are literals, so stored postings are pruned where they are scanned. A page's parts, one for each distinct term, are summed by size, so equal pages have
+    equal scores to the last bit, however their rows arrive, and go by id. doc: page_counts(), else counted among the same rows.
     """
     spark = postings.sparkSession
     times = {t: terms.count(t) for t in terms}
@@ -152,7 +152,7 @@ def bm25(postings: DataFrame, terms: Sequence[str], n: int, avgdl: float, doc: d
         return spark.createDataFrame([], "id long, score double")
     weight = F.create_map(*[F.lit(x) for t, d in df.items() for x in (t, times[t] * max(math.log((n - d + 0.5) / (d + 0.5)), FEWEST_IDF))])
     part = weight[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return hits.groupBy("id").agg((-F.sum(part)).alias("score"))
+    return hits.groupBy("id").agg((-F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda s, x: s + x)).alias("score"))
 
 
 def covered(txt: Column, terms: Sequence[str], aware: bool = False) -> Column:

@@ -1,6 +1,7 @@
 """Postings counted by page against a slow count, and against those counted by a shuffle."""
 
 import collections
+import itertools
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,13 @@ def test_stored_postings_are_blocks(spark, tmp_path):
     assert "EqualTo(term,the)" in plan.split("PushedFilters")[1]
 
 
+def test_equal_pages_have_equal_scores_in_whatever_order_rows_arrive(spark):
+    doc, tf = {"aaa": 3, "bbb": 17, "ccc": 101, "ddd": 7, "eee": 29}, {"aaa": 3, "bbb": 1, "ccc": 7, "ddd": 2, "eee": 5}
+    rows = [(t, i, tf[t], 77) for i, order in enumerate(itertools.permutations(tf)) for t in order]
+    scored = S.bm25(spark.createDataFrame(rows, "term string, id long, tf long, dl int").coalesce(1), list(tf), 1000, 100.3, doc).collect()
+    assert len(scored) == 120 and len({r["score"] for r in scored}) == 1
+
+
 def test_growing_index_searches_as_a_fresh_one(spark, tmp_path, monkeypatch):
     from quire.operators import growing
     from quire.operators.index import open_index
